@@ -7,7 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from satchel.session import broadcast_if_small, staged
+
 ACCURACY = 10_000
+# Bracket half-width as a share of the rows: the sketch's own error, the gap
+# between its rank rule and nearest rank, and one to spare.
+SLACK = 3.0 / ACCURACY
 
 
 def nearest_rank(p: float, n: Column) -> Column:
@@ -26,27 +31,36 @@ def percentiles(
     fixed share of the rows, however hot a group is. Zeros stand for an empty
     input without groups.
     """
-    group = list(group)
-    values = df.select(*group, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    slack = 3.0 / ACCURACY
-    cuts = [edge for _, p in wanted for edge in (max(0.0, p - slack), min(1.0, p + slack))]
-    sketch = values.groupBy(*group).agg(
-        F.count("*").alias("n"),
-        F.avg("_v").alias("mean"),
-        F.percentile_approx("_v", cuts, ACCURACY).alias("_edges"),
+    key = list(group)
+    names = [name for name, _ in wanted]
+    values = df.select(*key, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    cuts = [edge for _, p in wanted for edge in (max(0.0, p - SLACK), min(1.0, p + SLACK))]
+    sketch = values.groupBy(*key).agg(
+        F.count("*").alias("n"), F.avg("_v").alias("mean"), F.percentile_approx("_v", cuts, ACCURACY).alias("edges")
     )
-    if not group:
-        sketch, values = sketch.withColumn("_all", F.lit(1)), values.withColumn("_all", F.lit(1))
-    key = group or ["_all"]
-    bracketed = values.join(sketch.select(*key, "_edges"), key)
+    if key:
+        sketch = staged(sketch, "quantile-sketch")
+        bracketed = values.join(broadcast_if_small(sketch.drop("mean")), key)
+    else:
+        only = sketch.first()
+        if not only["n"]:
+            return df.sparkSession.range(1).select(
+                F.lit(0).cast("long").alias("n"), *[F.lit(0.0).alias(c) for c in ("mean", *names)]
+            )
+        edges = F.lit([float(e) for e in only["edges"]])
+        bracketed = values.select("_v", F.lit(only["n"]).alias("n"), edges.alias("edges"))
+    # Below ACCURACY rows a rank may fall outside the sketch's bracket, and
+    # ordering them all is cheap.
+    few = F.col("n") < ACCURACY
     probes = F.array(
         *[
             F.struct(
                 F.lit(i).alias("w"),
-                F.get("_edges", F.lit(2 * i)).alias("low"),
-                F.get("_edges", F.lit(2 * i + 1)).alias("high"),
+                F.when(few, F.lit(float("-inf"))).otherwise(F.get("edges", F.lit(2 * i))).alias("low"),
+                F.when(few, F.lit(float("inf"))).otherwise(F.get("edges", F.lit(2 * i + 1))).alias("high"),
+                nearest_rank(p, F.col("n")).alias("rank"),
             )
-            for i in range(len(wanted))
+            for i, (_, p) in enumerate(wanted)
         ]
     )
     # Rows below a bracket collapse to one counted row, values inside to one
@@ -54,19 +68,24 @@ def percentiles(
     merged = (
         bracketed.select(*key, "_v", F.explode(probes).alias("_p"))
         .where(F.col("_v") <= F.col("_p.high"))
-        .groupBy(*key, F.col("_p.w").alias("_w"), F.when(F.col("_v") >= F.col("_p.low"), F.col("_v")).alias("_v"))
+        .groupBy(
+            *key,
+            F.col("_p.w").alias("_w"),
+            F.col("_p.rank").alias("_r"),
+            F.when(F.col("_v") >= F.col("_p.low"), F.col("_v")).alias("_v"),
+        )
         .agg(F.count("*").alias("_c"))
     )
     upto = Window.partitionBy(*key, "_w").orderBy(F.col("_v").asc_nulls_first())
-    placed = merged.withColumn("_upto", F.sum("_c").over(upto)).join(sketch.select(*key, "n"), key)
-    ranks = F.element_at(F.array(*[nearest_rank(p, F.col("n")) for _, p in wanted]), F.col("_w") + 1)
-    found = placed.where(F.col("_v").isNotNull() & (F.col("_upto") > ranks)).groupBy(*key).agg(
-        *[F.min(F.when(F.col("_w") == i, F.col("_v"))).alias(name) for i, (name, _) in enumerate(wanted)]
+    found = (
+        merged.withColumn("_upto", F.sum("_c").over(upto))
+        .where(F.col("_v").isNotNull() & (F.col("_upto") > F.col("_r")))
+        .groupBy(*key)
+        .agg(*[F.min(F.when(F.col("_w") == i, F.col("_v"))).alias(name) for i, name in enumerate(names)])
     )
-    out = sketch.select(*key, "n", "mean").join(found, key, "left")
-    if group:
-        return out
-    return out.drop("_all").select("n", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("mean", *[w[0] for w in wanted])])
+    if key:
+        return sketch.select(*key, "n", "mean").join(found, key)
+    return found.select(F.lit(only["n"]).alias("n"), F.lit(only["mean"]).alias("mean"), *names)
 
 
 def approx_percentiles(
