@@ -196,19 +196,19 @@ class PointStore:
         return out
 
     def _write(self, table: str, df: DataFrame, version: int) -> None:
-        # Rows of a partition may come from many tasks; gathering them by the
-        # partition columns, over several slices, keeps the count of files low
-        # without handing a hot project to one task.
+        # Rebalancing gathers the rows of a partition into few files and still
+        # splits one that is too large for a task. A half-written version left
+        # by a failed commit is replaced.
         (
-            df.repartition("project_key", "bucket")
+            df.hint("rebalance", "project_key", "bucket")
             .sortWithinPartitions("project_key", "bucket", "term" if table == "postings" else "id")
-            .write.mode("error")
+            .write.mode("overwrite")
             .partitionBy("project_key", "bucket")
             .parquet(f"{self.root}/{table}/v={version}")
         )
 
     def _publish(self, live: DataFrame, version: int) -> int:
-        live.distinct().coalesce(1).write.mode("error").parquet(f"{self.root}/live/v={version}")
+        live.distinct().coalesce(1).write.mode("overwrite").parquet(f"{self.root}/live/v={version}")
         return version
 
     def vacuum(self, keep: int = 1) -> list[int]:
