@@ -89,8 +89,8 @@ def recent_latency_summary(log: DataFrame, samples: int = LATENCY_SAMPLES, tie:
     The count stays that of the whole log."""
     recent = latest(log.select("ts", tie, "latency_ms"), samples, tie=tie)
     summary = latency_summary(recent).drop("query_count")
-    total = log.agg(F.count("*").alias("query_count"))
-    return total.join(F.broadcast(summary))
+    total = log.agg(F.count("*")).scalar()
+    return summary.select(total.alias("query_count"), "avg_ms", "p50_ms", "p95_ms")
 
 
 def last_query(log: DataFrame, group: list[str] | None = None, tie: str = "event_id") -> DataFrame:
@@ -111,14 +111,14 @@ def token_usage(usage: DataFrame) -> DataFrame:
     )
 
 
-def metrics_snapshot(log: DataFrame, usage: DataFrame, backend: str = "parquet") -> DataFrame:
+def metrics_snapshot(log: DataFrame, usage: DataFrame, backend: str = "parquet", tie: str = "event_id") -> DataFrame:
     """One row: latency summary of the durable log, tokens, last composition."""
-    summary = latency_summary(log)
-    newest = log.agg(F.max_by(F.struct(*COMPOSITION), F.struct("ts", "event_id")).alias("last_query"))
-    # Three one-row aggregates side by side.
+    newest = log.agg(F.max_by(F.struct(*COMPOSITION), F.struct("ts", tie))).scalar()
+    used = token_usage(usage).select(F.struct("tokens_embed", "tokens_rerank", "tokens_total")).scalar()
     return (
-        summary.join(F.broadcast(token_usage(usage)))
-        .join(F.broadcast(newest))
+        latency_summary(log)
+        .select("*", used.alias("_used"), newest.alias("last_query"))
+        .select("query_count", "avg_ms", "p50_ms", "p95_ms", "_used.*", "last_query")
         .withColumn("persistent", F.lit(True))
         .withColumn("backend", F.lit(backend))
     )
