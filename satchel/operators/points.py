@@ -38,7 +38,7 @@ def full_meta() -> Column:
     held = F.map_from_entries(
         F.array_compact(
             F.array(
-                *[F.when(F.col(key).isNotNull(), F.struct(F.lit(key), F.col(key))) for key in COLUMN_KEYS]
+                *[F.when(F.col(key).isNotNull(), F.struct(F.lit(key).alias("key"), F.col(key).alias("value"))) for key in COLUMN_KEYS]
             )
         )
     )

@@ -42,7 +42,7 @@ def place(df: DataFrame, buckets: int) -> DataFrame:
 
 
 class PointStore:
-    def __init__(self, spark: SparkSession, root: str, buckets: int = 16, with_postings: bool = False):
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 8, with_postings: bool = False):
         self.spark = spark
         self.root = root.rstrip("/")
         self.buckets = buckets
@@ -77,36 +77,32 @@ class PointStore:
 
     # -- reads ------------------------------------------------------------
 
-    def _read(self, table: str, schema: T.StructType, project_ids: list[str] | None) -> DataFrame:
-        live = self.live()
-        if project_ids is not None:
-            live = live.where(F.col("project_key").isin([project_key(p) for p in project_ids]))
-        # One entry per live folder, as many as Spark's own file index holds.
-        places = live.select("project_key", "bucket", "version").distinct().where(F.col("bucket") >= 0).collect()
+    def _read(self, table: str, schema: T.StructType, live: DataFrame) -> DataFrame:
+        """One scan over the folders of the given live partitions. There are as
+        many of them as Spark's own file index holds."""
+        places = live.where(F.col("bucket") >= 0).select("project_key", "bucket", "version").distinct().collect()
+        placed = _with_place(schema)
         if not places:
-            return self.spark.createDataFrame([], schema)
-        by_version: dict[int, list[str]] = {}
-        for p in places:
-            base = f"{self.root}/{table}/v={p['version']}"
-            by_version.setdefault(p["version"], []).append(f"{base}/project_key={p['project_key']}/bucket={p['bucket']}")
-        parts = [
-            self.spark.read.schema(schema).option("basePath", f"{self.root}/{table}/v={v}").parquet(*paths)
-            for v, paths in sorted(by_version.items())
-        ]
-        out = parts[0]
-        for part in parts[1:]:
-            out = out.unionByName(part)
-        if project_ids is not None:
-            out = out.where(F.col("project_id").isin(project_ids))
-        return out
+            return self.spark.createDataFrame([], placed)
+        base = f"{self.root}/{table}"
+        paths = [f"{base}/v={p['version']}/project_key={p['project_key']}/bucket={p['bucket']}" for p in places]
+        versioned = T.StructType(list(placed.fields) + [T.StructField("v", T.IntegerType())])
+        return self.spark.read.schema(versioned).option("basePath", base).parquet(*sorted(paths)).drop("v")
+
+    def _of_projects(self, table: str, schema: T.StructType, project_ids: list[str] | None) -> DataFrame:
+        live = self.live()
+        if project_ids is None:
+            return self._read(table, schema, live)
+        live = live.where(F.col("project_key").isin([project_key(p) for p in project_ids]))
+        return self._read(table, schema, live).where(F.col("project_id").isin(project_ids))
 
     def points(self, project_ids: list[str] | None = None) -> DataFrame:
-        return self._read("points", _with_place(POINT), project_ids)
+        return self._of_projects("points", POINT, project_ids)
 
     def postings(self, project_ids: list[str] | None = None) -> DataFrame:
         if not self.with_postings:
             raise ValueError("this store was opened without postings")
-        return self._read("postings", _with_place(POSTING), project_ids)
+        return self._of_projects("postings", POSTING, project_ids)
 
     def projects(self) -> DataFrame:
         """Known projects, including created ones without points."""
@@ -157,7 +153,7 @@ class PointStore:
         if cells.limit(1).count() == 0:
             return current
         before = self.live(current)
-        kept = self._cells(before, cells)
+        kept = self._read("points", POINT, before.join(cells, ["project_key", "bucket"], "left_semi"))
         for change in touched:
             kept = kept.join(change.select(*KEY), list(KEY), "left_anti")
         rewritten = kept if fresh is None else kept.unionByName(fresh)
@@ -179,22 +175,6 @@ class PointStore:
         )
         return self._publish(live, version)
 
-    def _cells(self, before: DataFrame, cells: DataFrame) -> DataFrame:
-        """Stored points of the partitions about to be rewritten."""
-        old = before.join(cells, ["project_key", "bucket"], "left_semi").collect()
-        schema = _with_place(POINT)
-        if not old:
-            return self.spark.createDataFrame([], schema)
-        out = None
-        by_version: dict[int, set[str]] = {}
-        for c in old:
-            path = f"{self.root}/points/v={c['version']}/project_key={c['project_key']}/bucket={c['bucket']}"
-            by_version.setdefault(c["version"], set()).add(path)
-        for v, paths in sorted(by_version.items()):
-            part = self.spark.read.schema(schema).option("basePath", f"{self.root}/points/v={v}").parquet(*sorted(paths))
-            out = part if out is None else out.unionByName(part)
-        return out
-
     def _write(self, table: str, df: DataFrame, version: int) -> None:
         # Rebalancing gathers the rows of a partition into few files and still
         # splits one that is too large for a task. A half-written version left

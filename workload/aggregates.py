@@ -10,14 +10,14 @@ from satchel.operators.chunking import chunk_files
 from satchel.operators.percentile import approx_percentiles, percentiles
 from satchel.plans.context import assemble
 from satchel.plans.sync import plan_sync
-from workload.base import FILES_SQL, LOG_SQL, Tables, chunks_sql, query, with_
+from workload.base import FILES_SQL, LOG_SQL, Tables, chunks_sql, even, query, with_
 from workload.joins import BOTH_SQL
 from workload.projections import LISTED_SQL, listed
 
 CHUNKS_SQL = with_(FILES_SQL, chunks_sql())
 
 RANKED_SQL = """SELECT {keys}max(n) AS n, max(CASE WHEN pos = floor(0.5 * (n - 1) + 0.5) THEN v END) AS p50_ms,
-  max(CASE WHEN pos = floor(0.95 * (n - 1) + 0.5) THEN v END) AS p95_ms, round(avg(v), 6) AS mean
+  max(CASE WHEN pos = floor(0.95 * (n - 1) + 0.5) THEN v END) AS p95_ms, round(avg(v) + 1e-9, 6) AS mean
   FROM (SELECT *, row_number() OVER ({part}ORDER BY v) - 1 AS pos, count(*) OVER ({part_only}) AS n FROM {source}){group}"""
 
 
@@ -50,16 +50,16 @@ def project_detail(t: Tables) -> DataFrame:
     return reports.chunk_counts(t.chunks.where("project_id = 'src7'"))
 
 
-@query("a06_query_count_and_mean", "SELECT user_id::VARCHAR AS project_id, count(*) AS query_count, round(avg(value), 6) AS avg_ms FROM events GROUP BY 1")
+@query("a06_query_count_and_mean", "SELECT user_id::VARCHAR AS project_id, count(*) AS query_count, round(avg(value) + 1e-9, 6) AS avg_ms FROM events GROUP BY 1")
 def count_and_mean(t: Tables) -> DataFrame:
     return t.query_log.groupBy("project_id").agg(
-        F.count("*").alias("query_count"), F.round(F.coalesce(F.avg("latency_ms"), F.lit(0.0)), 6).alias("avg_ms")
+        F.count("*").alias("query_count"), even(F.coalesce(F.avg("latency_ms"), F.lit(0.0))).alias("avg_ms")
     )
 
 
 @query("a07_percentiles", RANKED_SQL.format(keys="", part="", part_only="", group="", source="(SELECT value AS v FROM events)"))
 def global_percentiles(t: Tables) -> DataFrame:
-    return percentiles(t.query_log, "latency_ms", reports.P50_P95).withColumn("mean", F.round("mean", 6))
+    return percentiles(t.query_log, "latency_ms", reports.P50_P95).withColumn("mean", even(F.col("mean")))
 
 
 @query(
@@ -71,7 +71,7 @@ def global_percentiles(t: Tables) -> DataFrame:
 )
 def project_percentiles(t: Tables) -> DataFrame:
     found = percentiles(t.query_log, "latency_ms", reports.P50_P95, ["project_id"])
-    return found.withColumn("mean", F.round("mean", 6))
+    return found.withColumn("mean", even(F.col("mean")))
 
 
 @query("a07_approx_percentiles")
@@ -85,7 +85,7 @@ def approximate(t: Tables) -> DataFrame:
     + RANKED_SQL.format(keys="", part="", part_only="", group="", source="r") + ")",
 )
 def recent_latency(t: Tables) -> DataFrame:
-    return reports.recent_latency_summary(t.query_log).withColumn("avg_ms", F.round("avg_ms", 6))
+    return reports.recent_latency_summary(t.query_log).withColumn("avg_ms", even(F.col("avg_ms")))
 
 
 TOKEN_COUNT = "len(list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda t: t <> ''))"

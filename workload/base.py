@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 from satchel.operators.chunking import chunk_files
 from satchel.plans.search import embed_queries, with_defaults
 from satchel.plans.sync import chunk_points
+from satchel.session import scratch_path
 from satchel.sources.files import files_from_table
+from satchel.sources.store import PointStore
 
 MODEL = "hash-64"
 DIM = 64
@@ -164,6 +166,17 @@ class Tables:
         return of(self.documents, "embed").unionByName(of(self.read("conversations"), "rerank"))
 
 
+def trial_store(t: Tables) -> PointStore:
+    """An empty store in the scratch folder; few buckets, as the tables are small."""
+    return PointStore(t.spark, scratch_path(t.spark, "store"), buckets=2)
+
+
+def even(x: F.Column) -> F.Column:
+    """A mean to six decimals. The nudge keeps exact halves, which sums in
+    different order may leave on either side, rounding the same way."""
+    return F.round(x + 1e-9, 6)
+
+
 # ---------------------------------------------------------------- SQL twins
 
 FILES_SQL = """files AS (

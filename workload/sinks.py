@@ -10,9 +10,8 @@ from satchel.operators.points import list_points
 from satchel.operators.reports import chunk_counts, counts_of
 from satchel.plans.migrate import migrate
 from satchel.session import scratch_path
-from satchel.sources.store import PointStore
 from satchel.streaming.events import publish, record_queries
-from workload.base import LOG_SQL, MODEL, POINTS_SQL, Tables, query, with_
+from workload.base import LOG_SQL, MODEL, POINTS_SQL, Tables, query, trial_store, with_
 
 # Conversation turns keyed by (role, conversation): later turns of a role
 # replace earlier ones.
@@ -56,7 +55,7 @@ def upsert_rows(t: Tables) -> DataFrame:
     + """SELECT project_id, id, CASE WHEN source_dir = 'fr' THEN upper(content) ELSE content END AS content, 2 AS version FROM points""",
 )
 def store_upsert(t: Tables) -> DataFrame:
-    store = PointStore(t.spark, scratch_path(t.spark, "store"))
+    store = trial_store(t)
     store.upsert(t.points)
     store.upsert(t.points.where("source_dir = 'fr'").withColumn("content", F.upper("content")))
     return store.points().select("project_id", "id", "content", F.lit(store.version()).alias("version"))
@@ -91,7 +90,7 @@ def delete_rows(t: Tables) -> DataFrame:
     with_(POINTS_SQL) + "SELECT project_id, id, content_hash FROM points WHERE position > 0",
 )
 def store_delete(t: Tables) -> DataFrame:
-    store = PointStore(t.spark, scratch_path(t.spark, "store"))
+    store = trial_store(t)
     store.upsert(t.points)
     store.delete_points(t.points.where("chunk_index = '0'"))
     return store.points().select("project_id", "id", "content_hash")
@@ -107,7 +106,7 @@ def drop_project(t: Tables) -> DataFrame:
     with_(POINTS_SQL) + "SELECT project_id, count(*) AS chunk_count FROM points WHERE project_id <> 'src1' GROUP BY 1",
 )
 def store_drop_project(t: Tables) -> DataFrame:
-    store = PointStore(t.spark, scratch_path(t.spark, "store"))
+    store = trial_store(t)
     store.upsert(t.points)
     store.delete_project("src1")
     return chunk_counts(store.points())
@@ -119,7 +118,7 @@ def store_drop_project(t: Tables) -> DataFrame:
     + "SELECT project_id, count(*) AS chunk_count FROM points GROUP BY 1 UNION ALL SELECT 'empty one', 0",
 )
 def create_project(t: Tables) -> DataFrame:
-    store = PointStore(t.spark, scratch_path(t.spark, "store"))
+    store = trial_store(t)
     store.upsert(t.points)
     store.create_project("empty one")
     store.create_project("empty one")
@@ -146,7 +145,7 @@ def publish_events(t: Tables) -> DataFrame:
     """SELECT 'copied' AS project_id, doc_id::VARCHAR AS id, text AS content, lang, 'hash-64' AS embed_model FROM documents""",
 )
 def migrated_write(t: Tables) -> DataFrame:
-    store = PointStore(t.spark, scratch_path(t.spark, "store"))
+    store = trial_store(t)
     rows = t.documents.select(
         F.col("doc_id").cast("string").alias("id"), F.col("text").alias("content"),
         F.create_map(F.lit("lang"), F.col("lang")).alias("meta"),

@@ -18,7 +18,7 @@ from satchel.sources.files import list_tree, read_files
 from satchel.sources.imports import import_documents, parallel_array_pages
 from satchel.sources.store import PointStore
 from satchel.streaming.events import append_to, follow, of_types, publish, record_queries
-from workload.base import FILES_SQL, LOG_SQL, POINTS_SQL, Tables, query, with_
+from workload.base import FILES_SQL, LOG_SQL, POINTS_SQL, Tables, query, trial_store, with_
 
 
 def tree_path() -> F.Column:
@@ -97,7 +97,7 @@ def document_source(t: Tables) -> DataFrame:
 
 
 def stored(t: Tables) -> PointStore:
-    store = PointStore(t.spark, scratch_path(t.spark, "store"))
+    store = trial_store(t)
     store.upsert(t.points)
     return store
 
