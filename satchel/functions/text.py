@@ -71,5 +71,5 @@ def highlight(content: Column, query: Column) -> Column:
     """Wrap every occurrence of a query word of two or more letters in a mark."""
     words = F.filter(F.split(F.lower(query), r"\s+"), lambda w: F.char_length(w) > 1)
     escaped = F.transform(words, lambda w: F.regexp_replace(w, r"([.*+?^${}()|\[\]\\])", r"\\$1"))
-    pattern = F.concat(F.lit("(?i)("), F.array_join(escaped, "|"), F.lit(")"))
+    pattern = F.concat(F.lit("(?iu)("), F.array_join(escaped, "|"), F.lit(")"))
     return F.when(F.size(words) > 0, F.regexp_replace(content, pattern, F.lit("<mark>$1</mark>"))).otherwise(content)

@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from satchel.functions.vectors import SCORE_DECIMALS, cosine
 from satchel.operators.ranking import best_per_group, dense_order
 
-# Bytes of question vectors that may be sent to every task.
+# Questions, and bytes of question vectors, that may be sent to every task.
+PACKED_QUERIES = 8_192
 PACKED_QUERY_BYTES = 64 << 20
 # Similarities held at once by a task.
 CELLS_AT_ONCE = 4_000_000
@@ -53,24 +54,22 @@ def dense_topk(points: DataFrame, queries: DataFrame, k: str = "recall", group:
         F.col(group).cast("string").alias("_group"), F.col("query_id"), F.col("qvec").alias("_qvec"), F.col(k).alias("_k")
     )
     stored = points.select(F.col(group).cast("string").alias("_group"), "project_id", "id", "embedding")
-    head = asked.limit(1).collect()
-    if not head:
+    packed = asked.limit(PACKED_QUERIES + 1).collect()
+    if not packed:
         return _empty(points)
-    row_limit = max(1, PACKED_QUERY_BYTES // (8 * max(1, len(head[0]["_qvec"]))))
-    packed = asked.limit(row_limit + 1).collect()
-    if len(packed) <= row_limit:
+    size = 8 * len(packed) * max(len(r["_qvec"]) for r in packed)
+    if len(packed) <= PACKED_QUERIES and size <= PACKED_QUERY_BYTES:
+        bounds = {r["_k"] for r in packed}
         partial = _with_travelling_queries(stored, packed)
-        max_k = max(r["_k"] for r in packed)
     else:
+        bounds = {r[0] for r in asked.select("_k").distinct().limit(2).collect()}
         partial = _with_blocks(stored, asked)
-        max_k = asked.agg(F.max("_k")).first()[0]
-    bounds = queries.select("query_id", F.col(k).alias("_k")).distinct()
+    max_k = max(bounds) if len(bounds) == 1 else asked.agg(F.max("_k")).first()[0]
     ranked = best_per_group(partial, ["query_id"], dense_order(), max_k, spread=16)
-    # Every task already honoured the bound of each question, so only a
-    # question-specific cut remains when bounds differ.
-    if len(packed) <= row_limit and len({r["_k"] for r in packed}) == 1:
+    if len(bounds) == 1:
         return ranked
-    return ranked.join(bounds, "query_id").where(F.col("rank") <= F.col("_k")).drop("_k")
+    wanted = queries.select("query_id", F.col(k).alias("_k")).distinct()
+    return ranked.join(wanted, "query_id").where(F.col("rank") <= F.col("_k")).drop("_k")
 
 
 def _empty(points: DataFrame) -> DataFrame:

@@ -6,12 +6,15 @@ sits in most rows never drives a join.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from satchel.functions.text import query_terms, tokens
 from satchel.operators.ranking import best_per_group, dense_order
-from satchel.session import SMALL_ROWS, broadcast_if_small, is_small
+from satchel.session import SMALL_ROWS, broadcast_if_small
+
+# Words of all questions together that may be broadcast.
+SMALL_WORDS = 500_000
 
 
 def build_postings(points: DataFrame, content: str = "content") -> DataFrame:
@@ -41,7 +44,8 @@ def lexical_matches(queries: DataFrame, points: DataFrame | None = None, posting
         return _from_postings(asked, postings)
     if points is None:
         raise ValueError("either points or postings are needed")
-    if is_small(asked):
+    size = asked.agg(F.count("*").alias("questions"), F.sum(F.size("terms")).alias("words")).first()
+    if size["questions"] <= SMALL_ROWS and (size["words"] or 0) <= SMALL_WORDS:
         return _from_texts(asked, points)
     return _from_postings(asked, build_postings(points))
 
@@ -61,15 +65,15 @@ def _rarest(asked: DataFrame, frequency: DataFrame) -> DataFrame:
 
 def _from_texts(asked: DataFrame, points: DataFrame) -> DataFrame:
     texts = points.select("project_id", "id", tokens(F.col("content")).alias("words"))
+    # At most SMALL_ROWS questions and SMALL_WORDS words, checked by the caller.
     vocabulary = asked.select("project_id", F.explode("terms").alias("term")).distinct()
     frequency = (
         texts.select("project_id", F.explode(F.array_distinct("words")).alias("term"))
-        .join(broadcast_if_small(vocabulary), ["project_id", "term"])
+        .join(F.broadcast(vocabulary), ["project_id", "term"])
         .groupBy("project_id", "term")
         .agg(F.count("*").alias("df"))
     )
     lead = _rarest(asked, frequency).join(asked.select("query_id", "terms"), "query_id")
-    # One row per question, at most SMALL_ROWS of them (checked by the caller).
     lead = lead.withColumnRenamed("term", "lead")
     leads = lead.groupBy("project_id").agg(F.collect_set("lead").alias("leads"))
     hit = texts.join(F.broadcast(leads), "project_id").select(
@@ -110,9 +114,8 @@ def _from_postings(asked: DataFrame, postings: DataFrame) -> DataFrame:
 def lexical_topk(matches: DataFrame, queries: DataFrame, k: str = "recall") -> DataFrame:
     """Best matches of each question by lexical score, ties in id order."""
     bounds = queries.select("query_id", F.col(k).alias("_k"))
-    max_k = bounds.agg(F.max("_k")).first()[0] or 1
-    ranked = best_per_group(matches, ["query_id"], dense_order("lex_score"), max_k, spread=16)
-    return ranked.join(broadcast_if_small(bounds), "query_id").where(F.col("rank") <= F.col("_k")).drop("_k")
-
-
-__all__ = ["build_postings", "parsed", "lexical_matches", "lexical_topk", "SMALL_ROWS", "Window"]
+    seen = bounds.agg(F.max("_k").alias("most"), F.min("_k").alias("least")).first()
+    ranked = best_per_group(matches, ["query_id"], dense_order("lex_score"), seen["most"] or 1, spread=16)
+    if seen["most"] == seen["least"]:
+        return ranked
+    return ranked.join(bounds, "query_id").where(F.col("rank") <= F.col("_k")).drop("_k")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +33,26 @@ def rerank_by(candidates: DataFrame, score: Column) -> DataFrame:
     )
 
 
+def reorder_by(candidates: DataFrame, score: Column, k: str = "k", flag: str = "rerank") -> DataFrame:
+    """Candidates in the order of a column expression, cut to k, in one pass.
+
+    The same as applying the hits of ``rerank_by``; questions without the flag
+    keep their retrieval order.
+    """
+    relevance = F.when(F.col(flag), score)
+    window = Window.partitionBy("query_id").orderBy(F.col("_relevance").desc_nulls_last(), F.col("rank"))
+    return (
+        candidates.withColumn("_relevance", relevance)
+        .withColumn("_place", F.row_number().over(window))
+        .where(F.col("_place") <= F.col(k))
+        .withColumn("score", F.coalesce("_relevance", "score"))
+        .withColumn("reranked", F.col(flag))
+        .withColumn("moved", F.col(flag) & (F.col("_place") != F.col("rank")))
+        .withColumn("rank", F.col("_place"))
+        .drop("_relevance", "_place")
+    )
+
+
 def rerank_with(candidates: DataFrame, scorer: Scorer, k: str = "k") -> DataFrame:
     """Hits from a user function, called once per question.
 
@@ -41,23 +61,24 @@ def rerank_with(candidates: DataFrame, scorer: Scorer, k: str = "k") -> DataFram
     its retrieval order.
     """
 
-    def score_group(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("rank")
+    def score_group(group: pa.Table) -> pa.Table:
+        group = group.sort_by("rank")
+        query_id, question, wanted = (group.column(c)[0].as_py() for c in ("query_id", "query", "k"))
         try:
-            hits = list(scorer(group["query"].iloc[0], group["content"].tolist(), int(group["k"].iloc[0])))
+            hits = list(scorer(question, group.column("content").to_pylist(), wanted))
         except Exception:
             hits = []
-        return pd.DataFrame(
+        return pa.table(
             {
-                "query_id": [group["query_id"].iloc[0]] * len(hits),
-                "hit": range(len(hits)),
-                "idx": [int(i) for i, _ in hits],
-                "relevance_score": [float(s) for _, s in hits],
+                "query_id": pa.array([query_id] * len(hits), pa.string()),
+                "hit": pa.array(range(len(hits)), pa.int32()),
+                "idx": pa.array([int(i) for i, _ in hits], pa.int32()),
+                "relevance_score": pa.array([float(s) for _, s in hits], pa.float64()),
             }
         )
 
     slim = candidates.select("query_id", "query", "rank", "content", F.col(k).alias("k"))
-    return slim.groupBy("query_id").applyInPandas(score_group, HIT_SCHEMA)
+    return slim.groupBy("query_id").applyInArrow(score_group, HIT_SCHEMA)
 
 
 def apply_hits(candidates: DataFrame, hits: DataFrame, k: str = "k") -> DataFrame:

@@ -13,7 +13,7 @@ from satchel.operators.dense import dense_topk
 from satchel.operators.embedding import hash_embedding
 from satchel.operators.fusion import best_fused, fuse
 from satchel.operators.lexical import lexical_matches, lexical_topk
-from satchel.operators.rerank import Scorer, apply_hits, rerank_by, rerank_with
+from satchel.operators.rerank import Scorer, apply_hits, reorder_by, rerank_with
 from satchel.session import broadcast_if_small, staged
 
 DEFAULT_K = 5
@@ -53,15 +53,24 @@ def candidates(queries: DataFrame, points: DataFrame, postings: DataFrame | None
 
     Texts and metadata stay behind; they are fetched for the few survivors.
     """
+    modes = {r[0] for r in queries.select("hybrid").distinct().collect()}
     dense = dense_topk(points, queries)
-    modes = queries.select("query_id", "recall", "hybrid")
-    plain = dense.join(broadcast_if_small(modes.where(~F.col("hybrid"))), "query_id").select(
-        "query_id", "project_id", "id", "score", "rank", F.lit(False).alias("in_dense"), F.lit(False).alias("in_lexical")
-    )
+    no = F.lit(False)
+    plain = dense.select("query_id", "project_id", "id", "score", "rank", no.alias("in_dense"), no.alias("in_lexical"))
+    if True not in modes:
+        return plain
+    if False in modes:
+        # Both kinds of question read the same dense lists.
+        dense = staged(dense, "dense")
     asked = queries.where("hybrid")
     lexical = lexical_topk(lexical_matches(asked, points, postings), asked)
-    fused = best_fused(fuse(dense.join(modes.where("hybrid").select("query_id"), "query_id", "left_semi"), lexical), modes)
-    return fused.select(*plain.columns).unionByName(plain)
+    fused = best_fused(fuse(dense.join(asked.select("query_id"), "query_id", "left_semi"), lexical), asked)
+    fused = fused.select(*plain.columns)
+    if False not in modes:
+        return fused
+    rest = queries.where(~F.col("hybrid")).select("query_id")
+    kept = dense.withColumn("in_dense", no).withColumn("in_lexical", no).select(*plain.columns)
+    return fused.unionByName(kept.join(rest, "query_id", "left_semi"))
 
 
 def hydrate(found: DataFrame, points: DataFrame, columns: list[str]) -> DataFrame:
@@ -116,25 +125,24 @@ def search(
     ``scorer`` is a function over a question's candidates, or an expression
     over ``query`` and ``content``; without one nothing is reranked.
     """
-    asked = with_defaults(queries)
+    asked = staged(with_defaults(queries), "questions")
     found = staged(candidates(asked, points, postings), "candidates")
     options = asked.select("query_id", "query", "k", "rerank", "compress")
     stored = ["content", "content_hash", *[c for c in extra if c not in ("content", "content_hash")]]
     first_k = F.col("rank") <= F.col("k")
-    sized = found.join(broadcast_if_small(options), "query_id")
+    # Only questions that want a rerank need the text of all their candidates.
+    needed = first_k if scorer is None else F.col("rerank") | first_k
+    full = hydrate(found.join(broadcast_if_small(options), "query_id").where(needed), points, stored)
     if scorer is None:
-        ranked = hydrate(sized.where(first_k), points, stored).withColumn("reranked", F.lit(False)).withColumn(
-            "moved", F.lit(False)
-        )
+        ranked = full.withColumn("reranked", F.lit(False)).withColumn("moved", F.lit(False))
+    elif isinstance(scorer, Column):
+        ranked = reorder_by(full, scorer)
     else:
-        # Only questions that want a rerank need the text of all candidates.
-        full = hydrate(sized.where(F.col("rerank") | first_k), points, stored)
-        # Each candidate text goes once through the scorer; both branches below
-        # read it.
+        # The texts go to the scorer once and are then read again in its order.
         full = staged(full, "candidate-texts")
-        wanted = full.where("rerank")
-        hits = rerank_by(wanted, scorer) if isinstance(scorer, Column) else rerank_with(wanted, scorer)
-        ranked = apply_hits(full, hits)
+        ranked = apply_hits(full, rerank_with(full.where("rerank"), scorer))
     moved = F.sum(F.col("moved").cast("int")).over(Window.partitionBy("query_id")).cast("int")
-    results = compress(ranked.withColumn("rerank_moved", moved), flag="compress").drop("query", "k", "rerank", "compress", "moved")
-    return Answer(asked, found, results)
+    ranked = ranked.withColumn("rerank_moved", moved)
+    if asked.where("compress").limit(1).count():
+        ranked = compress(ranked, flag="compress")
+    return Answer(asked, found, ranked.drop("query", "k", "rerank", "compress", "moved"))

@@ -130,9 +130,8 @@ def sync(
     # Feeds the counters and the embedding, after which the store has moved.
     marked = staged(change.chunks, "sync-chunks")
     change = SyncChange(marked, staged(change.stale, "sync-stale"), change.files)
-    report = staged(change.result(), "sync-result")
     store.commit(upserts=chunk_points(change.to_index(), embed, model), deletes=change.stale)
-    return report
+    return change.result()
 
 
 def index_documents(

@@ -10,6 +10,7 @@ they opened. One writer at a time.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,8 +19,9 @@ from pyspark.sql import types as T
 from satchel.operators.keyed import KEY, last_wins
 from satchel.operators.lexical import build_postings
 from satchel.schema import POINT, POSTING
-from satchel.session import broadcast_if_small, staged
+from satchel.session import staged
 
+_LIVE = "project_id string, project_key string, bucket int, version int"
 _PLACE = (("project_key", T.StringType()), ("bucket", T.IntegerType()))
 
 
@@ -70,31 +72,30 @@ class PointStore:
     def live(self, version: int | None = None) -> DataFrame:
         """Live partitions: project_id, project_key, bucket, version."""
         at = self.version() if version is None else version
-        schema = "project_id string, project_key string, bucket int, version int"
         if at == 0:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.root}/live/v={at}")
+            return self.spark.createDataFrame([], _LIVE)
+        return self.spark.read.schema(_LIVE).parquet(f"{self.root}/live/v={at}")
 
     # -- reads ------------------------------------------------------------
 
-    def _read(self, table: str, schema: T.StructType, live: DataFrame) -> DataFrame:
-        """One scan over the folders of the given live partitions. There are as
-        many of them as Spark's own file index holds."""
-        places = live.where(F.col("bucket") >= 0).select("project_key", "bucket", "version").distinct().collect()
+    def _read(self, table: str, schema: T.StructType, live: list) -> DataFrame:
+        """One scan over the folders of the given live partitions."""
         placed = _with_place(schema)
-        if not places:
-            return self.spark.createDataFrame([], placed)
         base = f"{self.root}/{table}"
-        paths = [f"{base}/v={p['version']}/project_key={p['project_key']}/bucket={p['bucket']}" for p in places]
+        paths = {
+            f"{base}/v={r['version']}/project_key={r['project_key']}/bucket={r['bucket']}" for r in live if r["bucket"] >= 0
+        }
+        if not paths:
+            return self.spark.createDataFrame([], placed)
         versioned = T.StructType(list(placed.fields) + [T.StructField("v", T.IntegerType())])
         return self.spark.read.schema(versioned).option("basePath", base).parquet(*sorted(paths)).drop("v")
 
     def _of_projects(self, table: str, schema: T.StructType, project_ids: list[str] | None) -> DataFrame:
-        live = self.live()
+        live = self.live().collect()
         if project_ids is None:
             return self._read(table, schema, live)
-        live = live.where(F.col("project_key").isin([project_key(p) for p in project_ids]))
-        return self._read(table, schema, live).where(F.col("project_id").isin(project_ids))
+        found = self._read(table, schema, [r for r in live if r["project_id"] in project_ids])
+        return found.where(F.col("project_id").isin(project_ids))
 
     def points(self, project_ids: list[str] | None = None) -> DataFrame:
         return self._of_projects("points", POINT, project_ids)
@@ -112,16 +113,14 @@ class PointStore:
 
     def create_project(self, project_id: str) -> int:
         """Register a project; a known one is left alone."""
-        before = self.live()
-        if before.where(F.col("project_id") == project_id).limit(1).count():
+        rows = [tuple(r) for r in self.live().collect()]
+        if any(r[0] == project_id for r in rows):
             return self.version()
-        row = self.spark.createDataFrame(
-            [(project_id, project_key(project_id), -1, 0)], before.schema
-        )
-        return self._publish(before.unionByName(row), self.version() + 1)
+        return self._publish([*rows, (project_id, project_key(project_id), -1, 0)], self.version() + 1)
 
     def delete_project(self, project_id: str) -> int:
-        return self._publish(self.live().where(F.col("project_id") != project_id), self.version() + 1)
+        rows = [tuple(r) for r in self.live().collect() if r["project_id"] != project_id]
+        return self._publish(rows, self.version() + 1)
 
     def upsert(self, points: DataFrame, ordinal: str | None = None) -> int:
         """Insert points; a known (project, id) is replaced as a whole. Of
@@ -131,49 +130,41 @@ class PointStore:
         return self.commit(upserts=points)
 
     def delete_points(self, keys: DataFrame) -> int:
-        return self.commit(deletes=keys)
+        return self.commit(deletes=staged(keys.select(*KEY), "deletes"))
 
     def commit(self, upserts: DataFrame | None = None, deletes: DataFrame | None = None) -> int:
         """Apply upserts and deletes together as one new version. ``upserts``
-        has at most one row per key; a key in both is kept."""
+        has at most one row per key; a key in both is kept. ``deletes`` must
+        not depend on later states of this store."""
         current = self.version()
-        fresh = gone = None
-        touched = []
+        before = self.live(current)
+        changes = []
+        fresh = None
         if upserts is not None:
-            # Written once: it feeds the touched list, the match and the table.
+            # Written once: it feeds the touched cells, the match and the table.
             fresh = place(staged(upserts.select(*POINT.fieldNames()), "upserts"), self.buckets)
-            touched.append(fresh)
+            changes.append(fresh.select(*KEY, "project_key", "bucket"))
         if deletes is not None:
-            gone = place(staged(deletes.select(*KEY), "deletes"), self.buckets)
-            touched.append(gone)
-        cells = touched[0].select("project_key", "bucket")
-        for other in touched[1:]:
-            cells = cells.unionByName(other.select("project_key", "bucket"))
-        cells = cells.distinct()
-        if cells.limit(1).count() == 0:
+            changes.append(place(deletes.select(*KEY), self.buckets))
+        keys = reduce(DataFrame.unionByName, changes)
+        # Cells and live rows number as many as the table has partitions.
+        cells = {(r[0], r[1]) for r in keys.select("project_key", "bucket").distinct().collect()}
+        if not cells:
             return current
-        before = self.live(current)
-        kept = self._read("points", POINT, before.join(cells, ["project_key", "bucket"], "left_semi"))
-        for change in touched:
-            kept = kept.join(change.select(*KEY), list(KEY), "left_anti")
-        rewritten = kept if fresh is None else kept.unionByName(fresh)
+        old = before.collect()
+        kept = self._read("points", POINT, [r for r in old if (r["project_key"], r["bucket"]) in cells])
+        kept = kept.join(keys.select(*KEY), list(KEY), "left_anti")
         version = current + 1
-        self._write("points", rewritten, version)
+        self._write("points", kept if fresh is None else kept.unionByName(fresh), version)
         written = self.spark.read.schema(_with_place(POINT)).parquet(f"{self.root}/points/v={version}")
         if self.with_postings:
             self._write("postings", place(build_postings(written), self.buckets), version)
+        filled = written.select("project_id", "project_key", "bucket").distinct().collect()
+        rows = {tuple(r) for r in old if (r["project_key"], r["bucket"]) not in cells}
+        rows |= {(r[0], r[1], r[2], version) for r in filled}
         # Registration rows (bucket -1) keep a project known when it is empty.
-        known = before.unionByName(
-            written.select("project_id", "project_key", F.lit(-1).alias("bucket"), F.lit(0).alias("version")).distinct()
-        )
-        live = (
-            known.join(broadcast_if_small(cells), ["project_key", "bucket"], "left_anti")
-            .select(*before.columns)
-            .unionByName(
-                written.select("project_id", "project_key", "bucket").distinct().withColumn("version", F.lit(version))
-            )
-        )
-        return self._publish(live, version)
+        rows |= {(r[0], r[1], -1, 0) for r in filled}
+        return self._publish(sorted(rows), version)
 
     def _write(self, table: str, df: DataFrame, version: int) -> None:
         # Rebalancing gathers the rows of a partition into few files and still
@@ -187,8 +178,9 @@ class PointStore:
             .parquet(f"{self.root}/{table}/v={version}")
         )
 
-    def _publish(self, live: DataFrame, version: int) -> int:
-        live.distinct().coalesce(1).write.mode("overwrite").parquet(f"{self.root}/live/v={version}")
+    def _publish(self, rows: list[tuple], version: int) -> int:
+        live = self.spark.createDataFrame(rows, _LIVE)
+        live.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/live/v={version}")
         return version
 
     def vacuum(self, keep: int = 1) -> list[int]:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from satchel.operators.chunking import chunk_files
 from satchel.plans.search import embed_queries, with_defaults
 from satchel.plans.sync import chunk_points
-from satchel.session import scratch_path
+from satchel.session import scratch_path, staged
 from satchel.sources.files import files_from_table
 from satchel.sources.store import PointStore
 
@@ -97,6 +97,11 @@ class Tables:
     def points(self) -> DataFrame:
         return chunk_points(self.chunks, model=MODEL)
 
+    @cached_property
+    def indexed(self) -> DataFrame:
+        """The points as a written table, as a store would hold them."""
+        return staged(self.points, "indexed")
+
     @cached_property
     def questions(self) -> DataFrame:
         home = self.read("documents").select(F.col("doc_id").alias("item_id"), F.col("source").alias("project_id"))

@@ -57,8 +57,8 @@ def stale(t: Tables) -> DataFrame:
          FROM dense d FULL OUTER JOIN lexical l ON d.query_id = l.query_id AND d.id = l.id""",
 )
 def hybrid_full_outer(t: Tables) -> DataFrame:
-    dense = dense_topk(t.points, t.questions)
-    lexical = lexical_topk(lexical_matches(t.questions, t.points), t.questions)
+    dense = dense_topk(t.indexed, t.questions)
+    lexical = lexical_topk(lexical_matches(t.questions, t.indexed), t.questions)
     return full_outer(dense, lexical).drop("project_id")
 
 
@@ -154,7 +154,7 @@ def project_exists(t: Tables) -> DataFrame:
     with_(POINTS_SQL, QUESTIONS_SQL, MATCHES_SQL) + "SELECT query_id, id, lex_score FROM matches",
 )
 def lexical_match(t: Tables) -> DataFrame:
-    return lexical_matches(t.questions, t.points).select("query_id", "id", "lex_score")
+    return lexical_matches(t.questions, t.indexed).select("query_id", "id", "lex_score")
 
 
 @query(
@@ -162,7 +162,7 @@ def lexical_match(t: Tables) -> DataFrame:
     with_(POINTS_SQL, QUESTIONS_SQL, MATCHES_SQL) + "SELECT query_id, id, lex_score FROM matches",
 )
 def lexical_match_postings(t: Tables) -> DataFrame:
-    return lexical_matches(t.questions, postings=build_postings(t.points)).select("query_id", "id", "lex_score")
+    return lexical_matches(t.questions, postings=build_postings(t.indexed)).select("query_id", "id", "lex_score")
 
 
 @query(

@@ -80,7 +80,7 @@ def query_terms(t: Tables) -> DataFrame:
 def term_frequency(t: Tables) -> DataFrame:
     from satchel.operators.lexical import lexical_matches
 
-    return lexical_matches(t.questions, t.points).select("query_id", "id", "lex_score")
+    return lexical_matches(t.questions, t.indexed).select("query_id", "id", "lex_score")
 
 
 @query(

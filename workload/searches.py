@@ -114,7 +114,7 @@ def exporter(t: Tables) -> DataFrame:
 def hybrid_flag(t: Tables) -> DataFrame:
     """Questions with an id of even length ask for dense search only."""
     asked = t.questions.withColumn("hybrid", F.char_length("query_id") % 2 == 1).withColumn("compress", F.lit(False))
-    return search(asked, t.points).results.select(
+    return search(asked, t.indexed).results.select(
         "query_id", "id", "rank", (F.col("in_dense") | F.col("in_lexical")).alias("has_origin")
     )
 
@@ -166,7 +166,7 @@ SEARCHED_SQL = with_(SEARCH_SQL, RERANKED_SQL, compressed_sql("reranked"))
 
 def searched(t: Tables):
     scorer = term_overlap(F.col("query"), F.col("content"))
-    return search(t.questions, t.points, scorer=scorer, extra=("source_file", "meta"))
+    return search(t.questions, t.indexed, scorer=scorer, extra=("source_file", "meta"))
 
 
 @query(
@@ -198,7 +198,7 @@ def search_composition(t: Tables) -> DataFrame:
 )
 def dense_only(t: Tables) -> DataFrame:
     asked = t.questions.withColumn("hybrid", F.lit(False)).withColumn("compress", F.lit(False))
-    return search(asked, t.points).results.select("query_id", "id", "rank", F.round("score", 6).alias("score"))
+    return search(asked, t.indexed).results.select("query_id", "id", "rank", F.round("score", 6).alias("score"))
 
 
 @query(

@@ -25,12 +25,12 @@ CHUNKS_SQL = with_(FILES_SQL, chunks_sql())
 
 @query("w01_dense_rank", with_(POINTS_SQL, QUESTIONS_SQL, DENSE_SQL) + "SELECT query_id, id, round(score, 6) AS score, rank FROM dense")
 def dense_rank(t: Tables) -> DataFrame:
-    return dense_topk(t.points, t.questions).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+    return dense_topk(t.indexed, t.questions).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
 @query("w02_lexical_rank", with_(POINTS_SQL, QUESTIONS_SQL, LEXICAL_SQL) + "SELECT query_id, id, lex_score, rank FROM lexical")
 def lexical_rank(t: Tables) -> DataFrame:
-    return lexical_topk(lexical_matches(t.questions, t.points), t.questions).select("query_id", "id", "lex_score", "rank")
+    return lexical_topk(lexical_matches(t.questions, t.indexed), t.questions).select("query_id", "id", "lex_score", "rank")
 
 
 @query(
@@ -43,8 +43,8 @@ def lexical_rank(t: Tables) -> DataFrame:
     + "SELECT query_id, id, rank FROM compressed",
 )
 def compressed(t: Tables) -> DataFrame:
-    found = dense_topk(t.points, t.questions)
-    stored = t.points.withColumn("content", F.regexp_replace("content", r"^File: [^\n]*\n\n", ""))
+    found = dense_topk(t.indexed, t.questions)
+    stored = t.indexed.withColumn("content", F.regexp_replace("content", r"^File: [^\n]*\n\n", ""))
     return compress(hydrate(found, stored, ["content", "content_hash"])).select("query_id", "id", "rank")
 
 
@@ -132,8 +132,8 @@ def dense_top_k(t: Tables) -> DataFrame:
 )
 def fused_order(t: Tables) -> DataFrame:
     asked = t.questions
-    lexical = lexical_topk(lexical_matches(asked, t.points), asked)
-    found = best_fused(fuse(dense_topk(t.points, asked), lexical), asked)
+    lexical = lexical_topk(lexical_matches(asked, t.indexed), asked)
+    found = best_fused(fuse(dense_topk(t.indexed, asked), lexical), asked)
     return found.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
