@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -64,33 +65,33 @@ def by_returned_index(vectors: DataFrame, key: str = "batch_id", idx: str = "idx
     return vectors.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(idx, "embedding"))).alias("ordered"))
 
 
-def hash_buckets(text: Column, dim: int) -> Column:
-    """Bucket of each word: leading 32 bits of its MD5, modulo ``dim``."""
-    return F.transform(
-        tokens(text),
-        lambda w: F.pmod(F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long"), F.lit(dim)).cast("int"),
-    )
+def word_bucket(word: str, dim: int) -> int:
+    """Bucket of a word: leading 32 bits of its MD5, modulo ``dim``."""
+    return int.from_bytes(hashlib.md5(word.encode()).digest()[:4], "big") % dim
 
 
 def hash_embedding(text: Column, dim: int = 64) -> Column:
     """Deterministic vector of a text: word counts per bucket, unit length.
 
-    Words are cut and hashed in the JVM; the counts of a whole Arrow batch are
-    one ``bincount``. A text without words gets the zero vector.
+    Words are cut in the JVM; each distinct word of an Arrow batch is hashed
+    once and the counts of the whole batch are one ``bincount``. A text
+    without words gets the zero vector.
     """
 
     @F.arrow_udf("array<float>")
-    def count_up(buckets: pa.Array) -> pa.Array:
-        rows = len(buckets)
-        lengths = np.diff(buckets.offsets.to_numpy())
-        cell = np.repeat(np.arange(rows, dtype=np.int64) * dim, lengths) + buckets.flatten().to_numpy()
+    def count_up(words: pa.Array) -> pa.Array:
+        rows = len(words)
+        encoded = words.flatten().dictionary_encode()
+        buckets = np.array([word_bucket(w, dim) for w in encoded.dictionary.to_pylist()], dtype=np.int64)
+        row = np.repeat(np.arange(rows, dtype=np.int64), np.diff(words.offsets.to_numpy()))
+        cell = row * dim + buckets[encoded.indices.to_numpy()]
         counts = np.bincount(cell, minlength=rows * dim).reshape(rows, dim).astype(np.float64)
         size = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
         unit = np.divide(counts, size, out=np.zeros_like(counts), where=size > 0).astype(np.float32)
         offsets = np.arange(0, rows * dim + 1, dim, dtype=np.int32)
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(unit.reshape(-1), pa.float32()))
 
-    return count_up(F.coalesce(hash_buckets(text, dim), F.array().cast("array<int>")))
+    return count_up(F.coalesce(tokens(text), F.array().cast("array<string>")))
 
 
 def hash_embed(df: DataFrame, text: str = "content", dim: int = 64, into: str = "embedding") -> DataFrame:

@@ -6,6 +6,10 @@ sits in most rows never drives a join.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,11 +22,43 @@ SMALL_WORDS = 500_000
 
 
 def build_postings(points: DataFrame, content: str = "content") -> DataFrame:
-    """Inverted rows: project_id, id, term, tf, positions."""
-    words = points.select("project_id", "id", F.posexplode(tokens(F.col(content))).alias("position", "term"))
-    return words.groupBy("project_id", "id", "term").agg(
-        F.count("*").alias("tf"), F.sort_array(F.collect_list("position")).alias("positions")
-    )
+    """Inverted rows: project_id, id, term, tf, positions.
+
+    A text is one row, so its words are grouped inside the Arrow batch that
+    holds it and nothing is shuffled.
+    """
+    words = points.select("project_id", "id", tokens(F.col(content)).alias("words"))
+    return words.mapInArrow(_invert, "project_id string, id string, term string, tf bigint, positions array<int>")
+
+
+def _invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lists = batch.column("words")
+        lengths = np.diff(lists.offsets.to_numpy())
+        total = int(lengths.sum())
+        if total == 0:
+            continue
+        row = np.repeat(np.arange(len(batch), dtype=np.int64), lengths)
+        position = np.arange(total, dtype=np.int64) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        encoded = lists.flatten().dictionary_encode()
+        word = encoded.indices.to_numpy()
+        key = row * len(encoded.dictionary) + word
+        order = np.argsort(key, kind="stable")
+        first = np.flatnonzero(np.diff(key[order], prepend=-1))
+        ends = np.append(first[1:], total)
+        rows, words = row[order][first], word[order][first]
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column("project_id").take(pa.array(rows)),
+                batch.column("id").take(pa.array(rows)),
+                encoded.dictionary.take(pa.array(words)),
+                pa.array(ends - first),
+                pa.ListArray.from_arrays(
+                    pa.array(np.append(first, total).astype(np.int32)), pa.array(position[order].astype(np.int32))
+                ),
+            ],
+            names=["project_id", "id", "term", "tf", "positions"],
+        )
 
 
 def parsed(queries: DataFrame) -> DataFrame:
@@ -74,13 +110,12 @@ def _from_texts(asked: DataFrame, points: DataFrame) -> DataFrame:
         .agg(F.count("*").alias("df"))
     )
     lead = _rarest(asked, frequency).join(asked.select("query_id", "terms"), "query_id")
-    lead = lead.withColumnRenamed("term", "lead")
-    leads = lead.groupBy("project_id").agg(F.collect_set("lead").alias("leads"))
-    hit = texts.join(F.broadcast(leads), "project_id").select(
-        "project_id", "id", "words", F.explode(F.array_intersect("words", "leads")).alias("lead")
-    )
-    both = hit.join(F.broadcast(lead), ["project_id", "lead"]).where(
-        F.size(F.array_except("terms", "words")) == 0
+    # Each word of a text probes the leading words; only a hit is looked at
+    # further, next to the words of its text.
+    both = (
+        texts.select("project_id", "id", "words", F.explode(F.array_distinct("words")).alias("term"))
+        .join(F.broadcast(lead), ["project_id", "term"])
+        .where(F.size(F.array_except("terms", "words")) == 0)
     )
     occurrences = F.size(F.filter("words", lambda w: F.array_contains(F.col("terms"), w)))
     return both.select("query_id", "project_id", "id", occurrences.cast("long").alias("lex_score"))

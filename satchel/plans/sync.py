@@ -119,13 +119,15 @@ def sync(
     model: str | None = None,
     max_chars: int = DEFAULT_CHUNK_CHARS,
     prune_tail: bool = False,
+    project_ids: list[str] | None = None,
 ) -> DataFrame:
     """Index new and changed chunks, drop stale points, report the counts.
 
     Running it again on the same files changes nothing. Only chunks that are
-    new or changed are embedded.
+    new or changed are embedded. ``project_ids``, where the caller knows them,
+    keeps the comparison to the partitions of those projects.
     """
-    existing = store.points()
+    existing = store.points(project_ids)
     change = plan_sync(files, existing, max_chars, prune_tail)
     # Feeds the counters and the embedding, after which the store has moved.
     marked = staged(change.chunks, "sync-chunks")

@@ -8,9 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Largest side that may be broadcast or packed for tasks; anything above takes
-# the shuffled route of the operator in question.
-SMALL_ROWS = 50_000
+# Largest side that may be broadcast, in rows of a few hundred bytes at most;
+# anything above is joined by shuffle.
+SMALL_ROWS = 200_000
 
 
 def build_session(app: str = "satchel", master: str | None = None, **conf: str) -> SparkSession:
@@ -36,9 +36,11 @@ def build_session(app: str = "satchel", master: str | None = None, **conf: str)
 def scratch_root(spark: SparkSession) -> str:
     """Shared folder for staged tables, read from ``spark.checkpoint.dir``."""
     root = spark.conf.get("spark.checkpoint.dir", None)
+    current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if root:
+        if not current.isDefined():
+            spark.sparkContext.setCheckpointDir(root)
         return root
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
     if not spark.sparkContext.master.startswith("local"):

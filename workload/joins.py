@@ -127,12 +127,13 @@ def query_corpus(t: Tables) -> DataFrame:
 )
 def ids_with_map(t: Tables) -> DataFrame:
     """Spanish ids are listed but were not fetched."""
-    rows = t.documents.select("source", "lang", F.col("doc_id").cast("string").alias("id"), "text")
-    listed_pages = rows.groupBy("source").agg(F.collect_list(F.struct("id")).alias("vectors")).select(
+    page = F.floor(F.col("doc_id") / 100).alias("page_no")
+    rows = t.documents.select("source", page, "lang", F.col("doc_id").cast("string").alias("id"), "text")
+    listed_pages = rows.groupBy("source", "page_no").agg(F.collect_list(F.struct("id")).alias("vectors")).select(
         F.to_json(F.struct("vectors")).alias("page")
     )
     one = F.struct("id", F.struct("id", F.struct(F.col("text").alias("content"), "source").alias("metadata")))
-    fetched = rows.where("lang <> 'es'").groupBy("source").agg(F.map_from_entries(F.collect_list(one)).alias("vectors")).select(
+    fetched = rows.where("lang <> 'es'").groupBy("source", "page_no").agg(F.map_from_entries(F.collect_list(one)).alias("vectors")).select(
         F.to_json(F.struct("vectors")).alias("page")
     )
     return id_and_vector_pages(listed_pages, fetched).select("id", "content", F.col("meta")["source"].alias("source"))
@@ -167,10 +168,12 @@ def lexical_match_postings(t: Tables) -> DataFrame:
 
 @query(
     "j12_response_reordering",
-    """SELECT label AS batch_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS pos, round(embedding[1], 6) AS x FROM embeddings""",
+    """SELECT vec_id // 128 AS batch_id, row_number() OVER (PARTITION BY vec_id // 128 ORDER BY vec_id) - 1 AS pos,
+         round(embedding[1], 6) AS x FROM embeddings""",
 )
 def response_order(t: Tables) -> DataFrame:
-    response = t.embeddings.select(F.col("label").alias("batch_id"), F.col("vec_id").alias("idx"), "embedding")
+    """Responses of at most 128 vectors each."""
+    response = t.embeddings.select(F.floor(F.col("vec_id") / 128).alias("batch_id"), F.col("vec_id").alias("idx"), "embedding")
     return by_returned_index(response).select("batch_id", F.posexplode("ordered").alias("pos", "o")).select(
         "batch_id", F.col("pos").cast("long").alias("pos"), F.round(F.get("o.embedding", F.lit(0)), 6).alias("x")
     )
