@@ -69,11 +69,11 @@ def main() -> None:
     probe = [float(x) for x in t.embeddings.agg(F.min_by("embedding", "vec_id")).first()[0]]
     timed("dense_one_query", lambda: nearest(t.vectors, probe, 5).collect())
     timed("dense_query_batch", lambda: consume(dense_topk(t.vectors, t.vector_queries)))
-    timed("dense_search", lambda: consume(search(plain.withColumn("hybrid", F.lit(False)), points).results))
-    timed("hybrid_search", lambda: consume(search(plain, points).results))
-    timed("hybrid_search_postings", lambda: consume(search(plain, points, postings).results))
-    timed("hybrid_rerank_compress", lambda: consume(search(questions, points, scorer=scorer).results))
-    timed("retrieve_context", lambda: consume(contexts(questions, search(questions, points, scorer=scorer).results)))
+    timed("dense_search", lambda: consume(search(plain.withColumn("hybrid", F.lit(False)), points, buckets=2).results))
+    timed("hybrid_search", lambda: consume(search(plain, points, buckets=2).results))
+    timed("hybrid_search_postings", lambda: consume(search(plain, points, postings, buckets=2).results))
+    timed("hybrid_rerank_compress", lambda: consume(search(questions, points, scorer=scorer, buckets=2).results))
+    timed("retrieve_context", lambda: consume(contexts(questions, search(questions, points, scorer=scorer, buckets=2).results)))
 
     target = PointStore(spark, scratch_path(spark, "store"), buckets=2)
     timed("migrate_pages", lambda: migrate(target, "moved", documents=import_documents(scroll(t), "pages"), model=MODEL))

@@ -46,7 +46,7 @@ def meta_matches(wanted: Mapping[str, str], meta: str = "meta") -> Column:
     """Every wanted key holds the wanted value. Keys kept as columns are
     compared there, so the predicate reaches the scan."""
     tests = [
-        (F.col(key) if key in COLUMN_KEYS else F.col(meta)[key]) == F.lit(value)
+        (F.col(key) if key in (*COLUMN_KEYS, "embed_model") else F.col(meta)[key]) == F.lit(value)
         for key, value in wanted.items()
     ]
     return reduce(lambda a, b: a & b, tests, F.lit(True))

@@ -18,16 +18,17 @@ def to_points(embedded: DataFrame, model: str | None = None) -> DataFrame:
     Provenance is added under the caller's metadata; keys with a column of
     their own move there.
     """
-    merged = merge_caller_wins(provenance(model, F.size("embedding")), F.col("meta"))
-    with_meta = embedded.select("project_id", "id", "content", "embedding", merged.alias("meta"))
-    rest = F.map_filter("meta", lambda k, v: ~k.isin(*COLUMN_KEYS))
-    return with_meta.select(
+    own = F.col("meta")
+    merged = merge_caller_wins(provenance(model, F.size("embedding")), own)
+    # Columns are taken from the caller's map, so that a scan for them does not
+    # depend on the vector.
+    return embedded.select(
         "project_id",
         "id",
         "content",
-        *[F.col("meta")[key].alias(key) for key in COLUMN_KEYS],
-        rest.alias("meta"),
-        F.col("meta")["embed_model"].alias("embed_model"),
+        *[own[key].alias(key) for key in COLUMN_KEYS],
+        F.map_filter(merged, lambda k, v: ~k.isin(*COLUMN_KEYS)).alias("meta"),
+        F.coalesce(own["embed_model"], F.lit(model or "unknown")).alias("embed_model"),
         F.size("embedding").alias("embed_dim"),
         F.col("embedding").cast("array<float>").alias("embedding"),
     ).select(*POINT.fieldNames())

@@ -15,6 +15,7 @@ from satchel.operators.fusion import best_fused, fuse
 from satchel.operators.lexical import lexical_matches, lexical_topk
 from satchel.operators.rerank import Scorer, apply_hits, reorder_by, rerank_with
 from satchel.session import broadcast_if_small, staged
+from satchel.sources.store import place
 
 DEFAULT_K = 5
 DEFAULT_RECALL = 40
@@ -73,10 +74,18 @@ def candidates(queries: DataFrame, points: DataFrame, postings: DataFrame | None
     return fused.unionByName(kept.join(rest, "query_id", "left_semi"))
 
 
-def hydrate(found: DataFrame, points: DataFrame, columns: list[str]) -> DataFrame:
-    """Attach stored columns to found rows; the found side is the small one."""
-    place = ["project_id", "id"]
-    return points.select(*place, *columns).join(broadcast_if_small(found), place)
+def hydrate(found: DataFrame, points: DataFrame, columns: list[str], buckets: int | None = None) -> DataFrame:
+    """Attach stored columns to found rows; the found side is the small one.
+
+    With the bucket count of the store the partitions of the found rows are
+    known too, and a broadcast join reads only those.
+    """
+    keys = ["project_id", "id"]
+    if buckets and "bucket" in points.columns:
+        found = place(found, buckets)
+        keys += ["project_key", "bucket"]
+    joined = points.select(*keys, *columns).join(broadcast_if_small(found), keys)
+    return joined.drop("project_key", "bucket")
 
 
 @dataclass(frozen=True)
@@ -119,11 +128,13 @@ def search(
     postings: DataFrame | None = None,
     scorer: Scorer | Column | None = None,
     extra: tuple[str, ...] = (),
+    buckets: int | None = None,
 ) -> Answer:
     """Run every question (QUERY rows with ``qvec``) against its project.
 
     ``scorer`` is a function over a question's candidates, or an expression
     over ``query`` and ``content``; without one nothing is reranked.
+    ``buckets`` is the bucket count of the store the points come from.
     """
     asked = staged(with_defaults(queries), "questions")
     found = staged(candidates(asked, points, postings), "candidates")
@@ -132,7 +143,7 @@ def search(
     first_k = F.col("rank") <= F.col("k")
     # Only questions that want a rerank need the text of all their candidates.
     needed = first_k if scorer is None else F.col("rerank") | first_k
-    full = hydrate(found.join(broadcast_if_small(options), "query_id").where(needed), points, stored)
+    full = hydrate(found.join(broadcast_if_small(options), "query_id").where(needed), points, stored, buckets)
     if scorer is None:
         ranked = full.withColumn("reranked", F.lit(False)).withColumn("moved", F.lit(False))
     elif isinstance(scorer, Column):

@@ -24,7 +24,7 @@ RANKED_SQL = """SELECT {keys}max(n) AS n, max(CASE WHEN pos = floor(0.5 * (n - 1
 @query("a01_count_points", CHUNKS_SQL + "SELECT d.source AS project_id, count(c.id) AS chunk_count FROM (SELECT DISTINCT source FROM documents UNION SELECT 'absent') d LEFT JOIN chunks c ON d.source = c.project_id GROUP BY 1")
 def count_points(t: Tables) -> DataFrame:
     known = t.documents.select(F.col("source").alias("project_id"))
-    return reports.counts_of(known.unionByName(known.select(F.lit("absent").alias("project_id")).limit(1)), t.chunks)
+    return reports.counts_of(known.unionByName(t.spark.range(1).select(F.lit("absent").alias("project_id"))), t.chunks)
 
 
 @query("a02_project_ids", "SELECT DISTINCT source AS project_id FROM documents")

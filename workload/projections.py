@@ -11,6 +11,7 @@ from satchel.operators.points import export_documents
 from satchel.operators.rerank import apply_hits
 from satchel.plans.search import with_defaults
 from satchel.plans.sync import known_hashes
+from satchel.session import broadcast_if_small
 from workload.base import FILES_SQL, LOG_SQL, POINTS_SQL, QUESTIONS_RAW_SQL, VECTORS_SQL, Tables, chunks_sql, query, with_
 
 CHUNKS_SQL = with_(FILES_SQL, chunks_sql())
@@ -238,7 +239,7 @@ def bands(t: Tables) -> DataFrame:
 def highlighted(t: Tables) -> DataFrame:
     texts = t.documents.select(F.col("doc_id").cast("string").alias("item"), "text")
     asked = t.questions.select("query_id", "query", F.substring_index("query_id", ":", 1).alias("item"))
-    return texts.join(F.broadcast(asked), "item").select("query_id", highlight(F.col("text"), F.col("query")).alias("marked"))
+    return texts.join(broadcast_if_small(asked), "item").select("query_id", highlight(F.col("text"), F.col("query")).alias("marked"))
 
 
 @query(

@@ -31,20 +31,17 @@ def content_hash(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", hashing.content_hash(F.col("text")).alias("digest"))
 
 
-PAIRS_SQL = """pairs AS (
-  SELECT b.item_id, e.vec_id, b.qvec, e.embedding FROM
-    (SELECT item_id, embedding AS qvec, label FROM benchmark JOIN embeddings ON item_id = vec_id) b JOIN embeddings e ON b.label = e.label)"""
-
-
-def pairs(t: Tables) -> DataFrame:
-    """Each question vector next to the vectors of its label."""
-    asked = t.vector_queries.select(F.col("query_id").cast("long").alias("item_id"), F.col("project_id").alias("p"), "qvec")
-    return t.embeddings.join(F.broadcast(asked.limit(50_000)), F.col("label").cast("string") == F.col("p"))
-
-
-@query("f03_cosine", with_(PAIRS_SQL) + f"SELECT item_id, vec_id, round({cosine_sql('qvec', 'embedding')}, 6) AS score FROM pairs")
+@query(
+    "f03_cosine",
+    f"""SELECT a.vec_id, round({cosine_sql('a.embedding', 'b.embedding')}, 6) AS score
+        FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""",
+)
 def cosine(t: Tables) -> DataFrame:
-    return pairs(t).select("item_id", "vec_id", F.round(vectors.cosine(F.col("qvec"), F.col("embedding")), 6).alias("score"))
+    """Each vector next to its successor."""
+    after = t.embeddings.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("next"))
+    return t.embeddings.join(after, "vec_id").select(
+        "vec_id", F.round(vectors.cosine(F.col("embedding"), F.col("next")), 6).alias("score")
+    )
 
 
 @query("f04_score_from_distance", "SELECT event_id, round(1 - value / 1000, 6) AS score FROM events")
@@ -111,7 +108,7 @@ def latency(t: Tables) -> DataFrame:
 
 @query("f11_epoch_seconds", "SELECT event_id, floor(epoch(ts))::BIGINT AS epoch_s FROM events")
 def epoch(t: Tables) -> DataFrame:
-    return t.events.select("event_id", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("epoch_s"))
+    return t.events.select("event_id", F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)").alias("epoch_s"))
 
 
 @query("f12_boolean_as_number", with_(LOG_SQL) + "SELECT event_id, hybrid::INTEGER AS hybrid, reranked::INTEGER AS reranked FROM query_log")
