@@ -10,7 +10,8 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from satchel.operators.ranking import latest
-from satchel.operators.reports import EVENTS_KEPT, activity
+from satchel.operators.reports import COMPOSITION, EVENTS_KEPT, activity
+from satchel.plans.search import Answer
 from satchel.schema import EVENT, QUERY_LOG
 
 # Event types that jobs publish.
@@ -27,6 +28,29 @@ def publish(events: DataFrame, path: str) -> None:
     stamped.select(*EVENT.fieldNames()).write.mode("append").parquet(path)
 
 
+def events_from(rows: DataFrame, kind: str, *columns: str) -> DataFrame:
+    """One event per row: its project, and the listed columns as data. Null
+    columns stay out of the data."""
+    if kind not in EVENT_TYPES:
+        raise ValueError(f"unknown event type: {kind}")
+    pairs = [F.struct(F.lit(c).alias("key"), F.col(c).cast("string").alias("value")) for c in columns]
+    known = F.filter(F.array(*pairs), lambda p: p["value"].isNotNull()) if pairs else F.array()
+    data = F.map_from_entries(known) if pairs else F.create_map().cast("map<string,string>")
+    return rows.select(
+        F.lit(kind).alias("type"), F.current_timestamp().alias("ts"), F.col("project_id"), data.alias("data")
+    )
+
+
+def query_log_rows(answer: Answer, latency_ms: float) -> DataFrame:
+    """QUERY_LOG rows of an answered batch. The latency is that of the batch,
+    shared out evenly, since its questions were answered by the same jobs."""
+    asked = answer.queries.select("query_id", "project_id")
+    each = float(latency_ms) / max(1, asked.count())
+    return answer.composition().join(asked, "query_id").select(
+        F.current_timestamp().alias("ts"), "project_id", F.lit(each).alias("latency_ms"), *COMPOSITION
+    )
+
+
 def record_queries(log: DataFrame, path: str) -> None:
     """Append QUERY_LOG rows."""
     stamped = log.withColumn("ts", F.coalesce("ts", F.current_timestamp()))
@@ -98,6 +122,6 @@ def read_state(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
 
 
 __all__ = [
-    "EVENT_TYPES", "activity", "activity_feed", "append_to", "follow", "keep_recent", "of_types", "publish",
-    "read_state", "record_queries",
+    "EVENT_TYPES", "activity", "activity_feed", "append_to", "events_from", "follow", "keep_recent", "of_types", "publish",
+    "query_log_rows", "read_state", "record_queries",
 ]

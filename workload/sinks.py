@@ -9,9 +9,11 @@ from satchel.operators.keyed import delete, delete_project, insert_only, last_wi
 from satchel.operators.points import list_points
 from satchel.operators.reports import chunk_counts, counts_of
 from satchel.plans.migrate import migrate
+from satchel.plans.search import search
+from satchel.plans.sync import sync
 from satchel.session import scratch_path
-from satchel.streaming.events import publish, record_queries
-from workload.base import LOG_SQL, MODEL, POINTS_SQL, Tables, query, trial_store, with_
+from satchel.streaming.events import events_from, publish, query_log_rows, record_queries
+from workload.base import FILES_SQL, LOG_SQL, MODEL, POINTS_SQL, SEARCH_SQL, Tables, chunks_sql, query, trial_store, with_
 
 # Conversation turns keyed by (role, conversation): later turns of a role
 # replace earlier ones.
@@ -140,6 +142,47 @@ def publish_events(t: Tables) -> DataFrame:
     return t.spark.read.parquet(path).groupBy("type").agg(F.count("*").alias("n"), F.count("ts").alias("with_time"))
 
 
+@query(
+    "k07_sync_events",
+    with_(FILES_SQL, chunks_sql())
+    + """SELECT f.project_id, 'index_completed' AS type, count(*)::VARCHAR AS files_scanned,
+           (SELECT count(*) FROM chunks c WHERE c.project_id = f.project_id)::VARCHAR AS indexed, '0' AS deleted FROM files f GROUP BY 1""",
+)
+def sync_events(t: Tables) -> DataFrame:
+    path = scratch_path(t.spark, "event-log")
+    report = sync(trial_store(t), t.files, model=MODEL)
+    publish(events_from(report, "index_completed", "indexed", "deleted", "files_scanned", "skipped"), path)
+    keys = ("files_scanned", "indexed", "deleted")
+    return t.spark.read.parquet(path).select("project_id", "type", *[F.col("data")[k].alias(k) for k in keys])
+
+
+@query(
+    "k07_query_events",
+    with_(SEARCH_SQL)
+    + """SELECT q.project_id, 'query_executed' AS type, q.query, count(f.id)::VARCHAR AS candidates
+         FROM questions q LEFT JOIN fused f ON q.query_id = f.query_id GROUP BY q.query_id, q.project_id, q.query""",
+)
+def query_events(t: Tables) -> DataFrame:
+    path = scratch_path(t.spark, "event-log")
+    answer = search(t.questions, t.indexed)
+    asked = answer.queries.select("query_id", "project_id", "query")
+    publish(events_from(answer.composition().join(asked, "query_id"), "query_executed", "query", "candidates"), path)
+    return t.spark.read.parquet(path).select("project_id", "type", F.col("data")["query"].alias("query"), F.col("data")["candidates"].alias("candidates"))
+
+
+@query(
+    "k06_record_answer",
+    with_(SEARCH_SQL)
+    + """SELECT q.project_id, true AS hybrid, count(f.id) AS candidates, least(count(f.id), 5) AS results FROM questions q
+         LEFT JOIN fused f ON q.query_id = f.query_id GROUP BY q.query_id, q.project_id""",
+)
+def record_answer(t: Tables) -> DataFrame:
+    path = scratch_path(t.spark, "query-log")
+    record_queries(query_log_rows(search(t.questions.withColumn("compress", F.lit(False)), t.indexed), 213.0), path)
+    logged = t.spark.read.parquet(path).where("latency_ms > 0")
+    return logged.select("project_id", "hybrid", F.col("candidates").cast("long").alias("candidates"), F.col("results").cast("long").alias("results"))
+
+
 @query(
     "k08_migrated_write",
     """SELECT 'copied' AS project_id, doc_id::VARCHAR AS id, text AS content, lang, 'hash-64' AS embed_model FROM documents""",

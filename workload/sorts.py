@@ -11,7 +11,7 @@ from satchel.operators.dense import dense_topk, nearest
 from satchel.operators.fusion import best_fused, fuse
 from satchel.operators.lexical import lexical_matches, lexical_topk
 from satchel.operators.points import list_points, listing_order
-from satchel.operators.ranking import batches_of, best_per_group, latest, page, page_after
+from satchel.operators.ranking import batches_of, best_per_group, latest, page, page_after, with_position
 from satchel.operators.rerank import apply_hits
 from satchel.plans.search import hydrate
 from workload.base import (
@@ -102,18 +102,16 @@ def batch_numbers(t: Tables) -> DataFrame:
 
 @query(
     "w09_rank_and_total",
-    """SELECT query_id, id, rank, count(*) OVER (PARTITION BY query_id) AS n FROM (
-         SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY value, event_id) AS rank FROM (
-           SELECT event_type || (user_id // 10) AS query_id, event_id::VARCHAR AS id, event_id, value FROM events) QUALIFY rank <= 100)""",
+    """SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) - 1 AS rank, count(*) OVER (PARTITION BY event_type) AS n
+       FROM events""",
 )
 def rank_and_total(t: Tables) -> DataFrame:
-    rows = t.events.select(
-        F.concat("event_type", F.floor(F.col("user_id") / 10).cast("string")).alias("query_id"),
-        F.col("event_id").cast("string").alias("id"), "event_id", "value",
-    )
-    ranked = best_per_group(rows, ["query_id"], [F.col("value").asc(), F.col("event_id").asc()], 100, spread=4)
-    sizes = ranked.groupBy("query_id").agg(F.count("*").alias("n"))
-    return ranked.join(sizes, "query_id").select("query_id", "id", "rank", "n")
+    """Rank of every value within its type, from global positions: no task
+    sorts a whole type."""
+    order = [F.col("event_type").asc(), F.col("value").asc(), F.col("event_id").asc()]
+    placed = with_position(t.events.select("event_type", "event_id", "value"), order)
+    sizes = placed.groupBy("event_type").agg(F.min("position").alias("first"), F.count("*").alias("n"))
+    return placed.join(sizes, "event_type").select("event_id", (F.col("position") - F.col("first")).alias("rank"), "n")
 
 
 @query(
@@ -150,23 +148,19 @@ LISTING_SQL = """listing AS (SELECT project_id, id, source_file, position::VARCH
 @query(
     "l04_listing_order",
     with_(FILES_SQL, chunks_sql(), LISTING_SQL)
-    + "SELECT project_id, id, row_number() OVER (PARTITION BY project_id ORDER BY source_file, chunk_index, id) AS place FROM listing QUALIFY place <= 25",
+    + "SELECT id, row_number() OVER (ORDER BY source_file, chunk_index, id) - 1 AS position FROM listing",
 )
 def listing_text_order(t: Tables) -> DataFrame:
-    rows = list_points(t.points)
-    return best_per_group(rows, ["project_id"], listing_order(), 25, rank="place", spread=8).select("project_id", "id", "place")
+    return with_position(list_points(t.points), listing_order()).select("id", "position")
 
 
 @query(
     "l04_listing_numeric_order",
     with_(FILES_SQL, chunks_sql(), LISTING_SQL)
-    + "SELECT project_id, id, row_number() OVER (PARTITION BY project_id ORDER BY source_file, position, id) AS place FROM listing QUALIFY place <= 25",
+    + "SELECT id, row_number() OVER (ORDER BY source_file, position, id) - 1 AS position FROM listing",
 )
 def listing_numeric_order(t: Tables) -> DataFrame:
-    rows = list_points(t.points)
-    return best_per_group(rows, ["project_id"], listing_order(numeric=True), 25, rank="place", spread=8).select(
-        "project_id", "id", "place"
-    )
+    return with_position(list_points(t.points), listing_order(numeric=True)).select("id", "position")
 
 
 PAGE_SQL = "SELECT project_id, source_file, chunk_index, id FROM listing ORDER BY source_file, chunk_index, id LIMIT {limit} OFFSET {offset}"
@@ -191,10 +185,10 @@ def nth_row(t: Tables) -> DataFrame:
     return percentiles(t.query_log, "latency_ms", [("value", 0.95)]).select("value")
 
 
-@query("l07_files_by_count", CHUNKS_SQL + "SELECT project_id, source_file AS file, count(*) AS chunk_count FROM chunks GROUP BY ALL ORDER BY chunk_count DESC, project_id, file LIMIT 50")
+@query("l07_files_by_count", CHUNKS_SQL + "SELECT project_id, source_file AS file, count(*) AS chunk_count FROM chunks GROUP BY ALL")
 def files_by_count(t: Tables) -> DataFrame:
     counted = reports.file_counts(t.chunks)
-    return page(counted, [F.col("chunk_count").desc(), F.col("project_id").asc(), F.col("file").asc()], 0, 50)
+    return page(counted, [F.col("chunk_count").desc(), F.col("project_id").asc(), F.col("file").asc()])
 
 
 @query("l08_keyset_scroll", CHUNKS_SQL + "SELECT id FROM chunks WHERE id > 'en/doc_2' ORDER BY id LIMIT 256")
