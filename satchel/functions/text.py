@@ -73,3 +73,20 @@ def highlight(content: Column, query: Column) -> Column:
     escaped = F.transform(words, lambda w: F.regexp_replace(w, r"([.*+?^${}()|\[\]\\])", r"\\$1"))
     pattern = F.concat(F.lit("(?iu)("), F.array_join(escaped, "|"), F.lit(")"))
     return F.when(F.size(words) > 0, F.regexp_replace(content, pattern, F.lit("<mark>$1</mark>"))).otherwise(content)
+
+
+def three_decimals(x: Column) -> Column:
+    """A double as text with three decimals, rounded from its exact binary
+    value, exact halves to even. The JVM's own format rounds the shortest
+    decimal form instead, which differs on values such as 0.0375."""
+    twice = F.rint(x * 2000)
+    at_half = (x * 2000 == twice) & (twice % 2 != 0)
+    # x*2000 - twice without rounding: the factors are powers of two and each
+    # difference is of numbers close to one another.
+    rest = x * 2048 - twice - x * 32 - x * 16
+    below, above = (twice - 1) / 2, (twice + 1) / 2
+    to_even = F.when(below % 2 == 0, below).otherwise(above)
+    thousandths = (
+        F.when(~at_half, F.rint(x * 1000)).when(rest > 0, above).when(rest < 0, below).otherwise(to_even)
+    )
+    return F.format_string("%.3f", thousandths / 1000)

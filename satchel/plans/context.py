@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from satchel.functions.meta import score_band, shown_file, shown_type
-from satchel.functions.text import highlight, preview
+from satchel.functions.text import highlight, preview, three_decimals
 
 
 def context_line() -> F.Column:
-    return F.format_string("[score %.3f] %s", F.col("score"), F.col("content"))
+    return F.concat(F.lit("[score "), three_decimals(F.col("score")), F.lit("] "), F.col("content"))
 
 
 def assemble(results: DataFrame) -> DataFrame:

@@ -131,3 +131,12 @@ def test_zero_vectors_and_dimensions(spark):
     ).first()
     assert row["zero"] == 0 and row["one"] == 1 and row["none"] == 384
     assert [round(x, 6) for x in row["cut"]] == [0.6, 0.8]
+
+
+def test_three_decimals_round_the_binary_value(spark):
+    rng = random.Random(2)
+    values = [i / 16 for i in range(-40, 40)] + [i / 80 for i in range(-160, 160)] + [i / 2000 for i in range(-2500, 2500)]
+    values += [rng.uniform(-2, 2) for _ in range(2000)] + [1 / 61 + 1 / (61 + i) for i in range(100)] + [0.0, -0.0001, 1e-9, 490.02]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    for row in df.select("x", text.three_decimals(F.col("x")).alias("s")).collect():
+        assert row["s"] == "%.3f" % row["x"], row["x"]
