@@ -7,6 +7,8 @@ sits in most rows never drives a join.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +21,8 @@ from satchel.session import SMALL_ROWS, broadcast_if_small
 
 # Words of all questions together that may be broadcast.
 SMALL_WORDS = 500_000
+# Distinct words that are tested by equality in the scan of stored postings.
+PUSHED_WORDS = 64
 
 
 def build_postings(points: DataFrame, content: str = "content") -> DataFrame:
@@ -123,8 +127,14 @@ def _from_texts(asked: DataFrame, points: DataFrame) -> DataFrame:
 
 def _from_postings(asked: DataFrame, postings: DataFrame) -> DataFrame:
     words = asked.select("query_id", "project_id", F.explode("terms").alias("term"), F.size("terms").alias("n_terms"))
-    vocabulary = broadcast_if_small(words.select("project_id", "term").distinct())
-    relevant = postings.select("project_id", "id", "term", "tf").join(vocabulary, ["project_id", "term"], "left_semi")
+    vocabulary = words.select("project_id", "term").distinct()
+    few = [r["term"] for r in vocabulary.select("term").distinct().limit(PUSHED_WORDS + 1).collect()]
+    if 0 < len(few) <= PUSHED_WORDS:
+        # Stored postings lie in word order, so equality tests skip most of them.
+        postings = postings.where(reduce(or_, [F.col("term") == w for w in few]))
+    relevant = postings.select("project_id", "id", "term", "tf").join(
+        broadcast_if_small(vocabulary), ["project_id", "term"], "left_semi"
+    )
     frequency = relevant.groupBy("project_id", "term").agg(F.count("*").alias("df"))
     lead = _rarest(asked, frequency)
     start = relevant.join(broadcast_if_small(lead), ["project_id", "term"]).select(

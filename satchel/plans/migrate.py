@@ -53,7 +53,8 @@ def migrate(
         documents = export_documents(source.points([source_project])).drop("project_id")
     taken = staged(documents.select("id", "content", "meta"), "migration")
     destination.create_project(dest_project)
-    destination.upsert(reembedded(taken, dest_project, embed, model))
+    keys = taken.select(F.lit(dest_project).alias("project_id"), "id").distinct()
+    destination.upsert(reembedded(taken, dest_project, embed, model), keys=keys)
     total = taken.count()
     spark = taken.sparkSession
     totals = spark.range(1).select(F.lit(dest_project).alias("project_id"), F.lit(total).cast("long").alias("total"))

@@ -132,7 +132,8 @@ def sync(
     # Feeds the counters and the embedding, after which the store has moved.
     marked = staged(change.chunks, "sync-chunks")
     change = SyncChange(marked, staged(change.stale, "sync-stale"), change.files)
-    store.commit(upserts=chunk_points(change.to_index(), embed, model), deletes=change.stale)
+    fresh = change.to_index()
+    store.commit(upserts=chunk_points(fresh, embed, model), deletes=change.stale, keys=fresh.select(*KEY))
     return change.result()
 
 
@@ -146,7 +147,7 @@ def index_documents(
     )
     taken = staged(numbered, "documents")
     points = to_points(embed(last_of_call(taken)), model)
-    store.upsert(points)
+    store.upsert(points, keys=taken.select(*KEY).distinct())
     return taken.count()
 
 

@@ -122,38 +122,48 @@ class PointStore:
         rows = [tuple(r) for r in self.live().collect() if r["project_id"] != project_id]
         return self._publish(rows, self.version() + 1)
 
-    def upsert(self, points: DataFrame, ordinal: str | None = None) -> int:
+    def upsert(self, points: DataFrame, ordinal: str | None = None, keys: DataFrame | None = None) -> int:
         """Insert points; a known (project, id) is replaced as a whole. Of
         several rows with one key the one with the highest ordinal stays."""
         if ordinal:
             points = last_wins(points, ordinal=ordinal)
-        return self.commit(upserts=points)
+        return self.commit(upserts=points, keys=keys)
 
     def delete_points(self, keys: DataFrame) -> int:
         return self.commit(deletes=staged(keys.select(*KEY), "deletes"))
 
-    def commit(self, upserts: DataFrame | None = None, deletes: DataFrame | None = None) -> int:
+    def commit(
+        self, upserts: DataFrame | None = None, deletes: DataFrame | None = None, keys: DataFrame | None = None
+    ) -> int:
         """Apply upserts and deletes together as one new version. ``upserts``
         has at most one row per key; a key in both is kept. ``deletes`` must
-        not depend on later states of this store."""
+        not depend on later states of this store.
+
+        ``keys`` are the keys of ``upserts`` from a cheaper source. With them
+        the upserts are computed once, straight into the table; without, they
+        are staged first, as they feed several steps.
+        """
         current = self.version()
         before = self.live(current)
         changes = []
         fresh = None
         if upserts is not None:
-            # Written once: it feeds the touched cells, the match and the table.
-            fresh = place(staged(upserts.select(*POINT.fieldNames()), "upserts"), self.buckets)
-            changes.append(fresh.select(*KEY, "project_key", "bucket"))
+            rows = upserts.select(*POINT.fieldNames())
+            if keys is None:
+                rows = staged(rows, "upserts")
+                keys = rows
+            fresh = place(rows, self.buckets)
+            changes.append(place(keys.select(*KEY), self.buckets))
         if deletes is not None:
             changes.append(place(deletes.select(*KEY), self.buckets))
-        keys = reduce(DataFrame.unionByName, changes)
+        changed = reduce(DataFrame.unionByName, changes)
         # Cells and live rows number as many as the table has partitions.
-        cells = {(r[0], r[1]) for r in keys.select("project_key", "bucket").distinct().collect()}
+        cells = {(r[0], r[1]) for r in changed.select("project_key", "bucket").distinct().collect()}
         if not cells:
             return current
         old = before.collect()
         kept = self._read("points", POINT, [r for r in old if (r["project_key"], r["bucket"]) in cells])
-        kept = kept.join(keys.select(*KEY), list(KEY), "left_anti")
+        kept = kept.join(changed.select(*KEY), list(KEY), "left_anti")
         version = current + 1
         self._write("points", kept if fresh is None else kept.unionByName(fresh), version)
         written = self.spark.read.schema(_with_place(POINT)).parquet(f"{self.root}/points/v={version}")
@@ -167,12 +177,15 @@ class PointStore:
         return self._publish(sorted(rows), version)
 
     def _write(self, table: str, df: DataFrame, version: int) -> None:
-        # Rebalancing gathers the rows of a partition into few files and still
-        # splits one that is too large for a task. A half-written version left
-        # by a failed commit is replaced.
+        if table == "points":
+            # Rebalancing gathers the rows of a partition into few files and
+            # still splits one that is too large for a task. Postings need no
+            # shuffle: they are made from files that are already gathered.
+            df = df.hint("rebalance", "project_key", "bucket")
+        order = "term" if table == "postings" else "id"
+        # A half-written version left by a failed commit is replaced.
         (
-            df.hint("rebalance", "project_key", "bucket")
-            .sortWithinPartitions("project_key", "bucket", "term" if table == "postings" else "id")
+            df.sortWithinPartitions("project_key", "bucket", order)
             .write.mode("overwrite")
             .partitionBy("project_key", "bucket")
             .parquet(f"{self.root}/{table}/v={version}")

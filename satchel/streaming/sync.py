@@ -33,7 +33,7 @@ def apply_changes(
     gone = existing.select(*KEY, "source_dir", "source_file").join(removed, place, "left_semi").select(*KEY)
     change = plan_sync(changes.where(~F.col("deleted")).drop("deleted"), existing, max_chars)
     to_index = staged(change.to_index(), "stream-chunks")
-    store.commit(upserts=chunk_points(to_index, embed, model), deletes=staged(gone, "stream-gone"))
+    store.commit(upserts=chunk_points(to_index, embed, model), deletes=staged(gone, "stream-gone"), keys=to_index.select(*KEY))
 
 
 def continuous_sync(
