@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from satchel.functions.text import query_terms, tokens
 from satchel.operators.ranking import best_per_group, dense_order
-from satchel.session import SMALL_ROWS, broadcast_if_small
+from satchel.session import SMALL_BYTES, SMALL_ROWS, broadcast_if_small, row_bytes
 
 # Words of all questions together that may be broadcast.
 SMALL_WORDS = 500_000
@@ -84,8 +84,10 @@ def lexical_matches(queries: DataFrame, points: DataFrame | None = None, posting
         return _from_postings(asked, postings)
     if points is None:
         raise ValueError("either points or postings are needed")
-    size = asked.agg(F.count("*").alias("questions"), F.sum(F.size("terms")).alias("words")).first()
-    if size["questions"] <= SMALL_ROWS and (size["words"] or 0) <= SMALL_WORDS:
+    size = asked.agg(
+        F.count("*").alias("questions"), F.sum(F.size("terms")).alias("words"), F.sum(row_bytes(asked)).alias("bytes")
+    ).first()
+    if size["questions"] <= SMALL_ROWS and (size["words"] or 0) <= SMALL_WORDS and (size["bytes"] or 0) <= SMALL_BYTES:
         return _from_texts(asked, points)
     return _from_postings(asked, build_postings(points))
 

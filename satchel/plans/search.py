@@ -138,7 +138,8 @@ def search(
     """
     asked = staged(with_defaults(queries), "questions")
     found = staged(candidates(asked, points, postings), "candidates")
-    options = asked.select("query_id", "query", "k", "rerank", "compress")
+    # The question's text is only carried along for a scorer.
+    options = asked.select("query_id", "k", "rerank", "compress", *(["query"] if scorer is not None else []))
     stored = ["content", "content_hash", *[c for c in extra if c not in ("content", "content_hash")]]
     first_k = F.col("rank") <= F.col("k")
     # Only questions that want a rerank need the text of all their candidates.

@@ -5,12 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# Largest side that may be broadcast, in rows of a few hundred bytes at most;
-# anything above is joined by shuffle.
+# Largest side that may be broadcast; anything above is joined by shuffle.
 SMALL_ROWS = 200_000
+SMALL_BYTES = 64 << 20
 
 
 def build_session(app: str = "satchel", master: str | None = None, **conf: str) -> SparkSession:
@@ -66,11 +67,24 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def is_small(df: DataFrame, max_rows: int = SMALL_ROWS) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows (counts no further)."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def row_bytes(df: DataFrame) -> Column:
+    """Rough size of a row: text by its bytes, nested values by their JSON."""
+    total = F.lit(8 * len(df.columns)).cast("long")
+    for field in df.schema.fields:
+        if isinstance(field.dataType, T.StringType):
+            total = total + F.coalesce(F.octet_length(F.col(field.name)), F.lit(0))
+        elif isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            total = total + F.coalesce(F.octet_length(F.to_json(F.col(field.name))), F.lit(0))
+    return total
+
+
+def is_small(df: DataFrame, max_rows: int = SMALL_ROWS, max_bytes: int = SMALL_BYTES) -> bool:
+    """True when ``df`` stays within both bounds (looks at no further rows)."""
+    head = df.limit(max_rows + 1)
+    seen = head.agg(F.count("*").alias("rows"), F.sum(row_bytes(df)).alias("bytes")).first()
+    return seen["rows"] <= max_rows and (seen["bytes"] or 0) <= max_bytes
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
-    """Broadcast hint behind a row-count check; above it Spark shuffles."""
+    """Broadcast hint behind a check of rows and bytes; above it Spark shuffles."""
     return F.broadcast(df) if is_small(df, max_rows) else df

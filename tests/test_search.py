@@ -272,6 +272,30 @@ def test_cells_recall(spark):
     assert everything == 1.0 and some > 0.8
 
 
+def test_small_means_rows_and_bytes(spark):
+    from satchel.session import is_small
+
+    df = spark.range(50).select(F.repeat(F.lit("x"), 100).alias("a"), F.array(F.lit("y")).alias("b"))
+    assert is_small(df, 50, 10_000) and not is_small(df, 49, 10_000) and not is_small(df, 50, 5_000)
+    assert is_small(df.where("false"))
+
+
+def test_search_without_broadcast(spark, points, monkeypatch):
+    """The shuffled routes give the same answer."""
+    from satchel import session
+    from satchel.operators import lexical
+
+    queries = asked(spark, "computeHash", "HandleError function", "absent word", compress=True)
+    columns = ["query_id", "id", "rank", "score", "in_dense", "in_lexical"]
+    scorer = term_overlap(F.col("query"), F.col("content"))
+    first = sorted(map(tuple, search(queries, points, scorer=scorer).results.select(*columns).collect()))
+    monkeypatch.setattr(session.is_small, "__defaults__", (0, 0))
+    monkeypatch.setattr(session.broadcast_if_small, "__defaults__", (0,))
+    monkeypatch.setattr(lexical, "SMALL_ROWS", 0)
+    monkeypatch.setattr(dense, "PACKED_QUERIES", 1)
+    assert sorted(map(tuple, search(queries, points, scorer=scorer).results.select(*columns).collect())) == first
+
+
 def test_context_string(spark):
     rows = ten(spark, 2).where("rank <= 2")
     assert contexts(rows.select("query_id").distinct(), rows).first()["context"] == "[score 1.000] content-0\n\n[score 0.900] content-1"
