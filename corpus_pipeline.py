@@ -14,7 +14,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from satchel.llm import line_dedup, toxicity
+from satchel.llm import jaccard_join, line_dedup, toxicity
 from satchel.session import scratch_path
 
 
@@ -32,9 +32,15 @@ def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return done.where(~F.coalesce(emptied, F.lit(False))).select(*docs.columns)
 
 
+def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    first = jaccard_join.near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_kept"))
+    return docs.join(first, docs.doc_id == F.col("_kept"), "left_semi")
+
+
 STAGES = [
     ("toxicity", drop_toxic),
     ("line_dedup", cut_repeated_lines),
+    ("jaccard_join", keep_one_of_near_duplicates),
 ]
 
 # A fitted classifier is not SQL; tests hold each stage against brute force.
