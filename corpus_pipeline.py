@@ -14,7 +14,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from satchel.llm import jaccard_join, line_dedup, toxicity
+from satchel.llm import decontaminate, jaccard_join, line_dedup, packing, toxicity
 from satchel.session import scratch_path
 
 
@@ -37,10 +37,21 @@ def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: st
     return docs.join(first, docs.doc_id == F.col("_kept"), "left_semi")
 
 
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    leaks = decontaminate.contaminated(docs, _table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_leaky"))
+    return docs.join(leaks, docs.doc_id == F.col("_leaky"), "left_anti")
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.measured(docs)).withColumnRenamed("id", "doc_id")
+
+
 STAGES = [
     ("toxicity", drop_toxic),
     ("line_dedup", cut_repeated_lines),
     ("jaccard_join", keep_one_of_near_duplicates),
+    ("decontaminate", drop_contaminated),
+    ("packing", pack_sequences),
 ]
 
 # A fitted classifier is not SQL; tests hold each stage against brute force.
