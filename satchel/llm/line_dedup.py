@@ -123,7 +123,8 @@ def dedup_lines(
     runs = repeated_runs(ranks, min_chars, depth)
     gone = runs.select(F.col("doc").alias("_doc"), F.explode(F.sequence("line", F.col("line") + F.col("n_lines") - 1)).alias("_line"))
     gone = staged(gone.groupBy("_doc").agg(F.collect_set(F.col("_line").cast("int")).alias("_gone")), "lines-gone")
-    both = docs.drop("n_lines", "n_deleted").join(gone, docs[id_col] == F.col("_doc"), "left")
+    # By shuffle at every size: few deletions or many, texts move once.
+    both = docs.drop("n_lines", "n_deleted").join(gone.hint("merge"), docs[id_col] == F.col("_doc"), "left")
     lines = F.split(F.col(text_col), "\n")
     every = F.sequence(F.lit(0), F.size(lines) - 1)
     kept = F.transform(F.array_except(every, F.col("_gone")), lambda i: F.element_at(F.col("_lines"), i + 1))
