@@ -34,12 +34,12 @@ def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     first = jaccard_join.near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_kept"))
-    return docs.join(first, docs.doc_id == F.col("_kept"), "left_semi")
+    return docs.join(first.hint("merge"), docs.doc_id == F.col("_kept"), "left_semi")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     leaks = decontaminate.contaminated(docs, _table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_leaky"))
-    return docs.join(leaks, docs.doc_id == F.col("_leaky"), "left_anti")
+    return docs.join(leaks.hint("merge"), docs.doc_id == F.col("_leaky"), "left_anti")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
