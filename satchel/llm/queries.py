@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from satchel.llm import ctw, decontaminate, jaccard_join, line_dedup, packing, toxicity
+from satchel.llm import ctw, decontaminate, jaccard_join, licences, line_dedup, packing, toxicity, warc
+from satchel.session import scratch_path, staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -111,3 +112,63 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
     scored = ctw.score(docs, docs.where(~held_out))
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte")
+
+
+OP4_SQL = r"""
+WITH p AS (
+  SELECT page_id, regexp_replace(url, '[\r\n]', ' ', 'g') AS url, octet_length(encode(coalesce(html, ''))) AS n, upper(sha1(coalesce(html, ''))) AS h FROM pages
+), ranked AS (
+  SELECT *, row_number() OVER w AS k, first_value(page_id) OVER w AS winner FROM p
+  WINDOW w AS (PARTITION BY h ORDER BY page_id DESC NULLS LAST, url DESC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
+)
+SELECT page_id, n::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    ((('0x' || substr(h, (i // 8 * 10 + 1)::BIGINT, 10))::BIGINT >> (35 - 5 * (i % 8))) & 31) + 1, 1)), '') AS payload_digest,
+  CASE WHEN k = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN k > 1 THEN winner END AS refers_to
+FROM ranked
+"""
+
+
+@query("op4_warc", OP4_SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    found = staged(warc.captures(warc.read_archives(spark, path)), "captures")
+    page_id = F.map_from_entries("metadata.fields")["page-id"].cast("long")
+    pages = found.select(
+        page_id.alias("page_id"), F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"),
+        F.col("response.type").alias("record_type"), F.col("response.refers_to").alias("_to"),
+    )
+    responses = found.where("response.type = 'response'").select(F.col("capture_id").alias("_to"), page_id.alias("refers_to"))
+    return pages.join(responses, "_to", "left").drop("_to")
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _canonical_sql(text: str) -> str:
+    low = f"regexp_replace(lower({text}), {_quoted(licences.COPYRIGHT_LINE)}, chr(10), 'g')"
+    for other, one in licences.SPELLINGS:
+        low = f"replace({low}, {_quoted(other)}, {_quoted(one)})"
+    return rf"trim(regexp_replace({low}, '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
+
+
+OP10_SQL = f"""
+WITH known AS (
+  SELECT md5(form) AS digest, min(licence) AS licence FROM
+    (SELECT licence, {_canonical_sql("text")} AS form FROM (VALUES {", ".join(f"({_quoted(a)}, {_quoted(b)})" for a, b in licences.KNOWN)}) v(licence, text))
+  WHERE form <> '' GROUP BY 1
+), lines AS (
+  SELECT doc_id, md5({_canonical_sql("line")}) AS digest FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
+), noted AS (
+  SELECT doc_id, array_to_string(list_sort(list_distinct(list(licence))), ',') AS notices FROM lines JOIN known USING (digest) GROUP BY doc_id
+), whole AS (SELECT doc_id, md5({_canonical_sql("text")}) AS digest FROM documents)
+SELECT doc_id, digest, licence, coalesce(notices, '') AS notices FROM whole LEFT JOIN known USING (digest) LEFT JOIN noted USING (doc_id)
+"""
+
+
+@query("op10_licences", OP10_SQL)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
