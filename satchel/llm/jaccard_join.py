@@ -17,7 +17,8 @@ least ``k`` common ones. Used twice:
 
 Documents with equal sets are one representative. Index lists are linked to a
 pivot each, then to the pivots of components not yet connected, and only what
-still lies in different components is compared pair by pair; every link that
+still lies in different components is compared pair by pair, if counts and
+parity bitmaps leave it possible; every link that
 could join two components is verified on the sets, so components are exact.
 
 Defined results: a null or empty text has an empty set and is its own
@@ -35,7 +36,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from satchel.llm.graphs import components
@@ -47,6 +48,7 @@ BLOCK_TOKENS = 1_000_000
 BLOCK_DOCS = 60_000
 NOBODY = 65_535
 STAR_ROUNDS = 3
+BITS = 512
 
 
 def _extension(n: int) -> int:
@@ -98,21 +100,25 @@ def _published(docs: DataFrame, buckets: int) -> DataFrame:
         credit = np.bincount(who[shared], minlength=len(sets))
         tokens, holder = tokens[at], np.where(several, NOBODY, who[at])
         to = (mix(tokens) % np.uint64(buckets)).astype(np.int64)
-        yield int(ids[0] % buckets), _pack(ids, "i8"), _pack(n, "i4"), digests, _pack(credit, "i4"), b"", b""
+        yield "", int(ids[0] % buckets), _pack(ids, "i8"), _pack(n, "i4"), digests, b"", b""
+        who = np.flatnonzero(credit)
+        yield "", int(ids[0] % buckets), b"", b"", b"", b"", _pack(np.column_stack([who, credit[who]]), "i4")
         by = np.argsort(to, kind="stable")
         cut = np.searchsorted(to[by], np.arange(buckets + 1))
         for b in range(buckets):
             part = by[cut[b] : cut[b + 1]]
             if len(part):
-                yield b, _pack(ids, "i8"), b"", b"", b"", tokens[part].tobytes(), _pack(holder[part], "u2")
+                yield "", b, b"", b"", b"", tokens[part].tobytes(), _pack(holder[part], "u2")
 
-    names = ["bucket", "ids", "n", "digests", "credit", "tokens", "holder"]
-    kinds = [pa.int32(), *[pa.binary()] * 6]
+    names = ["block", "bucket", "ids", "n", "digests", "tokens", "held"]
+    kinds = [pa.string(), pa.int32(), *[pa.binary()] * 5]
 
     def publish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush():
-            for row in block_rows(np.array(ids, dtype=np.int64), sets):
-                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names)
+            # Named by place and content: what is told of a block goes to that block.
+            name = f"{TaskContext.get().partitionId()}-{hashlib.blake2b(_pack(ids, 'i8'), digest_size=8).hexdigest()}"
+            for _, *row in block_rows(np.array(ids, dtype=np.int64), sets):
+                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((name, *row), kinds)], names)
 
         ids, sets, size = [], [], 0
         for block in blocks(batches, "_text"):
@@ -127,8 +133,7 @@ def _published(docs: DataFrame, buckets: int) -> DataFrame:
         if ids:
             yield from flush()
 
-    schema = "bucket int, " + ", ".join(f"{n} binary" for n in names[1:])
-    return docs.mapInArrow(publish, schema)
+    return docs.mapInArrow(publish, "block string, bucket int, " + ", ".join(f"{n} binary" for n in names[2:]))
 
 
 def _facts(docs: DataFrame) -> DataFrame:
@@ -137,29 +142,41 @@ def _facts(docs: DataFrame) -> DataFrame:
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def meet(rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for r in rows[rows.tokens.str.len() == 0].itertuples():
-            digests = [r.digests[i : i + 16] for i in range(0, len(r.digests), 16)]
-            out.append(pd.DataFrame({"doc_id": np.frombuffer(r.ids, "i8"), "n": np.frombuffer(r.n, "i4"), "digest": digests, "seen": np.frombuffer(r.credit, "i4")}))
-        sent = rows[rows.tokens.str.len() > 0]
-        if len(sent):
-            tokens = np.concatenate([np.frombuffer(t, np.uint64) for t in sent.tokens])
-            holder = np.concatenate([np.frombuffer(h, "u2") for h in sent.holder])
-            cut = np.cumsum([0, *(len(h) // 2 for h in sent.holder)])
-            order = np.argsort(tokens)
-            same = tokens[order][1:] == tokens[order][:-1]
-            common = np.zeros(len(tokens), dtype=bool)
-            common[order[1:][same]] = common[order[:-1][same]] = True
-            for k, ids in enumerate(sent.ids):
-                here = holder[cut[k] : cut[k + 1]][common[cut[k] : cut[k + 1]]]
-                credit = np.bincount(here[here != NOBODY])
-                who = np.flatnonzero(credit)
-                if len(who):
-                    out.append(pd.DataFrame({"doc_id": np.frombuffer(ids, "i8")[who], "n": -1, "digest": b"", "seen": credit[who]}))
-        return pd.concat(out) if out else pd.DataFrame({"doc_id": [], "n": [], "digest": [], "seen": []})
-
-    told = _published(docs, buckets).groupBy("bucket").applyInPandas(meet, "doc_id long, n int, digest binary, seen int")
-    facts = told.groupBy("doc_id").agg(F.max(F.struct("n", "digest")).alias("top"), F.sum("seen").alias("seen"))
+        """Tells each block which of its documents' tokens are published
+        elsewhere; other messages pass through."""
+        sent = rows.tokens.str.len() > 0
+        out, asked = rows[~sent][["block", "ids", "n", "digests", "held"]], rows[sent]
+        if not len(asked):
+            return out
+        tokens = np.concatenate([np.frombuffer(t, np.uint64) for t in asked.tokens])
+        cut = np.cumsum([0, *(len(t) // 8 for t in asked.tokens)])
+        order = np.argsort(tokens)
+        same = tokens[order][1:] == tokens[order][:-1]
+        common = np.zeros(len(tokens), dtype=bool)
+        common[order[1:][same]] = common[order[:-1][same]] = True
+        told = []
+        for a, b, holder in zip(cut[:-1], cut[1:], asked.held):
+            here = np.frombuffer(holder, "u2")[common[a:b]]
+            credit = np.bincount(here[here != NOBODY])
+            who = np.flatnonzero(credit)
+            told.append(_pack(np.column_stack([who, credit[who]]), "i4"))
+        return pd.concat([out, pd.DataFrame({"block": asked.block, "ids": b"", "n": b"", "digests": b"", "held": told})])
+
+    def credit(rows: pd.DataFrame) -> pd.DataFrame:
+        """Facts of a block's documents, all credits summed."""
+        head = next(r for r in rows.itertuples() if r.ids)
+        ids = np.frombuffer(head.ids, "i8")
+        seen = np.zeros(len(ids), dtype=np.int64)
+        for held in rows.held:
+            who, times = np.frombuffer(held, "i4").reshape(-1, 2).T
+            seen[who] += times
+        digests = [head.digests[i : i + 16] for i in range(0, len(head.digests), 16)]
+        return pd.DataFrame({"doc_id": ids, "n": np.frombuffer(head.n, "i4"), "digest": digests, "seen": seen})
+
+    told = _published(docs, buckets).groupBy("bucket").applyInPandas(meet, "block string, ids binary, n binary, digests binary, held binary")
+    facts = told.groupBy("block").applyInPandas(credit, "doc_id long, n int, digest binary, seen long")
+    # Of rows that repeat an id, the largest set stands for it.
+    facts = facts.groupBy("doc_id").agg(F.max(F.struct("n", "digest")).alias("top"), F.sum("seen").alias("seen"))
     return facts.select("doc_id", "top.n", "top.digest", "seen")
 
 
@@ -220,13 +237,15 @@ def _frequencies(sets: DataFrame, buckets: int) -> DataFrame:
 def signatures(tokens: np.ndarray, df: np.ndarray, rare: int = RARE) -> np.ndarray:
     """Index entries of one set."""
     n = len(tokens)
+    if (df > 1).sum() < _needed(n):
+        return tokens[:0]  # too much of it occurs nowhere else
     head = np.lexsort((tokens, df))[: _prefix(n)]
     head = head[df[head] > 1]
     common = tokens[head[df[head] > rare]]
     out = [mix(tokens[head[df[head] <= rare]] ^ np.uint64(0x51))]
     own = int(np.searchsorted(LEVELS, n, "right")) - 1
     for level in (own, own + 1) if len(common) else ():
-        salt = np.uint64(level * 2 + 1) * np.uint64(0x9E3779B97F4A7C15)
+        salt = np.uint64((level * 2 + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
         classes = _extension(_needed(LEVELS[level])) - 1
         if not classes:
             out.append(mix(common ^ salt))
@@ -241,9 +260,17 @@ def signatures(tokens: np.ndarray, df: np.ndarray, rare: int = RARE) -> np.ndarr
     return np.unique(np.concatenate(out))
 
 
+def parity(tokens: np.ndarray) -> np.ndarray:
+    """For each of BITS classes of tokens, whether their number is odd. Where
+    the bitmaps of two sets differ, the sets do: they differ in at least as
+    many tokens as bits."""
+    odd = np.bincount((mix(tokens + np.uint64(7)) % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _signed(sets: DataFrame, rare: int) -> DataFrame:
-    """(doc_id, n, sigs, tokens): index entries of each document, and those of
-    its tokens that occur elsewhere."""
+    """(doc_id, n, m, sigs, bits, tokens): index entries of each document, its
+    parity bitmap, and those ``m`` of its tokens that occur elsewhere."""
     buckets = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def sign(rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
@@ -260,11 +287,11 @@ def _signed(sets: DataFrame, rare: int) -> DataFrame:
                 sigs = signatures(tokens[begin:end], df[begin:end], rare)
                 if len(sigs):
                     shared = tokens[begin:end][df[begin:end] > 1]
-                    out.append((int(i), int(n), sigs.view(np.int64), shared.tobytes()))
-        return pd.DataFrame(out, columns=["doc_id", "n", "sigs", "tokens"])
+                    out.append((int(i), int(n), len(shared), sigs.view(np.int64), parity(tokens[begin:end]), shared.tobytes()))
+        return pd.DataFrame(out, columns=["doc_id", "n", "m", "sigs", "bits", "tokens"])
 
     answers = _frequencies(sets, buckets)
-    return sets.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(sign, "doc_id long, n int, sigs array<long>, tokens binary")
+    return sets.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(sign, "doc_id long, n int, m int, sigs array<long>, bits array<long>, tokens binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -281,10 +308,13 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             ok = pa.array(100 * both >= 80 * (na.astype(np.int64) + nb - both))
             yield batch.select(["a", "b"]).filter(ok)
 
-    # Sizes alone rule many pairs out before any set travels.
-    sized = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("n").alias("na")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("n").alias("nb")), "b")
-    sized = sized.where("5 * least(na, nb) >= 4 * greatest(na, nb)").select("a", "b")
-    return sized.join(side("b"), "b").join(side("a"), "a").mapInArrow(compare, "a long, b long")
+    return pairs.join(side("b"), "b").join(side("a"), "a").mapInArrow(compare, "a long, b long")
+
+
+def _possible(na: str, ma: str, nb: str, mb: str) -> Column:
+    """Whether two sets can be similar enough, as no more is shared than the
+    tokens of either that occur elsewhere: 100 i >= 80 (na + nb - i)."""
+    return 9 * F.least(ma, mb) >= 4 * (F.col(na) + F.col(nb))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare: int = RARE) -> DataFrame:
@@ -298,29 +328,40 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = F.floor(F.floor((4 * F.col("n") + 4) / 5) / 10) + 1
     hopeful = reps.where((F.col("n") >= 5) & (F.col("seen") >= least)).select(F.col("rep").alias("doc_id"), "digest")
     sets = staged(_signed(_set_blocks(docs, hopeful), rare), "signed")
-    index = sets.select(F.explode("sigs").alias("sig"), "doc_id").distinct()
+    index = sets.select(F.explode("sigs").alias("sig"), "doc_id", "n", "m").distinct()
     lists = index.groupBy("sig").agg(F.count("*").alias("_n")).where("_n > 1").select("sig")
     index = staged(index.join(lists, "sig"), "index")
 
     links, tried, comp = None, None, None
     for turn in range(STAR_ROUNDS + 1):
-        live = index if comp is None else index.join(comp, index.doc_id == comp.v, "left").drop("v")
-        live = live.withColumn("component", F.coalesce("component", "doc_id") if comp is not None else F.col("doc_id"))
+        live = index.withColumn("component", F.col("doc_id"))
+        if comp is not None:
+            live = index.join(comp, index.doc_id == comp.v, "left").drop("v").withColumn("component", F.coalesce("component", "doc_id"))
+        mixed = live.groupBy("sig").agg(F.min("component").alias("_low"), F.max("component").alias("_top")).where("_low < _top")
         if turn < STAR_ROUNDS:
             # Each document meets the pivot, out of its lists' smallest component, that it shares most lists with.
-            pivots = live.groupBy("sig").agg(F.min(F.struct("component", "doc_id")).alias("p"), F.max("component").alias("_top")).where("p.component < _top")
-            met = live.join(pivots, "sig").where("component <> p.component").groupBy(F.col("doc_id").alias("b"), F.col("p.doc_id").alias("a")).agg(F.count("*").alias("_n"))
+            pivots = live.groupBy("sig").agg(F.min(F.struct("component", "doc_id", "n", "m")).alias("p"), F.max("component").alias("_top"))
+            met = live.join(pivots.where("p.component < _top"), "sig").where("component <> p.component").where(_possible("n", "m", "p.n", "p.m"))
+            met = met.groupBy(F.col("doc_id").alias("b"), F.col("p.doc_id").alias("a")).agg(F.count("*").alias("_n"))
             if tried is not None:
                 met = met.join(tried, ["a", "b"], "left_anti")
             pairs = met.groupBy("b").agg(F.max_by("a", F.struct("_n", F.negative("a"))).alias("a")).select("a", "b")
         else:
             # What is left in different components is compared pair by pair.
-            mixed = live.groupBy("sig").agg(F.min("component").alias("_low"), F.max("component").alias("_top")).where("_low < _top").select("sig")
-            rest = live.join(mixed, "sig")
-            x, y = rest.select("sig", F.col("doc_id").alias("a"), F.col("component").alias("ca")), rest.select("sig", F.col("doc_id").alias("b"), F.col("component").alias("cb"))
-            pairs = x.join(y, "sig").where("ca < cb").select("a", "b").distinct()
-            if tried is not None:
-                pairs = pairs.join(tried, ["a", "b"], "left_anti").join(tried.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
+            words = range(BITS // 64)
+            rest = live.join(mixed.select("sig"), "sig").join(sets.select("doc_id", *[F.col("bits")[w].alias(f"w{w}") for w in words]), "doc_id")
+            side = lambda x: rest.select("sig", *[F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "n", "m", "component", *[f"w{w}" for w in words])])
+            differ = sum((F.bit_count(F.col(f"w{w}_a").bitwiseXOR(F.col(f"w{w}_b"))) for w in words), F.lit(0))
+            # One side of a pair lies outside the list's largest component.
+            sizes = rest.groupBy("sig", "component").agg(F.count("*").alias("_n"))
+            main = sizes.groupBy("sig").agg(F.max_by("component", F.struct("_n", "component")).alias("_main"))
+            outside = side("a").join(main, "sig").where("component_a <> _main").drop("_main")
+            pairs = outside.join(side("b"), "sig").where(
+                (F.col("component_a") != F.col("component_b")) & _possible("n_a", "m_a", "n_b", "m_b") & (9 * differ <= F.col("n_a") + F.col("n_b"))
+            )
+            pairs = pairs.select(F.least("doc_id_a", "doc_id_b").alias("a"), F.greatest("doc_id_a", "doc_id_b").alias("b")).distinct()
+            both = tried.union(tried.select("b", "a"))
+            pairs = pairs.join(both, ["a", "b"], "left_anti")
         pairs = staged(pairs, "pairs")
         new = staged(_verified(pairs, sets), "links")
         tried = pairs if tried is None else tried.union(pairs)
