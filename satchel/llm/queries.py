@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from satchel.llm import ctw, decontaminate, jaccard_join, licences, line_dedup, packing, toxicity, warc
+from satchel.llm import ctw, decontaminate, jaccard_join, learned_partitions, licences, line_dedup, packing, toxicity, warc
 from satchel.session import scratch_path, staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -172,3 +172,8 @@ SELECT doc_id, digest, licence, coalesce(notices, '') AS notices FROM whole LEFT
 @query("op10_licences", OP10_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents"))
+
+
+@query("op2_learned_partitions")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return learned_partitions.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
