@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from satchel.llm import ctw, decontaminate, jaccard_join, learned_partitions, licences, line_dedup, packing, toxicity, warc
+from satchel.llm import ctw, decontaminate, jaccard_join, learned_partitions, licences, line_dedup, packing, suffix_dedup, toxicity, warc
 from satchel.session import scratch_path, staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -177,3 +177,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_learned_partitions")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learned_partitions.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query("op1_suffix_dedup")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffix_dedup.dedup_substrings(table(spark, sf_dir, "documents"))
+    return done.select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
