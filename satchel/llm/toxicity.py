@@ -1,7 +1,7 @@
 """Toxicity by a chain of linear classifiers.
 
 The categories are predicted one after the other; each model sees, besides the
-words of the text, the probabilities of the categories before it. While the
+words of the text and their begins (inflected and compound forms share them), the probabilities of the categories before it. While the
 chain is fitted those probabilities come from models that have not seen the
 row (out-of-fold), so a later model does not learn to trust an earlier one
 more than it will deserve.
@@ -27,16 +27,19 @@ from pyspark.sql import functions as F
 from satchel.llm.words import ALNUM, Words, blocks, text_bytes
 
 FIT_ROWS = 6_000  # labelled rows used for fitting, at most
-VOCABULARY = 50_000  # words a model may look at, at most
+VOCABULARY = 100_000  # words and word begins a model may look at, at most
+PREFIXES = (4, 5)  # begins of words, in bytes, that count as words do
+LEAST_Z = 3.0  # deviation of a word's rate, in the rows fitted, that lets it in
 MIN_ROWS = 5  # rows a word must occur in
 FOLDS = 4
 
 
 def _word_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(text, word) pairs of a block, each once."""
+    """(text, word or word begin) pairs of a block, each once."""
     words = Words(data, offsets, ALNUM)
-    order = np.lexsort((hashes := words.hashes, words.doc))
-    doc, hashes = words.doc[order], hashes[order]
+    doc, hashes = (np.concatenate(x) for x in zip((words.doc, words.hashes), *[words.prefixes(k) for k in PREFIXES]))
+    order = np.lexsort((hashes, doc))
+    doc, hashes = doc[order], hashes[order]
     new = np.ones(len(doc), dtype=bool)
     new[1:] = (doc[1:] != doc[:-1]) | (hashes[1:] != hashes[:-1])
     return doc[new], hashes[new]
@@ -71,13 +74,18 @@ class Rows:
 
 def fit_linear(x: Rows, y: np.ndarray, penalty: float = 2e-4, steps: int = 200) -> np.ndarray:
     """Logistic regression with an L1 penalty on the words, by accelerated
-    proximal steps. One class only: its (smoothed) rate as a constant."""
+    proximal steps; words whose rate hardly differs between the classes stay
+    out. One class only: its (smoothed) rate as a constant."""
     w = np.zeros(x.width + x.extra.shape[1] + 1)
     rate = (y.sum() + 0.5) / (len(y) + 1)
     w[-1] = np.log(rate / (1 - rate))
     if y.min(initial=1) == y.max(initial=0):
         return w
-    curve, v = np.zeros_like(w), np.random.default_rng(1).random(len(w))
+    n, p = np.bincount(x.col, minlength=x.width), y.mean()
+    z = (np.bincount(x.col, y[x.row], x.width) - n * p) / np.sqrt(np.maximum(n * p * (1 - p), 1e-9))
+    use = (np.abs(z) >= LEAST_Z)[x.col]
+    x = Rows(x.row[use], x.col[use], x.n, x.width, x.extra)
+    v = np.random.default_rng(1).random(len(w))
     for _ in range(12):  # largest curvature, by power iteration
         v = x.back(x.dot(v)) / len(y)
         v /= (norm := np.linalg.norm(v))

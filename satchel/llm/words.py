@@ -109,6 +109,13 @@ class Words:
         return mix(total + lengths.astype(np.uint64))
 
 
+    def prefixes(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Text and hash of the first ``size`` bytes of each longer word."""
+        long = self.ends - self.starts > size
+        letters = _LOWER[self._data[self.starts[long][:, None] + np.arange(size)]]
+        return self.doc[long], mix((_BYTE[letters] * powers(size)).sum(1, dtype=np.uint64) ^ np.uint64(size))
+
+
 def runs(hashes: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of ``size`` words that lie in one text, and the
     number of the word where each begins."""
