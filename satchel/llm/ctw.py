@@ -13,9 +13,10 @@ for every byte after every context, and the code length of a text follows.
 Counting runs over all training texts as partial counts of (context, byte),
 summed by a shuffle. Trees are weighted in one group for each last two bytes
 of the context (65,793 contexts at most, worked off in chunks), then for each
-last byte (256 groups of 256 rows), then at the root (256 rows). Scoring
-passes the documents by the model, which travels in blocks of at most
-``MODEL_ROWS`` contexts (1 KB each), one pass over the documents for each.
+last byte (256 groups of 256 rows), then at the root (256 rows). Bytes
+that never follow in training share what the trees leave to them equally.
+Scoring passes the documents by the model, which travels in blocks of at most
+``MODEL_BYTES``, one pass over the documents for each.
 
 The base score uses word counts. Words with at least one in ``FREQUENT`` of
 all training words travel to the documents (there can be no more than
@@ -43,7 +44,7 @@ from satchel.llm.words import Words, blocks, text_bytes
 from satchel.session import staged
 
 DEPTH = 4  # longest context in bytes
-MODEL_ROWS = 66_000  # contexts of a model block; the last two bytes have 65,793 at most
+MODEL_BYTES = 68 << 20  # a block of the model; the contexts of two last bytes fit in
 CHUNK = 1_024  # deepest contexts weighted at once
 FREQUENT = 4_000_000
 FLUSH_KEYS = 2_000_000
@@ -106,13 +107,16 @@ def weighted(own: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return both, np.exp(own - _LN2 - both)
 
 
-def byte_logs(ones: np.ndarray) -> np.ndarray:
-    """log10 chances of the 256 bytes from those of the 255 decisions."""
+def byte_logs(ones: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """log10 chances of the bytes ``seen``, and of any other byte, from those
+    of the 255 decisions."""
     out = np.zeros((len(ones), 1))
     for k in range(8):
         p = ones[:, (1 << k) - 1 : (2 << k) - 1]
         out = np.stack([out + np.log10(1 - p), out + np.log10(p)], axis=2).reshape(len(ones), -1)
-    return out.astype(np.float32)
+    rest = np.setdiff1d(np.arange(256), seen)
+    other = np.log10(np.maximum((10 ** out[:, rest]).sum(1), 1e-300) / max(len(rest), 1))
+    return np.column_stack([out[:, seen], other]).astype(np.float32)
 
 
 def mixed(weight: np.ndarray, own: np.ndarray, below: np.ndarray | float) -> np.ndarray:
@@ -157,19 +161,19 @@ class Pair:
             yield third[heads[at:to]], heads[at:to] - heads[at], deep
             at = to
 
-    def rows(self, upper) -> Iterator[tuple[int, int, np.ndarray]]:
+    def rows(self, upper, seen: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
         """(third, fourth, log10 chances); -1 stands for every byte not seen.
         ``upper`` mixes in the shorter contexts."""
-        yield -1, -1, byte_logs(upper(mixed(self.weight, self.one, 0.5))[None])[0]
+        yield -1, -1, byte_logs(upper(mixed(self.weight, self.one, 0.5))[None], seen)[0]
         for third, cut, deep in self._chunks():
             three = np.add.reduceat(deep, cut, axis=0)
             _, weight = weighted(log_kt(nodes(three)), np.add.reduceat(log_kt(nodes(deep)), cut, axis=0))
             own = kt(nodes(three))
-            for t, logs in zip(third.tolist(), byte_logs(upper(mixed(self.weight, self.one, mixed(weight, own, 0.5))))):
+            for t, logs in zip(third.tolist(), byte_logs(upper(mixed(self.weight, self.one, mixed(weight, own, 0.5))), seen)):
                 yield t, -1, logs
             at = np.repeat(np.arange(len(cut)), np.diff(np.append(cut, len(deep))))
             ones = upper(mixed(self.weight, self.one, mixed(weight[at], own[at], kt(nodes(deep)))))
-            yield from zip(third[at].tolist(), self.fourth.tolist(), byte_logs(ones))
+            yield from zip(third[at].tolist(), self.fourth.tolist(), byte_logs(ones, seen))
 
 
 def _count(training: DataFrame) -> DataFrame:
@@ -211,9 +215,10 @@ def _count(training: DataFrame) -> DataFrame:
     return training.mapInArrow(count, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
-def _model(grams: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """(pair, third, fourth, logs) of every context seen, and for each last
-    byte the chances after a pair that was not seen."""
+def _model(grams: DataFrame) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """(pair, third, fourth, logs) of every context seen, for each last byte
+    the chances after a pair that was not seen, and the bytes that were coded."""
+    seen = np.array(sorted(r[0] for r in grams.select(F.col("key").bitwiseAND(255)).distinct().collect()), dtype=np.int64)
     by_pair = grams.select(F.shiftright("key", 8).bitwiseAND(65535).alias("pair"), "key", "n")
 
     def pair_top(rows: pd.DataFrame) -> pd.DataFrame:
@@ -235,57 +240,63 @@ def _model(grams: DataFrame) -> tuple[DataFrame, np.ndarray]:
     for r in tops:
         weight[r["last"]] = np.frombuffer(r["weight"])
         own[r["last"]] = kt(nodes(np.frombuffer(r["counts"], np.int64)[None]))[0]
-    rest = byte_logs(mixed(top, root, mixed(weight, own, 0.5)))
+    rest = byte_logs(mixed(top, root, mixed(weight, own, 0.5)), seen)
 
     def finish(rows: pd.DataFrame) -> pd.DataFrame:
         pair = int(rows.pair.iloc[0])
         last = pair & 255
-        found = Pair(rows.key.to_numpy(), rows.n.to_numpy()).rows(lambda below: mixed(top, root, mixed(weight[last], own[last], below)))
+        found = Pair(rows.key.to_numpy(), rows.n.to_numpy()).rows(lambda below: mixed(top, root, mixed(weight[last], own[last], below)), seen)
         return pd.DataFrame([(pair, t, f, logs.tobytes()) for t, f, logs in found], columns=["pair", "third", "fourth", "logs"])
 
-    return staged(by_pair.groupBy("pair").applyInPandas(finish, "pair int, third int, fourth int, logs binary"), "ctw"), rest
+    return staged(by_pair.groupBy("pair").applyInPandas(finish, "pair int, third int, fourth int, logs binary"), "ctw"), rest, seen
 
 
 class Table:
     """A block of the model: all contexts that end in some pairs of bytes."""
 
-    def __init__(self, rows: pa.Table, rest: np.ndarray, unseen: np.ndarray):
+    def __init__(self, rows: pa.Table, rest: np.ndarray, seen: np.ndarray, unseen: np.ndarray):
         pair, third, fourth = (rows.column(c).to_numpy().astype(np.int64) for c in ("pair", "third", "fourth"))
-        logs = [np.frombuffer(b.as_buffer(), np.float32) for b in rows.column("logs").combine_chunks()] if len(pair) else []
+        logs = np.frombuffer(b"".join(rows.column("logs").to_pylist()), np.float32).reshape(len(pair), rest.shape[1])
+        width = self.width = rest.shape[1]
+        self.column = np.full(256, width - 1, dtype=np.int32)  # the last column is any byte not seen
+        self.column[seen] = np.arange(len(seen))
         # Row 0 is what another block scores, 1 to 256 are pairs not seen.
-        self.logs = np.concatenate([np.zeros((1, 256), np.float32), rest, np.stack(logs) if logs else rest[:0]])
-        at = np.arange(len(pair)) + 257
+        self.logs = np.concatenate([np.zeros((1, width), np.float32), rest, logs])
+        at = np.arange(len(pair), dtype=np.int32) + 257
         pairs, here = np.unique(pair, return_inverse=True)
-        triples = np.unique(here[third >= 0] * 256 + third[third >= 0])
+        two, three, four = third < 0, (third >= 0) & (fourth < 0), fourth >= 0
+        third, fourth = self.column[third], self.column[fourth]
+        triples = np.unique(here[~two] * width + third[~two])
         # Byte by byte: a pair has a line of thirds, a triple a line of fourths.
         self.of_pair = np.zeros(65536, dtype=np.int32)
         self.of_pair[unseen] = 1 + (unseen & 255)
         self.of_pair[pairs] = 257 + np.arange(len(pairs))
-        self.of_third = np.repeat(np.arange(257 + len(pairs), dtype=np.int32)[:, None], 256, axis=1)
-        self.of_third[257 + triples // 256, triples % 256] = 257 + len(pairs) + np.arange(len(triples))
-        self.of_fourth = np.zeros((257 + len(pairs) + len(triples), 256), dtype=np.int32)
+        self.of_third = np.repeat(np.arange(257 + len(pairs), dtype=np.int32)[:, None], width, axis=1)
+        self.of_third[257 + triples // width, triples % width] = 257 + len(pairs) + np.arange(len(triples))
+        self.of_fourth = np.zeros((257 + len(pairs) + len(triples), width), dtype=np.int32)
         self.of_fourth[:257] = np.arange(257)[:, None]
-        two, three, four = third < 0, (third >= 0) & (fourth < 0), fourth >= 0
         self.of_fourth[257 + here[two]] = at[two][:, None]
         self.of_fourth[self.of_third[257 + here[three], third[three]]] = at[three][:, None]
         self.of_fourth[self.of_third[257 + here[four], third[four]], fourth[four]] = at[four]
 
     def score(self, text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """log10 chance of each text."""
+        column = self.column[text]
         line = self.of_pair[text[2:-2].astype(np.int32) * 256 + text[3:-1]]
-        line = self.of_third.ravel()[line * 256 + text[1:-3]]
-        row = self.of_fourth.ravel()[line * 256 + text[:-4]]
+        line = self.of_third.ravel()[line * self.width + column[1:-3]]
+        row = self.of_fourth.ravel()[line * self.width + column[:-4]]
         logs = np.zeros(len(text) + 1)
-        logs[4:-1] = self.logs.ravel()[row * 256 + text[4:]]
+        logs[4:-1] = self.logs.ravel()[row * self.width + column[4:]]
         return np.add.reduceat(logs, np.column_stack([starts, ends]).ravel())[::2]
 
 
-def _blocks_of(model: DataFrame) -> list[list[int]]:
-    """Pairs of bytes dealt into blocks of at most MODEL_ROWS contexts."""
-    out, room = [[]], MODEL_ROWS
+def _blocks_of(model: DataFrame, width: int) -> list[list[int]]:
+    """Pairs of bytes dealt into blocks of at most MODEL_BYTES."""
+    most = MODEL_BYTES // (4 * width)
+    out, room = [[]], most
     for r in sorted(model.groupBy("pair").count().collect()):  # 65,536 rows at most
         if r["count"] > room and out[-1]:
-            out, room = [*out, []], MODEL_ROWS
+            out, room = [*out, []], most
         out[-1].append(r["pair"])
         room -= r["count"]
     return out
@@ -305,15 +316,15 @@ def score(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col
     often = words.where(F.col("n") >= least).toArrow()
     order = np.argsort(keys := often.column("word").to_numpy().view(np.uint64))
     frequent = keys[order], often.column("n").to_numpy()[order]
-    model, rest = _model(counts.where("kind = 0").select("key", "n"))
-    seen = _blocks_of(model)
+    model, rest, coded = _model(counts.where("kind = 0").select("key", "n"))
+    seen = _blocks_of(model, rest.shape[1])
     names = ["doc_id", "n_bytes", "n_tokens", "n_known", "known_log", "score", "rare", "times"]
     schema = "doc_id long, n_bytes long, n_tokens long, n_known long, known_log double, score double, rare array<long>, times array<int>"
     unseen = np.setdiff1d(np.arange(65536), [p for part in seen for p in part])
 
     def one_pass(part: int) -> DataFrame:
         rows = model.where(F.col("pair").between(min(seen[part], default=0), max(seen[part], default=0))).toArrow()
-        sent = spark.sparkContext.broadcast((Table(rows, rest, unseen[: 0 if part else None]), frequent if not part else None))
+        sent = spark.sparkContext.broadcast((Table(rows, rest, coded, unseen[: 0 if part else None]), frequent if not part else None))
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             table, common = sent.value
@@ -329,12 +340,13 @@ def score(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col
                 logs = pa.array(table.score(text, starts, ends))
                 yield pa.RecordBatch.from_arrays([block.column("_id"), *[pa.array(c) for c in columns], logs, rare, times], names)
 
-        return docs.mapInArrow(work, schema)
+        out = staged(docs.mapInArrow(work, schema), "scored")
+        sent.destroy()  # written; the next block takes its place
+        return out
 
     scored = one_pass(0)
     for part in range(1, len(seen)):
         scored = scored.union(one_pass(part))
-    scored = staged(scored, "scored")
     rare = scored.select("doc_id", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("doc_id", F.col("w.rare").alias("word"), F.col("w.times").alias("times"))
     met = rare.join(words.where(F.col("n") < least).hint("merge"), "word", "left")
     met = met.groupBy("doc_id").agg(
