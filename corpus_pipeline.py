@@ -5,6 +5,7 @@ as Parquet; all but the last keep the columns of ``documents``. Decisions:
 toxic documents go; later copies of repeated line runs are cut from the texts
 (a document left without any text goes); of each group of near duplicates the
 smallest id stays; documents that hold a benchmark item go; the rest is packed.
+Rows without an id are kept, rows that repeat an id stand or fall together.
 """
 
 from __future__ import annotations
@@ -33,13 +34,13 @@ def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    first = jaccard_join.near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_kept"))
-    return docs.join(first.hint("merge"), docs.doc_id == F.col("_kept"), "left_semi")
+    others = jaccard_join.near_duplicates(docs).where("doc_id <> component_id").select("doc_id")
+    return docs.join(others.hint("merge"), docs["doc_id"] == others["doc_id"], "left_anti")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    leaks = decontaminate.contaminated(docs, _table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_leaky"))
-    return docs.join(leaks.hint("merge"), docs.doc_id == F.col("_leaky"), "left_anti")
+    leaks = decontaminate.contaminated(docs, _table(spark, sf_dir, "benchmark")).select("doc_id")
+    return docs.join(leaks.hint("merge"), docs["doc_id"] == leaks["doc_id"], "left_anti")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,8 +8,8 @@ single lines (for one-line notices) are looked up.
 
 Defined results: a null text has no digest and no licence; a text whose
 canonical form is empty matches nothing; known texts of equal form are known
-by the smallest name; repeated rows get equal results; other columns are kept
-by ``with_digest`` and ignored by ``scan``.
+by the smallest name; rows that repeat an id share the notices found for it;
+other columns are kept by ``with_digest`` and ignored by ``scan``.
 """
 
 from __future__ import annotations
@@ -94,8 +94,9 @@ def scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id"
     """(id, digest, licence, notices): the licence a whole text is, and the
     sorted licences that whole lines of it are notices of."""
     table = broadcast_if_small(known_digests(docs.sparkSession, known))
-    whole = with_digest(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.monotonically_increasing_id().alias("_row")), "_text")
-    lines = whole.select("_row", F.explode(F.array_distinct(F.split("_text", "\n"))).alias("_line"))
-    noted = with_digest(lines, "_line").join(table, "digest").groupBy("_row").agg(F.array_join(F.array_sort(F.collect_set("licence")), ",").alias("notices"))
-    out = whole.select("_id", "_row", "digest").join(table, "digest", "left").join(noted.hint("merge"), "_row", "left")
+    whole = with_digest(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_text")
+    lines = docs.select(F.col(id_col).alias("_of"), F.explode(F.array_distinct(F.split(F.col(text_col), "\n"))).alias("_line"))
+    noted = with_digest(lines, "_line").join(table, "digest").groupBy("_of").agg(F.array_join(F.array_sort(F.collect_set("licence")), ",").alias("notices"))
+    out = whole.drop("_text").join(table, "digest", "left")
+    out = out.join(noted.hint("merge"), out["_id"].eqNullSafe(noted["_of"]), "left")
     return out.select(F.col("_id").alias(id_col), "digest", "licence", F.coalesce("notices", F.lit("")).alias("notices"))

@@ -26,6 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from satchel.llm.columns import unused
 from satchel.operators.ranking import with_position
 from satchel.session import staged
 
@@ -121,20 +122,19 @@ def dedup_lines(
     bear them already). ``depth`` is a power of two."""
     ranks = suffix_ranks(lines_of(docs, id_col, text_col), depth)
     runs = repeated_runs(ranks, min_chars, depth)
-    gone = runs.select(F.col("doc").alias("_doc"), F.explode(F.sequence("line", F.col("line") + F.col("n_lines") - 1)).alias("_line"))
-    gone = staged(gone.groupBy("_doc").agg(F.collect_set(F.col("_line").cast("int")).alias("_gone")), "lines-gone")
+    docs = docs.drop("n_lines", "n_deleted")
+    doc, gone_lines, split = unused(docs, "_doc", "_gone", "_lines")
+    gone = runs.select(F.col("doc").alias(doc), F.explode(F.sequence("line", F.col("line") + F.col("n_lines") - 1)).alias("line"))
+    gone = staged(gone.groupBy(doc).agg(F.collect_set(F.col("line").cast("int")).alias(gone_lines)), "lines-gone")
     # By shuffle at every size: few deletions or many, texts move once.
-    both = docs.drop("n_lines", "n_deleted").join(gone.hint("merge"), docs[id_col] == F.col("_doc"), "left")
-    lines = F.split(F.col(text_col), "\n")
-    every = F.sequence(F.lit(0), F.size(lines) - 1)
-    kept = F.transform(F.array_except(every, F.col("_gone")), lambda i: F.element_at(F.col("_lines"), i + 1))
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    n_lines = F.coalesce(F.size(F.col("_lines")), F.lit(0)).cast("long")
-    n_lines = F.when(F.col(text_col).isNull(), F.lit(0).cast("long")).otherwise(n_lines)
+    both = docs.join(gone.hint("merge"), docs[id_col] == gone[doc], "left")
+    every = F.sequence(F.lit(0), F.size(split) - 1)
+    kept = F.transform(F.array_except(every, F.col(gone_lines)), lambda i: F.element_at(F.col(split), i + 1))
+    whole, empty = F.col(text_col).isNull(), F.lit(0).cast("long")
     return (
-        both.withColumn("_lines", lines)
-        .withColumn("n_lines", n_lines)
-        .withColumn("n_deleted", F.when(F.col(text_col).isNull(), 0).otherwise(F.coalesce(F.size("_gone"), F.lit(0))).cast("long"))
-        .withColumn(text_col, text)
-        .drop("_doc", "_gone", "_lines")
+        both.withColumn(split, F.split(F.col(text_col), "\n"))
+        .withColumn("n_lines", F.when(whole, empty).otherwise(F.size(split).cast("long")))
+        .withColumn("n_deleted", F.when(whole | F.col(gone_lines).isNull(), empty).otherwise(F.size(gone_lines).cast("long")))
+        .withColumn(text_col, F.when(F.col(gone_lines).isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n")))
+        .drop(doc, gone_lines, split)
     )

@@ -15,7 +15,7 @@ is a third of every shard.
 Defined results: a null or empty text has no words and is packed nowhere
 (bin and position null, one row); a full piece is a bin of its own; a null
 source or cluster conflicts with nothing; repeated ids are packed like other
-rows; ties go by id, then piece. Other columns are ignored.
+rows; ties go by the id as text, then piece. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -123,5 +123,6 @@ def pack(items: DataFrame, capacity: int = CAPACITY, shard_docs: int = SHARD_DOC
         out.loc[used, "bin_offset"] = offsets
         return out[["id", "piece", "first_word", "n_words", "bin", "bin_offset"]]
 
-    dealt = items.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)))
-    return dealt.groupBy("shard").applyInPandas(pack_shard, f"id {id_type}, piece int, first_word long, n_words long, bin string, bin_offset long")
+    dealt = items.select(F.col("id").cast("string").alias("id"), "source", "cluster", "n_words", F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard"))
+    packed = dealt.groupBy("shard").applyInPandas(pack_shard, "id string, piece int, first_word long, n_words long, bin string, bin_offset long")
+    return packed.withColumn("id", F.col("id").cast(id_type))

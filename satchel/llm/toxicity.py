@@ -7,7 +7,8 @@ row (out-of-fold), so a later model does not learn to trust an earlier one
 more than it will deserve.
 
 Defined results: a null or empty text has no words and gets the base rates; a
-null label leaves its row out; without any labelled row, or with one class
+null label leaves its row out, of rows that repeat an id the largest label
+and one text count; without any labelled row, or with one class
 only, a category has a constant probability and nothing is rejected for it.
 Whole texts are scored; a repeated word counts once, so a long text is neither
 favoured nor diluted. Repeated rows get equal scores, extra columns are kept
@@ -141,9 +142,9 @@ def fit_chain(
     hashed id. Executors reduce texts to sets of word hashes; the driver gets
     no more than those of the bounded sample."""
     wanted = labels.select(F.col(id_col).alias("_id"), *[F.col(c).cast("double").alias(f"_y{i}") for i, c in enumerate(categories)])
-    wanted = wanted.dropna().dropDuplicates(["_id"]).orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
-    sample = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(wanted), "_id")
     names = [f"_y{i}" for i in range(len(categories))]
+    wanted = wanted.dropna().groupBy("_id").agg(*[F.max(c).alias(c) for c in names]).orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
+    sample = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(wanted), "_id")
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "_text"):
@@ -153,6 +154,7 @@ def fit_chain(
             yield pa.RecordBatch.from_arrays([block.column("_id").cast(pa.string()), words, *[block.column(c) for c in names]], ["_id", "_words", *names])
 
     got = sample.select("_id", "_text", *names).mapInArrow(reduce, "_id string, _words binary, " + ", ".join(f"{c} double" for c in names))
+    got = got.groupBy("_id").agg(F.max(F.struct("_words", *names)).alias("r")).select("_id", "r.*")
     found = sorted(got.collect(), key=lambda r: (r["_id"], r["_words"]))
     y = np.array([[r[c] > 0 for c in names] for r in found], dtype=float).reshape(len(found), len(names))
     sets = [np.frombuffer(r["_words"], dtype=np.uint64) for r in found]
