@@ -371,7 +371,7 @@ def _base(data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, n: np.ndarray
     hashes = np.append(words.hashes, np.full(size, END_WORD))
     at = np.minimum(np.searchsorted(keys, hashes), max(len(keys) - 1, 0))
     known = keys[at] == hashes if len(keys) else np.zeros(len(hashes), dtype=bool)
-    logs = np.bincount(doc[known], np.log10(n[at[known]] + 1.0), size)
+    logs = np.bincount(doc[known], np.log10(n[at[known]] + 1.0), size).astype(float)
     d, h = doc[~known], hashes[~known]
     order = np.lexsort((h, d))
     d, h = d[order], h[order]

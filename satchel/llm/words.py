@@ -59,9 +59,10 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def blocks(batches: Iterable[pa.RecordBatch], text: str, limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that the texts of a block hold at most ``limit`` bytes,
-    or are one text."""
+def blocks(batches: Iterable[pa.RecordBatch], text: str, limit: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Cut batches so that the texts of a block hold at most ``limit`` bytes
+    (BLOCK_BYTES if not given) or are one text."""
+    limit = limit or BLOCK_BYTES
     for batch in batches:
         if not batch.num_rows:
             continue
