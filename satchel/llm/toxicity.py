@@ -22,12 +22,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from satchel.llm.words import ALNUM, Words, blocks, text_bytes
 
-FIT_ROWS = 6_000  # labelled rows used for fitting, at most
+FIT_ROWS = 5_000  # labelled rows used for fitting, at most
 VOCABULARY = 100_000  # words and word begins a model may look at, at most
 PREFIXES = (4, 5)  # begins of words, in bytes, that count as words do
 LEAST_Z = 3.0  # deviation of a word's rate, in the rows fitted, that lets it in
@@ -117,7 +118,7 @@ class Chain:
     thresholds: list[float] = field(default_factory=list)
 
     def rows(self, doc: np.ndarray, hashes: np.ndarray, n: int) -> Rows:
-        at = np.searchsorted(self.vocabulary, hashes)
+        at = np.searchsorted(self.vocabulary, hashes).astype(np.int32)
         known = at < len(self.vocabulary)
         known[known] = self.vocabulary[at[known]] == hashes[known]
         return Rows(doc[known], at[known], n, len(self.vocabulary), np.zeros((n, 0)))
@@ -155,22 +156,25 @@ def fit_chain(
 
     got = sample.select("_id", "_text", *names).mapInArrow(reduce, "_id string, _words binary, " + ", ".join(f"{c} double" for c in names))
     got = got.groupBy("_id").agg(F.max(F.struct("_words", *names)).alias("r")).select("_id", "r.*")
-    found = sorted(got.collect(), key=lambda r: (r["_id"], r["_words"]))
-    y = np.array([[r[c] > 0 for c in names] for r in found], dtype=float).reshape(len(found), len(names))
-    sets = [np.frombuffer(r["_words"], dtype=np.uint64) for r in found]
-    everything = np.concatenate([np.zeros(0, dtype=np.uint64), *sets])
+    found = got.select("_id", "_words", *names).toArrow()
+    found = found.take(pc.sort_indices(found.column("_id").combine_chunks())) if found.num_rows else found
+    y = np.column_stack([found.column(c).to_numpy() > 0 for c in names]).astype(float)
+    sets = [np.frombuffer(b.as_buffer(), dtype=np.uint64) for b in found.column("_words")]
+    everything, sizes = np.concatenate([np.zeros(0, dtype=np.uint64), *sets]), [len(s) for s in sets]
+    del found, sets
     words, counts = np.unique(everything, return_counts=True)
     often = counts >= MIN_ROWS
     words, counts = words[often], counts[often]
     chain = Chain(list(categories), np.sort(words[np.argsort(-counts, kind="stable")[:VOCABULARY]]))
-    if not found:
+    if not sizes:
         chain.weights = [np.concatenate([np.zeros(i), [-35.0]]) for i in range(len(categories))]
         chain.thresholds = [1.0] * len(categories)
         return chain
-    rows = chain.rows(np.repeat(np.arange(len(sets)), [len(s) for s in sets]), everything, len(sets))
-    fold = np.arange(len(sets)) % max(2, folds)
+    rows = chain.rows(np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), everything, len(sizes))
+    del everything
+    fold = np.arange(len(sizes)) % max(2, folds)
     for i in range(len(categories)):
-        unseen = np.zeros(len(sets))
+        unseen = np.zeros(len(sizes))
         for k in range(max(2, folds)):
             if (fold == k).any() and (fold != k).any():
                 unseen[fold == k] = _sigmoid(rows.pick(fold == k).dot(fit_linear(rows.pick(fold != k), y[fold != k, i])))
