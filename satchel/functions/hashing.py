@@ -59,4 +59,4 @@ def collection_name(project_id: Column) -> Column:
 
 def project_of_collection(name: Column) -> Column:
     """Inverse of the prefix; null for names outside the scheme."""
-    return F.when(name.startswith("project_"), F.substring(name, 9, 1_000_000))
+    return F.when(name.startswith("project_"), F.substr(name, F.lit(9)))

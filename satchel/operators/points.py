@@ -58,7 +58,7 @@ def list_points(points: DataFrame, where: Mapping[str, str] | None = None) -> Da
 
 def listing_order(numeric: bool = False) -> list[Column]:
     """File, then chunk index in text order ("10" before "2") or by number."""
-    index = F.try_to_number("chunk_index", F.lit("999999999")).asc() if numeric else F.col("chunk_index").asc()
+    index = F.col("chunk_index").try_cast("decimal(38,0)").asc() if numeric else F.col("chunk_index").asc()
     return [F.col("source_file").asc(), index, F.col("id").asc()]
 
 

@@ -130,32 +130,35 @@ def percent_done(done: Column, total: Column) -> Column:
 
 
 def batch_progress(totals: DataFrame, batch: int = 64) -> DataFrame:
-    """Progress after every batch: project_id, seq, done, total, percent.
+    """Progress after every batch: project_id, seq, done, total, percent, and
+    migration_id if the totals have one.
 
     ``totals`` has project_id and total. Batches follow from the totals alone,
     so no row is numbered. Blocks of a thousand batches are spread first.
     """
     size = batch if batch > 0 else 64
     last = F.ceil(F.col("total") / size).cast("long")
+    run = ["project_id", *[c for c in ("migration_id",) if c in totals.columns]]
     blocks = totals.select(
-        "project_id", "total", last.alias("_last"), F.explode(F.sequence(F.lit(0).cast("long"), last, F.lit(1000).cast("long"))).alias("_first")
-    ).repartition("project_id", "_first")
+        *run, "total", last.alias("_last"), F.explode(F.sequence(F.lit(0).cast("long"), last, F.lit(1000).cast("long"))).alias("_first")
+    ).repartition(*run, "_first")
     steps = blocks.select(
-        "project_id",
+        *run,
         "total",
         F.explode(F.sequence(F.col("_first"), F.least(F.col("_first") + 999, F.col("_last")))).alias("seq"),
     )
     done = F.least(F.col("seq") * size, F.col("total"))
     return steps.select(
-        "project_id", "seq", done.alias("done"), "total", percent_done(done, F.col("total")).alias("percent")
+        *run, "seq", done.alias("done"), "total", percent_done(done, F.col("total")).alias("percent")
     )
 
 
 def percent_changes(progress: DataFrame) -> DataFrame:
     """The rows at which the whole percent changes. Progress never goes back,
     so these are the first rows of each percent: an aggregate, not a sort."""
-    first = progress.groupBy("project_id", "percent").agg(F.min_by(F.struct("seq", "done", "total"), "seq").alias("f"))
-    return first.select("project_id", "f.seq", "f.done", "f.total", "percent")
+    run = ["project_id", *[c for c in ("migration_id",) if c in progress.columns]]
+    first = progress.groupBy(*run, "percent").agg(F.min_by(F.struct("seq", "done", "total"), "seq").alias("f"))
+    return first.select(*run, "f.seq", "f.done", "f.total", "percent")
 
 
 def activity(events: DataFrame, n: int = EVENTS_KEPT, tie: str = "event_id") -> DataFrame:

@@ -130,7 +130,9 @@ def sync(
     existing = store.points(project_ids)
     change = plan_sync(files, existing, max_chars, prune_tail)
     # Feeds the counters and the embedding, after which the store has moved.
-    marked = staged(change.chunks, "sync-chunks")
+    # Of unchanged chunks only ids and hashes are written.
+    narrow = change.chunks.withColumn("content", F.when(~F.col("unchanged"), F.col("content"))).drop("chunk")
+    marked = staged(narrow, "sync-chunks")
     change = SyncChange(marked, staged(change.stale, "sync-stale"), change.files)
     fresh = change.to_index()
     store.commit(upserts=chunk_points(fresh, embed, model), deletes=change.stale, keys=fresh.select(*KEY))

@@ -67,7 +67,10 @@ RERANK_HIT = _struct(
     relevance_score=T.DoubleType(),
 )
 
+# ``event_id`` orders rows of one time; ``latency_ms`` is a question's share of
+# its batch, ``batch_ms`` what the whole batch of ``batch_queries`` took.
 QUERY_LOG = _struct(
+    event_id=T.LongType(),
     ts=T.TimestampType(),
     project_id=T.StringType(),
     latency_ms=T.DoubleType(),
@@ -78,9 +81,13 @@ QUERY_LOG = _struct(
     dense_count=T.IntegerType(),
     lexical_count=T.IntegerType(),
     rerank_moved=T.IntegerType(),
+    batch_id=T.StringType(),
+    batch_ms=T.DoubleType(),
+    batch_queries=T.LongType(),
 )
 
 EVENT = _struct(
+    event_id=T.LongType(),
     type=T.StringType(),
     ts=T.TimestampType(),
     project_id=T.StringType(),

@@ -79,9 +79,8 @@ def row_bytes(df: DataFrame) -> Column:
 
 
 def is_small(df: DataFrame, max_rows: int = SMALL_ROWS, max_bytes: int = SMALL_BYTES) -> bool:
-    """True when ``df`` stays within both bounds (looks at no further rows)."""
-    head = df.limit(max_rows + 1)
-    seen = head.agg(F.count("*").alias("rows"), F.sum(row_bytes(df)).alias("bytes")).first()
+    """True when ``df`` stays within both bounds: two sums, no row moves."""
+    seen = df.agg(F.count("*").alias("rows"), F.sum(row_bytes(df)).alias("bytes")).first()
     return seen["rows"] <= max_rows and (seen["bytes"] or 0) <= max_bytes
 
 

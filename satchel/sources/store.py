@@ -5,6 +5,10 @@ the file a chunk came from. A commit rewrites only partitions that gain,
 change or lose rows, under a new version, then writes the list of live
 partitions. A commit exists once that list does; readers keep the version
 they opened. One writer at a time.
+
+The list also holds the settings of the store (bucket count, postings or
+not). They are fixed by the first commit; opening a store reads them, and
+asking for others is refused. A commit leaves one row per key.
 """
 
 from __future__ import annotations
@@ -21,7 +25,8 @@ from satchel.operators.lexical import build_postings
 from satchel.schema import POINT, POSTING
 from satchel.session import staged
 
-_LIVE = "project_id string, project_key string, bucket int, version int"
+_LIVE = "project_id string, project_key string, bucket int, version int, buckets int, with_postings boolean"
+DEFAULT_BUCKETS = 8
 _PLACE = (("project_key", T.StringType()), ("bucket", T.IntegerType()))
 
 
@@ -44,11 +49,15 @@ def place(df: DataFrame, buckets: int) -> DataFrame:
 
 
 class PointStore:
-    def __init__(self, spark: SparkSession, root: str, buckets: int = 8, with_postings: bool = False):
+    def __init__(self, spark: SparkSession, root: str, buckets: int | None = None, with_postings: bool | None = None):
         self.spark = spark
         self.root = root.rstrip("/")
-        self.buckets = buckets
-        self.with_postings = with_postings
+        held = self.live().select("buckets", "with_postings").first()
+        for name, asked in (("buckets", buckets), ("with_postings", with_postings)):
+            if held is not None and asked is not None and asked != held[name]:
+                raise ValueError(f"the store at {self.root} was made with {name}={held[name]}, not {asked}")
+        self.buckets: int = held["buckets"] if held is not None else buckets or DEFAULT_BUCKETS
+        self.with_postings: bool = held["with_postings"] if held is not None else bool(with_postings)
 
     # -- versions ---------------------------------------------------------
 
@@ -102,7 +111,7 @@ class PointStore:
 
     def postings(self, project_ids: list[str] | None = None) -> DataFrame:
         if not self.with_postings:
-            raise ValueError("this store was opened without postings")
+            raise ValueError("this store was made without postings")
         return self._of_projects("postings", POSTING, project_ids)
 
     def projects(self) -> DataFrame:
@@ -113,13 +122,13 @@ class PointStore:
 
     def create_project(self, project_id: str) -> int:
         """Register a project; a known one is left alone."""
-        rows = [tuple(r) for r in self.live().collect()]
+        rows = [tuple(r)[:4] for r in self.live().collect()]
         if any(r[0] == project_id for r in rows):
             return self.version()
         return self._publish([*rows, (project_id, project_key(project_id), -1, 0)], self.version() + 1)
 
     def delete_project(self, project_id: str) -> int:
-        rows = [tuple(r) for r in self.live().collect() if r["project_id"] != project_id]
+        rows = [tuple(r)[:4] for r in self.live().collect() if r["project_id"] != project_id]
         return self._publish(rows, self.version() + 1)
 
     def upsert(self, points: DataFrame, ordinal: str | None = None, keys: DataFrame | None = None) -> int:
@@ -129,15 +138,21 @@ class PointStore:
             points = last_wins(points, ordinal=ordinal)
         return self.commit(upserts=points, keys=keys)
 
+    def insert(self, points: DataFrame) -> int:
+        """Add points whose (project, id) is not stored yet; others are left as they are."""
+        known = self.points().select(*KEY)
+        return self.commit(upserts=points.join(known, list(KEY), "left_anti"))
+
     def delete_points(self, keys: DataFrame) -> int:
         return self.commit(deletes=staged(keys.select(*KEY), "deletes"))
 
     def commit(
         self, upserts: DataFrame | None = None, deletes: DataFrame | None = None, keys: DataFrame | None = None
     ) -> int:
-        """Apply upserts and deletes together as one new version. ``upserts``
-        has at most one row per key; a key in both is kept. ``deletes`` must
-        not depend on later states of this store.
+        """Apply upserts and deletes together as one new version. Of several
+        upserts with one key one stays (the largest by content hash, then
+        content); a key in both is kept. ``deletes`` must not depend on later
+        states of this store.
 
         ``keys`` are the keys of ``upserts`` from a cheaper source. With them
         the upserts are computed once, straight into the table; without, they
@@ -152,6 +167,15 @@ class PointStore:
             if keys is None:
                 rows = staged(rows, "upserts")
                 keys = rows
+            # Keys are unique as a rule; only where they are not are rows put in order.
+            twice = keys.groupBy(*KEY).count().where("count > 1").select(*KEY)
+            if not twice.isEmpty():
+                twice = staged(twice, "twice")
+                order = F.struct(*[F.coalesce(c, F.lit("")) for c in ("content_hash", "content")])
+                meta = F.map_entries("meta").alias("meta")  # maps can't be compared or picked by an aggregate
+                several = rows.join(twice, list(KEY), "left_semi").select(*[meta if c == "meta" else c for c in POINT.fieldNames()], order.alias("ordinal"))
+                one = last_wins(several).withColumn("meta", F.map_from_entries("meta")).select(*POINT.fieldNames())
+                rows = rows.join(twice, list(KEY), "left_anti").select(*POINT.fieldNames()).unionByName(one)
             fresh = place(rows, self.buckets)
             changes.append(place(keys.select(*KEY), self.buckets))
         if deletes is not None:
@@ -170,7 +194,7 @@ class PointStore:
         if self.with_postings:
             self._write("postings", place(build_postings(written), self.buckets), version)
         filled = written.select("project_id", "project_key", "bucket").distinct().collect()
-        rows = {tuple(r) for r in old if (r["project_key"], r["bucket"]) not in cells}
+        rows = {tuple(r)[:4] for r in old if (r["project_key"], r["bucket"]) not in cells}
         rows |= {(r[0], r[1], r[2], version) for r in filled}
         # Registration rows (bucket -1) keep a project known when it is empty.
         rows |= {(r[0], r[1], -1, 0) for r in filled}
@@ -192,7 +216,7 @@ class PointStore:
         )
 
     def _publish(self, rows: list[tuple], version: int) -> int:
-        live = self.spark.createDataFrame(rows, _LIVE)
+        live = self.spark.createDataFrame([(*r, self.buckets, self.with_postings) for r in rows], _LIVE)
         live.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/live/v={version}")
         return version
 

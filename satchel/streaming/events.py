@@ -22,10 +22,20 @@ EVENT_TYPES = (
 )
 
 
+def identified(rows: DataFrame, schema: T.StructType) -> DataFrame:
+    """Rows of a log: a missing time becomes now, columns that are missing are
+    null, and a row without an id gets one made of all it holds."""
+    rows = rows.withColumn("ts", F.coalesce("ts", F.current_timestamp()))
+    for field in schema.fields:
+        if field.name not in rows.columns:
+            rows = rows.withColumn(field.name, F.lit(None).cast(field.dataType))
+    held = F.to_json(F.struct(*[c for c in rows.columns if c != "event_id"]))
+    return rows.withColumn("event_id", F.coalesce(F.col("event_id").cast("long"), F.xxhash64(held))).select(*schema.fieldNames())
+
+
 def publish(events: DataFrame, path: str) -> None:
-    """Append EVENT rows; a missing time becomes now."""
-    stamped = events.withColumn("ts", F.coalesce("ts", F.current_timestamp()))
-    stamped.select(*EVENT.fieldNames()).write.mode("append").parquet(path)
+    """Append EVENT rows; see ``identified``."""
+    identified(events, EVENT).write.mode("append").parquet(path)
 
 
 def events_from(rows: DataFrame, kind: str, *columns: str) -> DataFrame:
@@ -42,19 +52,23 @@ def events_from(rows: DataFrame, kind: str, *columns: str) -> DataFrame:
 
 
 def query_log_rows(answer: Answer, latency_ms: float) -> DataFrame:
-    """QUERY_LOG rows of an answered batch. The latency is that of the batch,
-    shared out evenly, since its questions were answered by the same jobs."""
+    """QUERY_LOG rows of an answered batch, which is named by the batch's
+    time. The latency of a question is its share of the batch, since its
+    questions were answered by the same jobs; percentiles over a log are
+    therefore those of shares. ``query_id`` only goes into the ids."""
     asked = answer.queries.select("query_id", "project_id")
-    each = float(latency_ms) / max(1, asked.count())
-    return answer.composition().join(asked, "query_id").select(
-        F.current_timestamp().alias("ts"), "project_id", F.lit(each).alias("latency_ms"), *COMPOSITION
+    n = asked.count()
+    each = float(latency_ms) / max(1, n)
+    rows = answer.composition().join(asked, "query_id").select(
+        "query_id", F.current_timestamp().alias("ts"), "project_id", F.lit(each).alias("latency_ms"), *COMPOSITION,
+        F.date_format(F.current_timestamp(), "yyyyMMddHHmmssSSSSSS").alias("batch_id"), F.lit(float(latency_ms)).alias("batch_ms"), F.lit(n).cast("long").alias("batch_queries"),
     )
+    return identified(rows, QUERY_LOG)
 
 
 def record_queries(log: DataFrame, path: str) -> None:
-    """Append QUERY_LOG rows."""
-    stamped = log.withColumn("ts", F.coalesce("ts", F.current_timestamp()))
-    stamped.select(*QUERY_LOG.fieldNames()).write.mode("append").parquet(path)
+    """Append QUERY_LOG rows; see ``identified``."""
+    identified(log, QUERY_LOG).write.mode("append").parquet(path)
 
 
 def follow(spark: SparkSession, path: str, schema: T.StructType = EVENT, glob: str | None = None) -> DataFrame:

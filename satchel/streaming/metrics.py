@@ -34,7 +34,8 @@ def latest_table(aggregated: DataFrame, path: str, checkpoint: str, once: bool =
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def percent_throttle(progress: DataFrame) -> DataFrame:
-    """First event of each whole percent of each migration. The state is at
-    most 101 keys per migration, spread over all of them."""
-    return progress.dropDuplicates(["project_id", "percent"])
+def percent_throttle(progress: DataFrame, run: Sequence[str] = ("project_id", "migration_id")) -> DataFrame:
+    """First event of each whole percent of each migration run. Each run has
+    its own percents, so a project can be migrated again. The state is at most
+    101 keys per run, spread over all of them."""
+    return progress.dropDuplicates([*[c for c in run if c in progress.columns], "percent"])

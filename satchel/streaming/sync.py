@@ -14,6 +14,16 @@ from satchel.session import staged
 from satchel.sources.store import PointStore
 
 
+def last_changes(changes: DataFrame) -> DataFrame:
+    """One row per path of a batch."""
+    place = ["project_id", "source_dir", "rel_path"]
+    ordinal = F.col("ordinal") if "ordinal" in changes.columns else F.lit(0)
+    rest = [c for c in changes.columns if c not in (*place, "ordinal")]
+    order = F.struct(ordinal.alias("o"), (~F.col("deleted")).alias("d"), F.col("text").alias("t"))
+    picked = changes.groupBy(*place).agg(F.max_by(F.struct(*rest), order).alias("_row"))
+    return picked.select(*place, "_row.*").select(*[c for c in changes.columns if c != "ordinal"])
+
+
 def apply_changes(
     store: PointStore,
     changes: DataFrame,
@@ -25,9 +35,12 @@ def apply_changes(
 
     Absence from a change batch means nothing, so only marked files go. Chunks
     already stored with the same hash are skipped, which makes a repeated
-    batch harmless.
+    batch harmless. Of several changes of one path the last one counts: the
+    highest ``ordinal`` if there is such a column; among equals a text counts
+    before a deletion, then the larger text.
     """
-    existing = store.points()
+    changes = last_changes(changes)
+    existing = store.points(sorted(r[0] for r in changes.select("project_id").distinct().collect()))
     place = ["project_id", "source_dir", "source_file"]
     removed = changes.where("deleted").select("project_id", "source_dir", F.col("rel_path").alias("source_file")).distinct()
     gone = existing.select(*KEY, "source_dir", "source_file").join(removed, place, "left_semi").select(*KEY)

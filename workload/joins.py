@@ -19,7 +19,7 @@ from workload.base import (
     cosine_sql, query, with_,
 )
 from workload.projections import LISTED_SQL, hits, listed
-from workload.sinks import TURNS_SQL, notes, opening
+from workload.sinks import TURNS_SQL, notes, spoken
 
 BOTH_SQL = with_(FILES_SQL, chunks_sql(), EDITED_SQL, chunks_sql("edited", "fresh"))
 
@@ -68,7 +68,7 @@ def hybrid_full_outer(t: Tables) -> DataFrame:
     + """SELECT query_id, id, score, rank, reranked FROM (
            SELECT h.query_id, l.id, h.relevance_score AS score, row_number() OVER (PARTITION BY h.query_id ORDER BY h.hit) AS rank, true AS reranked
            FROM hits h JOIN listed l ON h.query_id = l.query_id AND h.idx = l.rank - 1) WHERE rank <= 5
-         UNION ALL SELECT query_id, id, score, rank, false FROM listed WHERE query_id LIKE 'view%' AND rank <= 5""",
+         UNION ALL SELECT query_id, id, score, rank, false FROM listed WHERE query_id LIKE '%:0' AND rank <= 5""",
 )
 def rerank_hits(t: Tables) -> DataFrame:
     rows = listed(t)
@@ -81,7 +81,7 @@ def rerank_hits(t: Tables) -> DataFrame:
     + """SELECT query_id, count(*) FILTER (WHERE rank - 1 <> idx) AS rerank_moved FROM (
            SELECT h.query_id, h.idx, row_number() OVER (PARTITION BY h.query_id ORDER BY h.hit) AS rank
            FROM hits h JOIN listed l ON h.query_id = l.query_id AND h.idx = l.rank - 1) WHERE rank <= 5 GROUP BY 1
-         UNION ALL SELECT DISTINCT query_id, 0 FROM listed WHERE query_id LIKE 'view%'""",
+         UNION ALL SELECT DISTINCT query_id, 0 FROM listed WHERE query_id LIKE '%:0'""",
 )
 def rerank_moved(t: Tables) -> DataFrame:
     rows = listed(t)
@@ -91,12 +91,12 @@ def rerank_moved(t: Tables) -> DataFrame:
 @query(
     "j06_upsert_conflict",
     with_(TURNS_SQL)
-    + """SELECT project_id, id, content FROM opening UNION ALL
-         SELECT 'user', doc_id::VARCHAR, text FROM documents d
-         WHERE NOT EXISTS (SELECT 1 FROM opening o WHERE o.project_id = 'user' AND o.id = d.doc_id::VARCHAR)""",
+    + """SELECT project_id, id, content FROM spoken UNION ALL
+         SELECT 'user', doc_id || '#0', text FROM documents d
+         WHERE NOT EXISTS (SELECT 1 FROM spoken o WHERE o.project_id = 'user' AND o.id = d.doc_id || '#0')""",
 )
 def upsert_conflict(t: Tables) -> DataFrame:
-    return upsert(notes(t), opening(t))
+    return upsert(notes(t, "#0"), spoken(t))
 
 
 @query(

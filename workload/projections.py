@@ -12,7 +12,7 @@ from satchel.operators.rerank import apply_hits
 from satchel.plans.search import with_defaults
 from satchel.plans.sync import known_hashes
 from satchel.session import broadcast_if_small
-from workload.base import FILES_SQL, LOG_SQL, POINTS_SQL, QUESTIONS_RAW_SQL, VECTORS_SQL, Tables, chunks_sql, query, with_
+from workload.base import FILES_SQL, LOG_SQL, POINTS_SQL, QUESTIONS_RAW_SQL, SEARCH_SQL, VECTORS_SQL, Tables, chunks_sql, query, with_
 
 CHUNKS_SQL = with_(FILES_SQL, chunks_sql())
 
@@ -255,30 +255,23 @@ def display_defaults(t: Tables) -> DataFrame:
     )
 
 
-LISTED_SQL = """listed AS (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY id) AS rank FROM (
-    SELECT event_type || (user_id // 10) AS query_id, event_id::VARCHAR AS id, value AS score FROM events)
-  QUALIFY rank <= 40),
-hits AS (SELECT query_id, rank - 1 AS hit, (rank * 7) % 61 - 5 AS idx, 1.0 / rank AS relevance_score FROM listed WHERE query_id NOT LIKE 'view%')"""
+LISTED_SQL = SEARCH_SQL + """,
+listed AS (SELECT query_id, id, score, rank FROM fused),
+hits AS (SELECT query_id, rank - 1 AS hit, (rank * 7) % 61 - 5 AS idx, 1.0 / rank AS relevance_score FROM listed WHERE query_id NOT LIKE '%:0')"""
 
 
 def listed(t: Tables) -> DataFrame:
-    """Ranked lists made of events: type and user block as question, 40 rows each."""
-    from satchel.operators.ranking import best_per_group
-
-    rows = t.events.select(
-        F.concat("event_type", F.floor(F.col("user_id") / 10).cast("string")).alias("query_id"),
-        F.col("event_id").cast("string").alias("id"),
-        F.col("value").alias("score"),
-        F.lit(5).alias("k"),
-    )
-    return best_per_group(rows, ["query_id"], [F.col("id").asc()], 40, spread=4)
+    """The candidates of all questions, in their order; a question gets as
+    many as its recall."""
+    from satchel.plans.search import candidates
+
+    return candidates(t.questions, t.indexed).select("query_id", "id", "score", "rank", F.lit(5).alias("k"))
 
 
 def hits(rows: DataFrame) -> DataFrame:
     """Rerank hits in a scrambled order, some of them out of range; none for
-    the questions on views."""
-    return rows.where(~F.col("query_id").startswith("view")).select(
+    the first clauses."""
+    return rows.where(~F.col("query_id").endswith(":0")).select(
         "query_id",
         (F.col("rank") - 1).alias("hit"),
         (F.col("rank") * 7 % 61 - 5).alias("idx"),

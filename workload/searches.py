@@ -54,8 +54,8 @@ def query_embedder(t: Tables) -> DataFrame:
 
 
 def shortest_first(question: str, texts: Sequence[str], k: int) -> list[tuple[int, float]]:
-    """A stand-in reranker; it fails on questions about views."""
-    if question.startswith("view"):
+    """A stand-in reranker; it fails on first clauses."""
+    if question.endswith(":0"):
         raise RuntimeError("model not available")
     order = sorted(range(len(texts)), key=lambda i: (len(texts[i]), texts[i]))
     return [(i, 1.0 / (1 + n)) for n, i in enumerate(order[:k])]
@@ -66,8 +66,8 @@ def shortest_first(question: str, texts: Sequence[str], k: int) -> list[tuple[in
     with_(LISTED_SQL)
     + """SELECT query_id, id, rank, score FROM (
            SELECT query_id, id, r AS rank, 1.0::DOUBLE / r AS score FROM (
-             SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY length(id), id) AS r FROM listed WHERE query_id NOT LIKE 'view%'))
-         WHERE rank <= 5 UNION ALL SELECT query_id, id, rank, score FROM listed WHERE query_id LIKE 'view%' AND rank <= 5""",
+             SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY length(id), id) AS r FROM listed WHERE query_id NOT LIKE '%:0'))
+         WHERE rank <= 5 UNION ALL SELECT query_id, id, rank, score FROM listed WHERE query_id LIKE '%:0' AND rank <= 5""",
 )
 def reranker(t: Tables) -> DataFrame:
     rows = listed(t).withColumn("content", F.col("id")).withColumn("query", F.col("query_id"))

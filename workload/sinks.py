@@ -19,7 +19,7 @@ from workload.base import FILES_SQL, LOG_SQL, MODEL, POINTS_SQL, SEARCH_SQL, Tab
 # replace earlier ones.
 TURNS_SQL = """turns AS (SELECT role AS project_id, conv_id::VARCHAR AS id, text AS content, turn AS ordinal FROM conversations),
 lasting AS (SELECT project_id, id, arg_max(content, ordinal) AS content FROM turns GROUP BY ALL),
-opening AS (SELECT project_id, id, arg_min(content, ordinal) AS content FROM turns GROUP BY ALL)"""
+spoken AS (SELECT project_id, id || '#' || ordinal AS id, content FROM turns)"""
 
 
 def turns(t: Tables) -> DataFrame:
@@ -29,14 +29,15 @@ def turns(t: Tables) -> DataFrame:
     )
 
 
-def opening(t: Tables) -> DataFrame:
-    return turns(t).groupBy("project_id", "id").agg(F.min_by("content", "ordinal").alias("content"))
+def spoken(t: Tables) -> DataFrame:
+    """All turns, keyed by role and conversation with turn."""
+    return turns(t).select("project_id", F.concat_ws("#", "id", F.col("ordinal").cast("string")).alias("id"), "content")
 
 
-def notes(t: Tables) -> DataFrame:
-    """Documents under the same kind of key: language and number."""
+def notes(t: Tables, turn: str = "") -> DataFrame:
+    """Documents under the same kind of key, as the user's (first turn of a) conversation."""
     return t.documents.select(
-        F.lit("user").alias("project_id"), F.col("doc_id").cast("string").alias("id"), F.col("text").alias("content")
+        F.lit("user").alias("project_id"), F.concat(F.col("doc_id").cast("string"), F.lit(turn)).alias("id"), F.col("text").alias("content")
     )
 
 
@@ -66,25 +67,25 @@ def store_upsert(t: Tables) -> DataFrame:
 @query(
     "k02_insert_only",
     with_(TURNS_SQL)
-    + """SELECT project_id, id, content FROM opening UNION ALL
-         SELECT 'user', doc_id::VARCHAR, text FROM documents d
-         WHERE NOT EXISTS (SELECT 1 FROM opening o WHERE o.project_id = 'user' AND o.id = d.doc_id::VARCHAR)""",
+    + """SELECT project_id, id, content FROM spoken UNION ALL
+         SELECT 'user', doc_id || '#0', text FROM documents d
+         WHERE NOT EXISTS (SELECT 1 FROM spoken o WHERE o.project_id = 'user' AND o.id = d.doc_id || '#0')""",
 )
 def insert_rows(t: Tables) -> DataFrame:
-    return insert_only(opening(t), notes(t))
+    return insert_only(spoken(t), notes(t, "#0"))
 
 
 @query(
     "k03_delete_points",
     with_(TURNS_SQL)
-    + """SELECT project_id, id, content FROM opening o WHERE NOT (project_id = 'user' AND EXISTS
-         (SELECT 1 FROM labels l WHERE l.quality = 1 AND l.doc_id::VARCHAR = o.id))""",
+    + """SELECT project_id, id, content FROM spoken o WHERE NOT (project_id = 'user' AND EXISTS
+         (SELECT 1 FROM labels l WHERE l.quality = 1 AND l.doc_id || '#0' = o.id))""",
 )
 def delete_rows(t: Tables) -> DataFrame:
     gone = t.read("labels").where("quality = 1").select(
-        F.lit("user").alias("project_id"), F.col("doc_id").cast("string").alias("id")
+        F.lit("user").alias("project_id"), F.concat(F.col("doc_id").cast("string"), F.lit("#0")).alias("id")
     )
-    return delete(opening(t), gone)
+    return delete(spoken(t), gone)
 
 
 @query(
@@ -98,9 +99,9 @@ def store_delete(t: Tables) -> DataFrame:
     return store.points().select("project_id", "id", "content_hash")
 
 
-@query("k04_delete_project", with_(TURNS_SQL) + "SELECT project_id, id, content FROM opening WHERE project_id <> 'user'")
+@query("k04_delete_project", with_(TURNS_SQL) + "SELECT project_id, id, content FROM spoken WHERE project_id <> 'user'")
 def drop_project(t: Tables) -> DataFrame:
-    return delete_project(opening(t), "user")
+    return delete_project(spoken(t), "user")
 
 
 @query(
