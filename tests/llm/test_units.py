@@ -46,7 +46,7 @@ def test_blocks_keep_rows_and_offsets():
 @given(st.lists(st.text("ab", max_size=40), min_size=1, max_size=5))
 def test_suffix_array_and_copies(texts):
     length = 10
-    regions = [(d, 0, np.frombuffer(t.encode(), np.uint8), np.zeros(0, suffix_dedup.RUN)) for d, t in enumerate(texts) if len(t) >= length]
+    regions = [(d, 0, np.frombuffer(t.encode(), np.uint8), np.zeros(0, suffix_dedup.TOLD)) for d, t in enumerate(texts) if len(t) >= length]
     if not regions:
         return
     shard = suffix_dedup.Shard(list(regions), length)
