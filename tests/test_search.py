@@ -172,8 +172,9 @@ def ranked(spark, rows):
 
 
 def test_compress_fixture(spark):
-    rows = [("1", "alpha", 0.9, "h1"), ("2", "beta", 0.8, "h1"), ("3", "gamma", 0.7, "h2"), ("4", "gamma", 0.6, "h3"), ("5", "delta", 0.5, "h4")]
-    assert [r["id"] for r in compress(ranked(spark, rows)).orderBy("rank").collect()] == ["1", "3", "5"]
+    # n drops b by its digest; the text of o, already dropped with n, does not count against r.
+    rows = [("m", "oak", 7.0, "d7"), ("n", "elm", 6.5, "d7"), ("o", "ash", 4.0, "d2"), ("p", "ash", 3.0, None), ("r", "elm", 2.0, "d9"), ("s", "fir", 1.0, "")]
+    assert [r["id"] for r in compress(ranked(spark, rows)).orderBy("rank").collect()] == ["m", "o", "r", "s"]
 
 
 def test_compress_equals_the_sequential_rule(spark):

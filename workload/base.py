@@ -160,6 +160,23 @@ class Tables:
             F.create_map(F.lit("candidates"), F.get_json_object("props", "$.k")).alias("data"),
         )
 
+    @cached_property
+    def recorded_log(self) -> DataFrame:
+        """The query log as a job writes it and a report reads it."""
+        from satchel.streaming.events import record_queries
+
+        path = scratch_path(self.spark, "query-log")
+        record_queries(self.query_log, path)
+        return self.spark.read.parquet(path)
+
+    @cached_property
+    def recorded_events(self) -> DataFrame:
+        from satchel.streaming.events import publish
+
+        path = scratch_path(self.spark, "event-log")
+        publish(self.event_log, path)
+        return self.spark.read.parquet(path)
+
     @cached_property
     def usage(self) -> DataFrame:
         """Tokens by stage: whole documents embedded, conversations reranked."""

@@ -55,6 +55,14 @@ def repeated_sync(t: Tables) -> DataFrame:
     return sync(store, t.files, model=MODEL).agg(*[F.sum(c).alias(c) for c in ("indexed", "skipped", "deleted")])
 
 
+@query("x01_repeated_paths", with_(FILES_SQL, chunks_sql()) + "SELECT project_id, id, count(*) AS n FROM chunks GROUP BY ALL")
+def repeated_paths(t: Tables) -> DataFrame:
+    """Every file comes twice, as from two roots of one name; one row per key stays."""
+    store = trial_store(t)
+    sync(store, t.files.unionByName(t.files), model=MODEL)
+    return store.points().groupBy("project_id", "id").agg(F.count("*").alias("n"))
+
+
 @query(
     "x01_sync_prune_tail",
     BOTH_SQL + """SELECT project_id, id, content_hash FROM chunks""",
@@ -147,7 +155,7 @@ def stats(t: Tables) -> DataFrame:
                (SELECT * FROM query_log ORDER BY ts DESC, event_id DESC LIMIT 1) l""",
 )
 def snapshot(t: Tables) -> DataFrame:
-    snap = reports.metrics_snapshot(t.query_log, t.usage)
+    snap = reports.metrics_snapshot(t.recorded_log, t.usage)
     return snap.withColumn("avg_ms", even(F.col("avg_ms"))).select(
         "query_count", "avg_ms", "p50_ms", "p95_ms", "tokens_embed", "tokens_rerank", "tokens_total",
         F.col("last_query.candidates").alias("last_candidates"), F.col("last_query.hybrid").alias("last_hybrid"),

@@ -12,6 +12,7 @@ from satchel.plans.migrate import migrate
 from satchel.plans.search import search
 from satchel.plans.sync import sync
 from satchel.session import scratch_path
+from satchel.sources.store import PointStore
 from satchel.streaming.events import events_from, publish, query_log_rows, record_queries
 from workload.base import FILES_SQL, LOG_SQL, MODEL, POINTS_SQL, SEARCH_SQL, Tables, chunks_sql, query, trial_store, with_
 
@@ -64,6 +65,22 @@ def store_upsert(t: Tables) -> DataFrame:
     return store.points().select("project_id", "id", "content", F.lit(store.version()).alias("version"))
 
 
+@query(
+    "k01_reopened_store",
+    with_(POINTS_SQL) + "SELECT project_id, id, content || '!' AS content, 16 AS buckets, true AS with_postings FROM points WHERE position > 0",
+)
+def reopened_store(t: Tables) -> DataFrame:
+    """Made with 16 buckets and postings, then opened without saying so."""
+    root = scratch_path(t.spark, "store")
+    PointStore(t.spark, root, buckets=16, with_postings=True).upsert(t.points)
+    PointStore(t.spark, root).upsert(t.points.withColumn("content", F.concat("content", F.lit("!"))))
+    store = PointStore(t.spark, root)
+    store.delete_points(t.points.where("chunk_index = '0'"))
+    return store.points().select(
+        "project_id", "id", "content", F.lit(store.buckets).alias("buckets"), F.lit(store.with_postings).alias("with_postings")
+    )
+
+
 @query(
     "k02_insert_only",
     with_(TURNS_SQL)

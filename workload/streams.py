@@ -44,6 +44,21 @@ def continuous(t: Tables) -> DataFrame:
     return store.points().select("project_id", "id", "content_hash")
 
 
+@query(
+    "t01_two_versions_in_batch",
+    with_(FILES_SQL, chunks_sql()) + "SELECT project_id, id, content_hash FROM chunks WHERE source_dir <> 'fr'",
+)
+def two_versions(t: Tables) -> DataFrame:
+    """One batch holds an older and a newer text of each file; French files are deleted last."""
+    store = trial_store(t)
+    new = t.files.withColumn("deleted", F.lit(False)).withColumn("ordinal", F.lit(2))
+    old = new.withColumn("text", F.concat("text", F.lit("\nolder"))).withColumn("ordinal", F.lit(1))
+    gone = new.where("source_dir = 'fr'").withColumn("deleted", F.lit(True)).withColumn("ordinal", F.lit(3))
+    source = streamed(t, old.unionByName(new).unionByName(gone), "changes")
+    continuous_sync(source, store, checkpoint(t), model=MODEL, once=True).awaitTermination()
+    return store.points().select("project_id", "id", "content_hash")
+
+
 @query("t02_event_stream", "SELECT event_id, event_type AS type, user_id::VARCHAR AS project_id FROM events WHERE event_type IN ('error', 'purchase')")
 def event_stream(t: Tables) -> DataFrame:
     out = scratch_path(t.spark, "typed")
@@ -60,7 +75,7 @@ def event_stream(t: Tables) -> DataFrame:
 )
 def running(t: Tables) -> DataFrame:
     out = scratch_path(t.spark, "running")
-    rows = t.query_log.repartition(3, "event_id")
+    rows = t.recorded_log.repartition(3, "event_id")
     totals = metrics.running_metrics(streamed(t, rows, "query-log", files_per_batch=1))
     metrics.latest_table(totals, out, checkpoint(t), once=True).awaitTermination()
     return events.read_state(t.spark, out, totals.schema).select(
@@ -74,7 +89,7 @@ def running(t: Tables) -> DataFrame:
 )
 def recent(t: Tables) -> DataFrame:
     out = scratch_path(t.spark, "recent")
-    rows = t.query_log.select("event_id", "ts", "project_id", "latency_ms").repartition(3, "event_id")
+    rows = t.recorded_log.select("event_id", "ts", "project_id", "latency_ms").repartition(3, "event_id")
     source = streamed(t, rows, "query-log", files_per_batch=1)
     events.keep_recent(source, out, checkpoint(t), 64, ["project_id"], once=True).awaitTermination()
     return events.read_state(t.spark, out, rows.schema).select("project_id", "event_id", "latency_ms")
@@ -86,7 +101,7 @@ def recent(t: Tables) -> DataFrame:
 )
 def recent_512(t: Tables) -> DataFrame:
     out = scratch_path(t.spark, "recent")
-    rows = t.query_log.select("event_id", "ts", "latency_ms").repartition(3, "event_id")
+    rows = t.recorded_log.select("event_id", "ts", "latency_ms").repartition(3, "event_id")
     source = streamed(t, rows, "query-log", files_per_batch=1)
     events.keep_recent(source, out, checkpoint(t), reports.LATENCY_SAMPLES, once=True).awaitTermination()
     return events.read_state(t.spark, out, rows.schema).select("event_id", "latency_ms")
@@ -113,7 +128,7 @@ def throttle(t: Tables) -> DataFrame:
 )
 def feed(t: Tables) -> DataFrame:
     out = scratch_path(t.spark, "feed")
-    rows = t.event_log.repartition(3, "event_id")
+    rows = t.recorded_events.repartition(3, "event_id")
     source = streamed(t, rows, "event-log", files_per_batch=1)
     events.activity_feed(source, out, checkpoint(t), once=True).awaitTermination()
     kept = events.read_state(t.spark, out, rows.schema)
