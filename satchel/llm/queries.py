@@ -179,7 +179,28 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learned_partitions.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
-@query("op1_suffix_dedup")
+OP1_SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+k AS (
+  SELECT doc_id, unnest(ms) AS m, unnest(range(len(ms))) AS i FROM
+    (SELECT doc_id, list_transform(range(0, greatest(len(h) // 2 - 99, 0)), lambda i: md5_number(substr(h, 2 * i + 1, 200))) AS ms FROM d)
+), later AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY m ORDER BY doc_id, i) AS r FROM k) WHERE r > 1
+), marked AS (
+  SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END AS fresh FROM later
+), spans AS (
+  SELECT doc_id, g, min(i) AS a, max(i) + 100 AS b FROM (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM marked) GROUP BY ALL
+), cuts AS (
+  SELECT s.doc_id, a, b, substr(h, 2 * coalesce(lag(b) OVER (PARTITION BY s.doc_id ORDER BY a), 0) + 1, 2 * (a - coalesce(lag(b) OVER (PARTITION BY s.doc_id ORDER BY a), 0))) AS before
+  FROM spans s JOIN d ON s.doc_id = d.doc_id
+), kept AS (SELECT doc_id, string_agg(before, '' ORDER BY a) AS head, max(b) AS last, sum(b - a) AS n_removed, count(*) AS n_spans FROM cuts GROUP BY doc_id)
+SELECT d.doc_id, len(h) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
+"""
+
+
+@query("op1_suffix_dedup", OP1_SQL)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = suffix_dedup.dedup_substrings(table(spark, sf_dir, "documents"))
     return done.select(
