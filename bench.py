@@ -70,6 +70,9 @@ def main() -> None:
     timed("dense_one_query", lambda: nearest(t.vectors, probe, 5).collect())
     timed("dense_query_batch", lambda: consume(dense_topk(t.vectors, t.vector_queries)))
     timed("dense_search", lambda: consume(search(plain.withColumn("hybrid", F.lit(False)), points, buckets=2).results))
+    for n in (1, 100):
+        few = staged(plain.orderBy("query_id").limit(n), "few-questions")
+        timed(f"hybrid_{n}_question{'s' * (n > 1)}", lambda few=few: consume(search(few, points, postings, buckets=2).results))
     timed("hybrid_search", lambda: consume(search(plain, points, buckets=2).results))
     timed("hybrid_search_postings", lambda: consume(search(plain, points, postings, buckets=2).results))
     timed("hybrid_rerank_compress", lambda: consume(search(questions, points, scorer=scorer, buckets=2).results))

@@ -21,15 +21,16 @@ def nearest_rank(p: float, n: Column) -> Column:
 
 
 def percentiles(
-    df: DataFrame, value: str, wanted: Sequence[tuple[str, float]], group: Sequence[str] = ()
+    df: DataFrame, value: str, wanted: Sequence[tuple[str, float]], group: Sequence[str] = (), whole: bool = False
 ) -> DataFrame:
     """Per group: ``n``, ``mean`` and each wanted (name, p) percentile, exact.
 
     A quantile sketch brackets every wanted rank; rows below a bracket are
     only counted, and the few values inside are put in order after equal
     values were merged. The sketch's error bound keeps a bracket to a small
-    fixed share of the rows, however hot a group is. Zeros stand for an empty
-    input without groups.
+    fixed share of the rows, however hot a group is. The counts also prove
+    that a bracket holds its rank; should one not, everything is ordered
+    (``whole``). Zeros stand for an empty input without groups.
     """
     key = list(group)
     names = [name for name, _ in wanted]
@@ -51,7 +52,7 @@ def percentiles(
         bracketed = values.select("_v", F.lit(only["n"]).alias("n"), edges.alias("edges"))
     # Below ACCURACY rows a rank may fall outside the sketch's bracket, and
     # ordering them all is cheap.
-    few = F.col("n") < ACCURACY
+    few = F.lit(whole) | (F.col("n") < ACCURACY)
     probes = F.array(
         *[
             F.struct(
@@ -76,6 +77,11 @@ def percentiles(
         )
         .agg(F.count("*").alias("_c"))
     )
+    merged = staged(merged, "brackets")
+    below = F.coalesce(F.sum(F.when(F.col("_v").isNull(), F.col("_c"))), F.lit(0))
+    missed = merged.groupBy(*key, "_w", "_r").agg(below.alias("_below"), F.sum("_c").alias("_all")).where("_below > _r OR _all <= _r")
+    if not whole and not missed.isEmpty():
+        return percentiles(df, value, wanted, group, whole=True)
     upto = Window.partitionBy(*key, "_w").orderBy(F.col("_v").asc_nulls_first())
     found = (
         merged.withColumn("_upto", F.sum("_c").over(upto))
