@@ -73,7 +73,7 @@ def test_suffix_dedup(docs, empty):
 
 def test_suffix_dedup_in_small_shards(docs, monkeypatch):
     whole = {r.doc_id: bytes(r.kept) for r in suffix_dedup.dedup_substrings(docs).collect()}
-    for name, value in (("SHARD_BYTES", 500), ("BLOCK_GRAMS", 20), ("HOT", 1), ("PIECE_BYTES", 1_000)):
+    for name, value in (("SHARD_BYTES", 500), ("BLOCK_GRAMS", 20), ("HOT", 1), ("PIECE_BYTES", 1_000), ("SHARD_RUNS", 1)):
         monkeypatch.setattr(suffix_dedup, name, value)
     monkeypatch.setattr(sys.modules["satchel.llm.words"], "BLOCK_BYTES", 800)
     assert {r.doc_id: bytes(r.kept) for r in suffix_dedup.dedup_substrings(docs).collect()} == whole
