@@ -44,6 +44,7 @@ from satchel.llm.words import Words, blocks, mix, shingle_sets, text_bytes
 from satchel.session import broadcast_if_small, staged
 
 RARE = 32  # documents a token may occur in and still be indexed by itself
+LEAST = 4  # tokens of the smallest set that a different one can be similar to: 4 of 5
 BLOCK_TOKENS = 1_000_000
 BLOCK_DOCS = 60_000
 NOBODY = 65_535
@@ -87,7 +88,7 @@ def _published(docs: DataFrame, buckets: int) -> DataFrame:
     def block_rows(ids, sets):
         n = np.array([len(s) for s in sets])
         digests = b"".join(hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets)
-        heads = [s[: _prefix(len(s))] if len(s) >= 5 else s[:0] for s in sets]
+        heads = [s[: _prefix(len(s))] if len(s) >= LEAST else s[:0] for s in sets]
         who = np.repeat(np.arange(len(sets)), [len(h) for h in heads])
         tokens = np.concatenate([np.zeros(0, np.uint64), *heads])
         order = np.argsort(tokens)
@@ -326,7 +327,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = staged(facts.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.max("seen").alias("seen")), "reps")
     # A partner of four fifths of the size publishes at least so many in common.
     least = F.floor(F.floor((4 * F.col("n") + 4) / 5) / 10) + 1
-    hopeful = reps.where((F.col("n") >= 5) & (F.col("seen") >= least)).select(F.col("rep").alias("doc_id"), "digest")
+    hopeful = reps.where((F.col("n") >= LEAST) & (F.col("seen") >= least)).select(F.col("rep").alias("doc_id"), "digest")
     sets = staged(_signed(_set_blocks(docs, hopeful), rare), "signed")
     index = sets.select(F.explode("sigs").alias("sig"), "doc_id", "n", "m").distinct()
     lists = index.groupBy("sig").agg(F.count("*").alias("_n")).where("_n > 1").select("sig")

@@ -132,6 +132,31 @@ def test_jaccard_join_of_many_near_copies(spark):
     assert got == reach
 
 
+def test_jaccard_join_of_small_sets(spark):
+    """Sets of 4 lie inside sets of 5: windows of 8 words and the same with a word before or after."""
+    rng = np.random.default_rng(5)
+    w = [f"v{i}" for i in range(400)]
+    texts = [w[:8], ["before", *w[:8]], [*w[:8], "after"], w[20:28], w[20:29], w[21:29], w[40:47], w[40:48], w[60:68], w[61:69], w[20:28]]
+    for n in range(5, 13):  # chains that hang on a set of 4, and sizes around it
+        at = 90 + 14 * n
+        texts += [w[at : at + n], w[at : at + n + 1], ["x", *w[at : at + n]]]
+    texts += [[*w[360:368], f"end{i}"] for i in range(40)] + [w[360:368]]  # the four are frequent tokens
+    texts += [list(rng.choice(w[390:392], int(rng.integers(7, 12)))) for _ in range(60)]
+    rows = [(int(i), " ".join(t)) for i, t in zip(rng.permutation(len(texts)), texts)]
+    sets = {i: shingles(t) for i, t in rows}
+    links = [(i, j) for i in sets for j in sets if i != j and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    assert {(len(sets[i]), len(sets[j])) for i, j in links} >= {(4, 5), (5, 6)}
+    want, before = {i: i for i in sets}, None
+    while want != before:
+        before = dict(want)
+        for i, j in links:
+            want[i] = want[j] = min(want[i], want[j])
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for rare in (32, 1):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(table, rare=rare).collect()}
+        assert got == {i: (len(sets[i]), want[i]) for i in sets}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (7, 7), (200, 150), (101, 100)]
     got = {r.v: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
