@@ -4,6 +4,7 @@ import hashlib
 import math
 import re
 import sys
+import textwrap
 import os
 
 import numpy as np
@@ -324,6 +325,35 @@ def test_licences(spark, docs, empty):
     assert licences.scan(empty).count() == 0
 
 
+def test_licences_in_usual_forms(spark):
+    wrap = lambda text, width=60: "\n".join(textwrap.wrap(" ".join(text.split()), width, break_on_hyphens=False, break_long_words=False))
+    mit, isc = licences.KNOWN[0][1], licences.KNOWN[1][1]
+    own = "Copyright (c) 2020 Someone\n\n"
+    rows = [("MIT", f"MIT License\n\n{own}{mit}"), ("ISC", f"ISC License\n\n{own}{isc}"), ("MIT", f"The MIT License (MIT)\n{own}{wrap(mit)}")]
+    # The usual wrapping, in which a line begins with "copyright notice".
+    rows.append(("ISC", own + isc.replace("that the above ", "that the above\n").replace("appear in all ", "appear\nin all ")))
+    rows += [("ISC", f"{line}\n{wrap(isc)}") for line in ("Copyright Someone Inc.", "Copyright: 2020 Someone", "(C) 2020 Someone", "(c) Someone", "© Someone", " * Copyright [yyyy] [name]", "Copyright 1999-2004 by notices")]
+    for name in licences.WHOLE:
+        whole = next(t for n, t in licences.KNOWN if n == name and len(t) > 300)
+        rows += [(name, whole), (name, whole.upper())]
+        if not re.search(r"(?m)^[ *]*Copyright", whole):
+            rows += [(name, own + whole)] + [(name, wrap(whole, width)) for width in range(40, 120)]
+        elif "GPL" in name:
+            head, rest = whole.split("Everyone", 1)
+            rows += [(name, head + wrap("Everyone" + rest.split("END OF TERMS")[0], width)) for width in range(40, 120)]
+    rows += [(None, f"{own}{mit} More."), (None, wrap(isc.replace("copyright notice and", ""))), (None, "MIT License")]
+    # Wrapped lines that begin with the word are part of the form.
+    words = ["notice", "holder", "holders and", "owner", "license to", "laws", "on the", "or", ", patent", "--then", "and certain"]
+    want = [(i, n) for i, (n, _) in enumerate(rows)]
+    found = licences.scan(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.licence) for r in found) == want
+    lines = spark.createDataFrame([(f"text\ncopyright {w}\nend",) for w in words] + [("text\n(c) You must retain\nend",)], "text string")
+    assert all("copyright" in r[0] or "you must" in r[0] for r in lines.select(licences.canonical(F.col("text"))).collect())
+    notes = [("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"), ("MIT", "This project is licensed under the MIT License."), ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License.")]
+    found = licences.scan(spark.createDataFrame([(i, f"x\n// {t}\ny") for i, (_, t) in enumerate(notes)], "doc_id long, text string")).collect()
+    assert [r.notices for r in sorted(found, key=lambda r: r.doc_id)] == [n for n, _ in notes]
+
+
 def test_learned_partitions(spark):
     rows = [(i, [float(x) for x in RNG.standard_normal(12)], "clash") for i in range(3_000)]
     rows += [(3_000 + i, [1.0] * 12, "clash") for i in range(600)]
