@@ -17,8 +17,11 @@ runs go whole, in all copies but the first.
 
 Defined results: a null text stays null with no lines; an empty text is one
 empty line and stays; copies inside one document count as later ones, also
-where they overlap; with repeated ids, rows of one id are deleted alike.
-Columns other than id and text are passed through untouched.
+where they overlap. A document is a row's id and text together: rows that
+share an id, or have none, are documents of their own with their own lines
+(of one id, in the order of a hash of their texts); rows that repeat id and
+text are one document, counted once and deleted alike. Columns other than id
+and text are passed through untouched.
 """
 
 from __future__ import annotations
@@ -34,10 +37,20 @@ MIN_CHARS = 200
 DEPTH = 8
 
 
+def _document(docs: DataFrame, id_col: str, text_col: str) -> Column:
+    return F.struct(docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("text"))
+
+
 def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, line, letter, chars) of every line; the letter is a 64-bit hash of
     the line, chars its length with the line end."""
-    one = docs.select(F.col(id_col).alias("doc"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line", "content"))
+    docs = docs.select(_document(docs, id_col, text_col).alias("doc"), docs[text_col].alias("text"))
+    twice = staged(docs.groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").select("doc"), "repeated-rows")
+    if not twice.isEmpty():
+        # Copies of a row meet before their texts are cut into lines.
+        once = docs.join(twice, "doc", "left_semi").groupBy("doc").agg(F.first("text").alias("text"))
+        docs = docs.join(twice, "doc", "left_anti").unionByName(once)
+    one = docs.select("doc", F.posexplode(F.split("text", "\n")).alias("line", "content"))
     return one.select("doc", F.col("line").cast("long").alias("line"), F.xxhash64("content").alias("letter"), (F.length("content") + 1).cast("long").alias("chars"))
 
 
@@ -127,7 +140,7 @@ def dedup_lines(
     gone = runs.select(F.col("doc").alias(doc), F.explode(F.sequence("line", F.col("line") + F.col("n_lines") - 1)).alias("line"))
     gone = staged(gone.groupBy(doc).agg(F.collect_set(F.col("line").cast("int")).alias(gone_lines)), "lines-gone")
     # By shuffle at every size: few deletions or many, texts move once.
-    both = docs.join(gone.hint("merge"), docs[id_col] == gone[doc], "left")
+    both = docs.join(gone.hint("merge"), _document(docs, id_col, text_col) == gone[doc], "left")
     every = F.sequence(F.lit(0), F.size(split) - 1)
     kept = F.transform(F.array_except(every, F.col(gone_lines)), lambda i: F.element_at(F.col(split), i + 1))
     whole, empty = F.col(text_col).isNull(), F.lit(0).cast("long")

@@ -137,7 +137,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), path)
     found = staged(warc.captures(warc.read_archives(spark, path)), "captures")
-    page_id = F.map_from_entries("metadata.fields")["page-id"].cast("long")
+    page_id = F.map_from_entries("metadata.fields")["page-id"].try_cast("long")
     pages = found.select(
         page_id.alias("page_id"), F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"),
         F.col("response.type").alias("record_type"), F.col("response.refers_to").alias("_to"),

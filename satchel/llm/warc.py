@@ -66,15 +66,16 @@ def write_archives(
     """Archives of ``pages`` (page_id, url, html). Of equal payloads of at
     least ``min_revisit`` bytes one is a response, the others revisit it."""
     page = pages.select(
-        F.col("page_id"), F.regexp_replace("url", "[\r\n]", " ").alias("url"), F.coalesce("html", F.lit("")).alias("html")
+        F.col("page_id"), F.regexp_replace("url", "[\r\n]", " ").alias("url"), F.coalesce("html", F.lit("")).alias("html"),
+        F.monotonically_increasing_id().alias("row"),
     ).withColumn("digest", base32_sha1(F.col("html")))
-    chosen = page.groupBy("digest").agg(F.max(F.struct("page_id", "url")).alias("_first"))
+    chosen = page.groupBy("digest").agg(F.max(F.struct("page_id", "url", "row")).alias("_first"))
     # By shuffle at every size: the pages move once, by their digests.
     page = page.join(chosen.hint("merge"), "digest")
-    again = (F.octet_length("html") >= min_revisit) & ~F.struct("page_id", "url").eqNullSafe(F.col("_first"))
+    again = (F.octet_length("html") >= min_revisit) & ~F.struct("page_id", "url", "row").eqNullSafe(F.col("_first"))
     page = page.withColumn("_again", again)
-    me = [F.col("page_id"), F.col("url"), F.col("digest")]
-    first = [F.col("_first.page_id"), F.col("_first.url"), F.col("digest")]
+    me = [F.col("page_id"), F.col("url"), F.col("digest"), F.col("row")]
+    first = [F.col("_first.page_id"), F.col("_first.url"), F.col("digest"), F.col("_first.row")]
     response = _urn(F.lit("response"), *me)
     named = F.concat(F.lit("sha1:"), F.col("digest"))
     head = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length("html").cast("string"), F.lit(BLANK))

@@ -281,3 +281,32 @@ def test_queries_on_awkward_tables(spark, tmp_path):
     assert sorted(r.n_assign for r in queries.QUERIES["op12_secret_scan"](spark, str(tmp_path)).collect()) == [0, 0, 1, 1]
     assert queries.QUERIES["op11_conversation_repair"](spark, str(tmp_path)).count() == 2
     assert queries.QUERIES["op13_spelling_variants"](spark, str(tmp_path)).count() == 0
+
+
+# --- awkward ids of earlier operators ------------------------------------------------------------------
+
+def test_line_runs_of_rows_without_or_with_equal_ids(spark):
+    """Lines of two rows are never read as one document; a row that repeats counts once."""
+    from satchel.llm import line_dedup
+
+    x, y = "x" * 150, "y" * 150
+    rows = [(None, f"{x}\nA"), (None, f"B\n{y}"), (9, f"{x}\n{y}"), (1, f"{x}\nc"), (1, f"d\n{y}"), (2, f"{x}\n{y}\ne"), (2, f"{x}\n{y}\ne"), (3, None), (3, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.text or "", r.n_deleted) for r in line_dedup.dedup_lines(df).collect())
+    want = [(None, f"{x}\nA", 0), (None, f"B\n{y}", 0), (9, "", 2), (1, f"{x}\nc", 0), (1, f"d\n{y}", 0), (2, f"{x}\n{y}\ne", 0), (2, f"{x}\n{y}\ne", 0), (3, "", 0), (3, "", 0)]
+    assert got == sorted((i is None, i or 0, t, n) for i, t, n in want)
+    alone = df.where("doc_id = 9 OR doc_id IS NULL OR doc_id = 1")
+    assert all(r.n_deleted == 0 for r in line_dedup.dedup_lines(alone).collect())
+
+
+def test_archives_of_pages_without_id_and_of_repeated_rows(spark, tmp_path):
+    import duckdb
+
+    rows = [(None, "u", "a"), (None, None, "a"), (4, "u", "a"), (4, "u", "a"), (3, "", None), (None, "v", ""), (5, "w", "é"), (None, "w", "only")] * 2
+    spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3).write.parquet(f"{tmp_path}/pages.parquet")
+    df = queries.QUERIES["op4_warc"](spark, str(tmp_path))
+    got = sorted((tuple(r) for r in df.select(*sorted(df.columns)).collect()), key=repr)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    found = con.execute(f"SELECT {', '.join(sorted(df.columns))} FROM ({queries.OP4_SQL})").fetchall()
+    assert got == sorted(found, key=repr) and len(got) == len(rows)
