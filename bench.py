@@ -25,6 +25,7 @@ from satchel.plans.search import search  # noqa: E402
 from satchel.plans.sync import sync  # noqa: E402
 from satchel.session import build_session, scratch_path, staged  # noqa: E402
 from satchel.sources.imports import import_documents  # noqa: E402
+from satchel.sources.indexes import CellIndex, WordIndex  # noqa: E402
 from satchel.sources.store import PointStore  # noqa: E402
 from workload.base import MODEL, Tables  # noqa: E402
 from workload.sources import scroll  # noqa: E402
@@ -56,12 +57,13 @@ def main() -> None:
         times[name] = round(time.perf_counter() - start, 3)
         return out
 
-    store = PointStore(spark, scratch_path(spark, "store"), buckets=2, with_postings=True)
+    store = PointStore(spark, scratch_path(spark, "store"), buckets=2)
+    words = WordIndex.create(store, 8)
     timed("first_sync", lambda: consume(sync(store, t.files, model=MODEL)))
     timed("repeated_sync", lambda: consume(sync(store, t.files, model=MODEL)))
     edited = t.files_of(t.edited_documents)
     timed("changed_sync", lambda: consume(sync(store, edited, model=MODEL)))
-    points, postings = store.points(), store.postings()
+    points = store.points()
     questions = timed("embed_questions", lambda: staged(t.questions, "questions"))
     scorer = term_overlap(F.col("query"), F.col("content"))
     plain = questions.withColumn("compress", F.lit(False))
@@ -72,9 +74,12 @@ def main() -> None:
     timed("dense_search", lambda: consume(search(plain.withColumn("hybrid", F.lit(False)), points, buckets=2).results))
     for n in (1, 100):
         few = staged(plain.orderBy("query_id").limit(n), "few-questions")
-        timed(f"hybrid_{n}_question{'s' * (n > 1)}", lambda few=few: consume(search(few, points, postings, buckets=2).results))
+        timed(f"hybrid_{n}_question{'s' * (n > 1)}", lambda few=few: consume(search(few, points, buckets=2, words=words).results))
     timed("hybrid_search", lambda: consume(search(plain, points, buckets=2).results))
-    timed("hybrid_search_postings", lambda: consume(search(plain, points, postings, buckets=2).results))
+    timed("hybrid_search_postings", lambda: consume(search(plain, points, buckets=2, words=words).results))
+    cells = timed("build_cells", lambda: CellIndex.create(store, 32))
+    one = staged(plain.orderBy("query_id").limit(1), "few-questions")
+    timed("hybrid_1_question_in_cells", lambda: consume(search(one, points, buckets=2, words=words, cells=cells, probes=8).results))
     timed("hybrid_rerank_compress", lambda: consume(search(questions, points, scorer=scorer, buckets=2).results))
     timed("retrieve_context", lambda: consume(contexts(questions, search(questions, points, scorer=scorer, buckets=2).results)))
 

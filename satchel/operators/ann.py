@@ -31,15 +31,18 @@ class Cells:
 
     centres: np.ndarray
 
+    def order(self, vectors: pa.Array) -> np.ndarray:
+        """Numbers of all centres for each vector, most similar first."""
+        sims = np.round(_unit(vectors, self.centres.shape[1]) @ self.centres.T, 9)
+        return np.argsort(-sims, axis=1, kind="stable").astype(np.int32)
+
     def nearest(self, vector: Column, n: int = 1) -> Column:
         """Numbers of the ``n`` most similar centres, best first."""
-        centres = self.centres
-        count = min(n, len(centres))
+        count = min(n, len(self.centres))
 
         @F.arrow_udf("array<int>")
         def assign(vectors: pa.Array) -> pa.Array:
-            sims = np.round(_unit(vectors, centres.shape[1]) @ centres.T, 9)
-            best = np.argsort(-sims, axis=1, kind="stable")[:, :count].astype(np.int32)
+            best = self.order(vectors)[:, :count]
             offsets = np.arange(0, best.size + 1, count, dtype=np.int32)
             return pa.ListArray.from_arrays(pa.array(offsets), pa.array(best.reshape(-1)))
 
@@ -63,9 +66,14 @@ def assign_cells(points: DataFrame, cells: Cells) -> DataFrame:
 
 def approximate_topk(assigned: DataFrame, queries: DataFrame, cells: Cells, probes: int, k: str = "recall") -> DataFrame:
     """Best ``k`` points among the ``probes`` nearest cells of each question."""
+    return topk_in_cells(assigned, queries.withColumn("cell", F.explode(cells.nearest(F.col("qvec"), probes))), k)
+
+
+def topk_in_cells(assigned: DataFrame, aimed: DataFrame, k: str = "recall") -> DataFrame:
+    """Best ``k`` points of each question among the cells it is aimed at, one
+    row for each (question, cell)."""
     meeting = F.concat_ws(":", F.col("cell").cast("string"), F.col("project_id"))
-    aimed = queries.withColumn("cell", F.explode(cells.nearest(F.col("qvec"), probes))).withColumn("meeting", meeting)
-    return dense_topk(assigned.withColumn("meeting", meeting), aimed, k=k, group="meeting")
+    return dense_topk(assigned.withColumn("meeting", meeting), aimed.withColumn("meeting", meeting), k=k, group="meeting")
 
 
 def recall_at_k(approximate: DataFrame, exact: DataFrame) -> DataFrame:

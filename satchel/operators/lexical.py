@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from satchel.functions.text import query_terms, tokens
+from satchel.operators.bm25 import Weighing, occurrences
 from satchel.operators.ranking import best_per_group, dense_order
 from satchel.session import SMALL_BYTES, SMALL_ROWS, broadcast_if_small, row_bytes
 
@@ -72,18 +73,32 @@ def parsed(queries: DataFrame) -> DataFrame:
     )
 
 
-def lexical_matches(queries: DataFrame, points: DataFrame | None = None, postings: DataFrame | None = None) -> DataFrame:
-    """query_id, project_id, id, lex_score (total occurrences of the words).
+def lexical_matches(
+    queries: DataFrame, points: DataFrame | None = None, postings: DataFrame | None = None, weigh: Weighing = occurrences
+) -> DataFrame:
+    """query_id, project_id, id, lex_score: the sum of ``weigh`` over the
+    question's words, their total occurrences as a rule.
 
     With stored postings only the rows of the asked words are read. Without,
     the texts are tokenised on the fly, in one pass for word frequencies and
-    one for matching, and nothing but matches is shuffled.
+    one for matching, and nothing but matches is shuffled. A weighing that
+    needs statistics is answered from the texts, or by a word index, which
+    has them at hand (``WordIndex.matches``).
     """
     asked = parsed(queries)
+    if weigh.statistics:
+        if points is None:
+            raise ValueError("weights by statistics need the texts or a word index")
+        return _weighed(asked, points, weigh)
     if postings is not None:
         return _from_postings(asked, postings)
     if points is None:
         raise ValueError("either points or postings are needed")
+    return lexical_matches_plain(asked, points)
+
+
+def lexical_matches_plain(asked: DataFrame, points: DataFrame) -> DataFrame:
+    """Matches of parsed questions from the texts, by occurrences."""
     size = asked.agg(
         F.count("*").alias("questions"), F.sum(F.size("terms")).alias("words"), F.sum(row_bytes(asked)).alias("bytes")
     ).first()
@@ -127,6 +142,22 @@ def _from_texts(asked: DataFrame, points: DataFrame) -> DataFrame:
     return both.select("query_id", "project_id", "id", occurrences.cast("long").alias("lex_score"))
 
 
+def _weighed(asked: DataFrame, points: DataFrame, weigh: Weighing) -> DataFrame:
+    """Matches from the texts, then the weight of each word in each match."""
+    texts = points.select("project_id", "id", tokens(F.col("content")).alias("words"))
+    words = asked.select("query_id", "project_id", F.explode("terms").alias("term"))
+    vocabulary = words.select("project_id", "term").distinct()
+    seen = texts.select("project_id", F.explode(F.array_distinct("words")).alias("term"))
+    frequency = seen.join(broadcast_if_small(vocabulary), ["project_id", "term"]).groupBy("project_id", "term").agg(F.count("*").alias("df"))
+    sizes = texts.groupBy("project_id").agg(F.count("*").alias("n_docs"), F.avg(F.size("words")).alias("mean_length"))
+    found = lexical_matches_plain(asked, points).join(texts, ["project_id", "id"])
+    tf = F.size(F.filter("words", lambda w: w == F.col("term")))
+    each = found.join(words, ["query_id", "project_id"]).select("query_id", "project_id", "id", "term", tf.alias("tf"), F.size("words").alias("length"))
+    weight = weigh.weight(F.col("tf"), F.col("length"), F.col("df"), F.col("n_docs"), F.col("mean_length"))
+    scored = each.join(frequency, ["project_id", "term"]).join(sizes, "project_id").groupBy("query_id", "project_id", "id").agg(F.sum(weight).alias("lex_score"))
+    return scored.select("query_id", "project_id", "id", weigh.settled(F.col("lex_score")).alias("lex_score"))
+
+
 def _from_postings(asked: DataFrame, postings: DataFrame) -> DataFrame:
     words = asked.select("query_id", "project_id", F.explode("terms").alias("term"), F.size("terms").alias("n_terms"))
     vocabulary = words.select("project_id", "term").distinct()
@@ -158,11 +189,12 @@ def _from_postings(asked: DataFrame, postings: DataFrame) -> DataFrame:
     )
 
 
-def lexical_topk(matches: DataFrame, queries: DataFrame, k: str = "recall") -> DataFrame:
-    """Best matches of each question by lexical score, ties in id order."""
+def lexical_topk(matches: DataFrame, queries: DataFrame, k: str = "recall", bounds_of: tuple[int, int] | None = None) -> DataFrame:
+    """Best matches of each question by lexical score, ties in id order.
+    ``bounds_of`` are the least and the largest ``k``, where they are known."""
     bounds = queries.select("query_id", F.col(k).alias("_k"))
-    seen = bounds.agg(F.max("_k").alias("most"), F.min("_k").alias("least")).first()
-    ranked = best_per_group(matches, ["query_id"], dense_order("lex_score"), seen["most"] or 1, spread=16)
-    if seen["most"] == seen["least"]:
+    least, most = bounds_of or bounds.agg(F.min("_k"), F.max("_k")).first()
+    ranked = best_per_group(matches, ["query_id"], dense_order("lex_score"), most or 1, spread=16)
+    if most == least:
         return ranked
     return ranked.join(bounds, "query_id").where(F.col("rank") <= F.col("_k")).drop("_k")

@@ -4,21 +4,26 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from satchel.functions.meta import or_default
+from satchel.operators.bm25 import Weighing, occurrences
 from satchel.operators.compress import compress
 from satchel.operators.dense import dense_topk
 from satchel.operators.embedding import hash_embedding
 from satchel.operators.fusion import best_fused, fuse
 from satchel.operators.lexical import lexical_matches, lexical_topk
 from satchel.operators.rerank import Scorer, apply_hits, reorder_by, rerank_with
-from satchel.session import broadcast_if_small, staged
+from satchel.session import SMALL_BYTES, SMALL_ROWS, broadcast_if_small, few_rows, is_small, local, planned_bytes, staged
+from satchel.sources.indexes import CellIndex, WordIndex
 from satchel.sources.store import place
 
 DEFAULT_K = 5
 DEFAULT_RECALL = 40
+DEFAULT_PROBES = 4
 
 
 def with_defaults(queries: DataFrame) -> DataFrame:
@@ -48,14 +53,29 @@ def embed_queries(queries: DataFrame, dim: int = 64, query_fn=None, fn=None) ->
     return embed(queries, chosen, text="query", into="qvec", used="query_tokens")
 
 
-def candidates(queries: DataFrame, points: DataFrame, postings: DataFrame | None = None) -> DataFrame:
+def candidates(
+    queries: DataFrame,
+    points: DataFrame,
+    postings: DataFrame | None = None,
+    words: WordIndex | None = None,
+    cells: CellIndex | None = None,
+    probes: int = DEFAULT_PROBES,
+    weigh: Weighing = occurrences,
+    held: pa.Table | None = None,
+) -> DataFrame:
     """Up to ``recall`` rows per question: query_id, project_id, id, score,
-    rank, in_dense, in_lexical.
+    rank, in_dense, in_lexical. ``held`` are the questions, if they are few.
 
     Texts and metadata stay behind; they are fetched for the few survivors.
     """
-    modes = {r[0] for r in queries.select("hybrid").distinct().collect()}
-    dense = dense_topk(points, queries)
+    if held is not None:
+        modes = set(held.column("hybrid").to_pylist())
+        bounds = pc.min_max(held.column("recall")).as_py()
+        bounds = (bounds["min"], bounds["max"])
+    else:
+        modes = {r[0] for r in queries.select("hybrid").distinct().collect()}
+        bounds = None
+    dense = dense_topk(points, queries) if cells is None else cells.topk(queries, probes)
     no = F.lit(False)
     plain = dense.select("query_id", "project_id", "id", "score", "rank", no.alias("in_dense"), no.alias("in_lexical"))
     if True not in modes:
@@ -64,7 +84,8 @@ def candidates(queries: DataFrame, points: DataFrame, postings: DataFrame | None
         # Both kinds of question read the same dense lists.
         dense = staged(dense, "dense")
     asked = queries.where("hybrid")
-    lexical = lexical_topk(lexical_matches(asked, points, postings), asked)
+    found = lexical_matches(asked, points, postings, weigh) if words is None else words.matches(asked, weigh)
+    lexical = lexical_topk(found, asked, bounds_of=bounds)
     fused = best_fused(fuse(dense.join(asked.select("query_id"), "query_id", "left_semi"), lexical), asked)
     fused = fused.select(*plain.columns)
     if False not in modes:
@@ -74,8 +95,9 @@ def candidates(queries: DataFrame, points: DataFrame, postings: DataFrame | None
     return fused.unionByName(kept.join(rest, "query_id", "left_semi"))
 
 
-def hydrate(found: DataFrame, points: DataFrame, columns: list[str], buckets: int | None = None) -> DataFrame:
+def hydrate(found: DataFrame, points: DataFrame, columns: list[str], buckets: int | None = None, small: bool | None = None) -> DataFrame:
     """Attach stored columns to found rows; the found side is the small one.
+    ``small`` says whether it may be broadcast, where that is known.
 
     With the bucket count of the store the partitions of the found rows are
     known too, and a broadcast join reads only those.
@@ -84,7 +106,8 @@ def hydrate(found: DataFrame, points: DataFrame, columns: list[str], buckets: in
     if buckets and "bucket" in points.columns:
         found = place(found, buckets)
         keys += ["project_key", "bucket"]
-    joined = points.select(*keys, *columns).join(broadcast_if_small(found), keys)
+    small = is_small(found) if small is None else small
+    joined = points.select(*keys, *columns).join(F.broadcast(found) if small else found, keys)
     return joined.drop("project_key", "bucket")
 
 
@@ -129,22 +152,39 @@ def search(
     scorer: Scorer | Column | None = None,
     extra: tuple[str, ...] = (),
     buckets: int | None = None,
+    words: WordIndex | None = None,
+    cells: CellIndex | None = None,
+    probes: int = DEFAULT_PROBES,
+    weigh: Weighing = occurrences,
 ) -> Answer:
     """Run every question (QUERY rows with ``qvec``) against its project.
 
+    With the ``words`` index of the store lexical matches come from the folders
+    of the asked words; ``weigh`` says what a word is worth. With its ``cells``
+    index the dense part looks at the ``probes`` nearest cells of a question
+    only, so it may miss rows that an exact search finds.
+
     ``scorer`` is a function over a question's candidates, or an expression
     over ``query`` and ``content``; without one nothing is reranked.
     ``buckets`` is the bucket count of the store the points come from.
     """
-    asked = staged(with_defaults(queries), "questions")
-    found = staged(candidates(asked, points, postings), "candidates")
+    asked = with_defaults(queries)
+    held = few_rows(asked)
+    # A few questions stay on the driver, where what is asked of them costs no job.
+    asked = staged(asked, "questions") if held is None else local(asked.sparkSession, held, asked.schema)
+    found = staged(candidates(asked, points, postings, words, cells, probes, weigh, held), "candidates")
+    # Few questions have at most so many candidates, and their files have a size.
+    small = None
+    if held is not None and planned_bytes(found) <= SMALL_BYTES // 8:
+        small = (pc.sum(held.column("recall")).as_py() or 0) <= SMALL_ROWS or None
     # The question's text is only carried along for a scorer.
     options = asked.select("query_id", "k", "rerank", "compress", *(["query"] if scorer is not None else []))
     stored = ["content", "content_hash", *[c for c in extra if c not in ("content", "content_hash")]]
     first_k = F.col("rank") <= F.col("k")
     # Only questions that want a rerank need the text of all their candidates.
     needed = first_k if scorer is None else F.col("rerank") | first_k
-    full = hydrate(found.join(broadcast_if_small(options), "query_id").where(needed), points, stored, buckets)
+    options = broadcast_if_small(options) if held is None else F.broadcast(options)
+    full = hydrate(found.join(options, "query_id").where(needed), points, stored, buckets, small)
     if scorer is None:
         ranked = full.withColumn("reranked", F.lit(False)).withColumn("moved", F.lit(False))
     elif isinstance(scorer, Column):
@@ -155,6 +195,6 @@ def search(
         ranked = apply_hits(full, rerank_with(full.where("rerank"), scorer))
     moved = F.sum(F.col("moved").cast("int")).over(Window.partitionBy("query_id")).cast("int")
     ranked = ranked.withColumn("rerank_moved", moved)
-    if asked.where("compress").limit(1).count():
+    if pc.any(held.column("compress")).as_py() if held is not None else not asked.where("compress").isEmpty():
         ranked = compress(ranked, flag="compress")
     return Answer(asked, found, ranked.drop("query", "k", "rerank", "compress", "moved"))

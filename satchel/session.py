@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,6 +13,9 @@ from pyspark.sql import types as T
 # Largest side that may be broadcast; anything above is joined by shuffle.
 SMALL_ROWS = 200_000
 SMALL_BYTES = 64 << 20
+# Rows that may stay on the driver as a local relation.
+FEW_ROWS = 1_000
+FEW_BYTES = 4 << 20
 
 
 def build_session(app: str = "satchel", master: str | None = None, **conf: str) -> SparkSession:
@@ -67,6 +71,22 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def few_rows(df: DataFrame, max_rows: int = FEW_ROWS, max_bytes: int = FEW_BYTES) -> pa.Table | None:
+    """The rows themselves if they are few, else None; one job."""
+    held = df.limit(max_rows + 1).toArrow()
+    return held if held.num_rows <= max_rows and held.nbytes <= max_bytes else None
+
+
+def local(spark: SparkSession, rows: pa.Table, schema: T.StructType) -> DataFrame:
+    """Rows on the driver as a relation whose size Spark knows."""
+    return spark.createDataFrame(rows, schema)
+
+
+def planned_bytes(df: DataFrame) -> int:
+    """Size of ``df`` as Spark plans with it: for a written table, its files."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
 def row_bytes(df: DataFrame) -> Column:
     """Rough size of a row: text by its bytes, nested values by their JSON."""
     total = F.lit(8 * len(df.columns)).cast("long")

@@ -24,6 +24,7 @@ from satchel.operators.keyed import KEY, last_wins
 from satchel.operators.lexical import build_postings
 from satchel.schema import POINT, POSTING
 from satchel.session import staged
+from satchel.sources.indexes import kept_up
 
 _LIVE = "project_id string, project_key string, bucket int, version int, buckets int, with_postings boolean"
 DEFAULT_BUCKETS = 8
@@ -193,6 +194,8 @@ class PointStore:
         written = self.spark.read.schema(_with_place(POINT)).parquet(f"{self.root}/points/v={version}")
         if self.with_postings:
             self._write("postings", place(build_postings(written), self.buckets), version)
+        for index in kept_up(self):
+            index.write(written, version)
         filled = written.select("project_id", "project_key", "bucket").distinct().collect()
         rows = {tuple(r)[:4] for r in old if (r["project_key"], r["bucket"]) not in cells}
         rows |= {(r[0], r[1], r[2], version) for r in filled}
@@ -230,7 +233,7 @@ class PointStore:
             used |= {r["version"] for r in self.live(v).select("version").distinct().collect()}
         removed = []
         for v in range(1, first_kept):
-            for table in ("live",) if v in used else ("live", "points", "postings"):
+            for table in ("live",) if v in used else ("live", "points", "postings", "words", "terms", "cells"):
                 path, fs = self._folder(f"{self.root}/{table}/v={v}")
                 if fs.exists(path):
                     fs.delete(path, True)

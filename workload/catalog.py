@@ -1,5 +1,5 @@
 """Imports every module that registers queries."""
 
 from workload import (  # noqa: F401
-    aggregates, composites, joins, projections, scalars, searches, sinks, sorts, sources, streams,
+    aggregates, composites, indexed, joins, projections, scalars, searches, sinks, sorts, sources, streams,
 )

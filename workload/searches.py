@@ -164,9 +164,13 @@ reranked AS (
 SEARCHED_SQL = with_(SEARCH_SQL, RERANKED_SQL, compressed_sql("reranked"))
 
 
-def searched(t: Tables):
+def searched_by(t: Tables, points: DataFrame, **options):
     scorer = term_overlap(F.col("query"), F.col("content"))
-    return search(t.questions, t.indexed, scorer=scorer, extra=("source_file", "meta"))
+    return search(t.questions, points, scorer=scorer, extra=("source_file", "meta"), **options)
+
+
+def searched(t: Tables):
+    return searched_by(t, t.indexed)
 
 
 @query(
