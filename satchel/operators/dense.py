@@ -1,9 +1,10 @@
 """Exact dense top-k: many questions against many vectors.
 
 Similarities are matrix products inside Arrow batches; a task keeps only the
-best k per question, so the pairs themselves never reach a shuffle. A checked
-number of questions travels to the points; beyond it both sides are cut into
-blocks that meet pairwise.
+best k per question, so the pairs themselves never reach a shuffle. Questions
+travel to the points, in rounds of bounded size if they are many: a round
+holds neighbouring projects, reads the points of those, and leaves its
+finished answers in a folder. Points are neither copied nor shuffled.
 """
 
 from __future__ import annotations
@@ -13,20 +14,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from satchel.functions.vectors import SCORE_DECIMALS, cosine
 from satchel.operators.ranking import best_per_group, dense_order
+from satchel.session import few_rows, scratch_path
 
 # Questions, and bytes of question vectors, that may be sent to every task.
 PACKED_QUERIES = 8_192
 PACKED_QUERY_BYTES = 64 << 20
 # Similarities held at once by a task.
 CELLS_AT_ONCE = 4_000_000
-# Sizes of the two sides of a block in the shuffled route.
-QUERY_BLOCK = 4_096
-POINT_BLOCK = 200_000
 
 TOPK_SCHEMA = "query_id string, project_id string, id string, score double"
 
@@ -53,22 +52,24 @@ def dense_topk(points: DataFrame, queries: DataFrame, k: str = "recall", group:
     asked = queries.select(
         F.col(group).cast("string").alias("_group"), F.col("query_id"), F.col("qvec").alias("_qvec"), F.col(k).alias("_k")
     )
+    asked = asked.where(F.col("_qvec").isNotNull())
     stored = points.select(F.col(group).cast("string").alias("_group"), "project_id", "id", "embedding")
-    packed = asked.limit(PACKED_QUERIES + 1).collect()
-    if not packed:
+    held = few_rows(asked, PACKED_QUERIES, PACKED_QUERY_BYTES)
+    if held is None:
+        return _in_rounds(stored, asked)
+    if not held.num_rows:
         return _empty(points)
-    size = 8 * len(packed) * max(len(r["_qvec"]) for r in packed)
-    if len(packed) <= PACKED_QUERIES and size <= PACKED_QUERY_BYTES:
-        bounds = {r["_k"] for r in packed}
-        partial = _with_travelling_queries(stored, packed)
-    else:
-        bounds = {r[0] for r in asked.select("_k").distinct().limit(2).collect()}
-        partial = _with_blocks(stored, asked)
-    max_k = max(bounds) if len(bounds) == 1 else asked.agg(F.max("_k")).first()[0]
-    ranked = best_per_group(partial, ["query_id"], dense_order(), max_k, spread=16)
-    if len(bounds) == 1:
+    return _best(_partial(stored, held)[0], held)
+
+
+def _best(partial: DataFrame, held: pa.Table) -> DataFrame:
+    """Ranked answers, each question cut to its own bound."""
+    bounds = pc.min_max(held.column("_k")).as_py()
+    ranked = best_per_group(partial, ["query_id"], dense_order(), bounds["max"], spread=16)
+    if bounds["min"] == bounds["max"]:
         return ranked
-    wanted = queries.select("query_id", F.col(k).alias("_k")).distinct()
+    spark = partial.sparkSession
+    wanted = spark.createDataFrame(held.select(["query_id", "_k"]).group_by(["query_id", "_k"]).aggregate([]))
     return ranked.join(wanted, "query_id").where(F.col("rank") <= F.col("_k")).drop("_k")
 
 
@@ -76,14 +77,47 @@ def _empty(points: DataFrame) -> DataFrame:
     return points.sparkSession.createDataFrame([], TOPK_SCHEMA + ", rank int")
 
 
-def _with_travelling_queries(stored: DataFrame, packed: list) -> DataFrame:
-    by_group: dict[str, list] = {}
-    for row in packed:
-        by_group.setdefault(row["_group"], []).append((row["query_id"], row["_qvec"], row["_k"]))
+def _in_rounds(stored: DataFrame, asked: DataFrame) -> DataFrame:
+    """Rounds of neighbouring groups, each answered and written before the
+    next one is sent."""
+    spark = stored.sparkSession
+    size = asked.agg(F.count("*").alias("n"), F.sum(F.size("_qvec") * 4 + 64).alias("bytes")).first()
+    rounds = int(max(size["n"] // PACKED_QUERIES, size["bytes"] // PACKED_QUERY_BYTES)) + 1
+    path, out = scratch_path(spark, "rounds"), scratch_path(spark, "answers")
+    dealt = asked.repartitionByRange(rounds, "_group", "query_id").withColumn("_round", F.spark_partition_id())
+    dealt.write.partitionBy("_round").parquet(path)
+    numbered = spark.read.schema(dealt.schema).parquet(path)
+    done = 0
+    for number in range(rounds):
+        whole = numbered.where(F.col("_round") == number).drop("_round").toArrow()
+        step = PACKED_QUERIES
+        if whole.num_rows:
+            step = max(1, min(step, PACKED_QUERY_BYTES * whole.num_rows // max(1, whole.nbytes)))
+        for start in range(0, whole.num_rows, step):
+            held = whole.slice(start, step)
+            partial, sent = _partial(stored, held)
+            _best(partial, held).write.parquet(f"{out}/part={done}")
+            sent.destroy()
+            done += 1
+    return spark.read.schema(TOPK_SCHEMA + ", rank int").parquet(*[f"{out}/part={i}" for i in range(done)])
+
+
+def _partial(stored: DataFrame, held: pa.Table):
+    """The best rows of each question by task, and the broadcast they need."""
+    held = held.sort_by("_group")
+    by_group: dict[str, tuple] = {}
+    names = held.column("_group").combine_chunks()
+    for name in pc.unique(names.drop_null()).to_pylist():
+        rows = held.filter(pc.equal(names, name)).combine_chunks()
+        vectors = rows.column("_qvec").combine_chunks()
+        ids, flat = rows.column("query_id").to_pylist(), vectors.flatten().to_numpy(zero_copy_only=False)
+        lengths = pc.unique(pc.list_value_length(vectors)).to_pylist()
+        if len(lengths) > 1:
+            raise ValueError(f"question vectors of {name} have {lengths} components")
+        by_group[name] = (ids, flat.reshape(len(ids), lengths[0]), rows.column("_k").to_pylist())
     sent = stored.sparkSession.sparkContext.broadcast(by_group)
-    groups = sorted(g for g in by_group if g is not None)
-    if len(groups) <= 1_000:
-        stored = stored.where(F.col("_group").isin(groups))
+    if len(by_group) <= 1_000:
+        stored = stored.where(F.col("_group").isin(sorted(by_group)))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         leaders: dict[str, _Leaders] = {}
@@ -92,56 +126,12 @@ def _with_travelling_queries(stored: DataFrame, packed: list) -> DataFrame:
                 if name not in leaders:
                     if name not in sent.value:
                         continue
-                    leaders[name] = _Leaders(sent.value[name])
+                    leaders[name] = _Leaders(*sent.value[name])
                 leaders[name].offer(rows)
         for kept in leaders.values():
             yield from kept.rows().to_batches()
 
-    return stored.mapInArrow(scan, TOPK_SCHEMA)
-
-
-def _with_blocks(stored: DataFrame, asked: DataFrame) -> DataFrame:
-    """Both sides hashed into blocks; each pair of blocks of a group meets once."""
-    sizes = (
-        stored.groupBy("_group").agg(F.count("*").alias("_points"))
-        .join(asked.groupBy("_group").agg(F.count("*").alias("_asked")), "_group")
-        .select(
-            "_group",
-            F.ceil(F.col("_points") / POINT_BLOCK).cast("int").alias("_pblocks"),
-            F.ceil(F.col("_asked") / QUERY_BLOCK).cast("int").alias("_qblocks"),
-        )
-    )
-    left = (
-        stored.join(sizes, "_group")
-        .withColumn("_pb", F.pmod(F.xxhash64("id"), F.col("_pblocks")).cast("int"))
-        .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.col("_qblocks") - 1)))
-        .drop("_pblocks", "_qblocks")
-    )
-    right = (
-        asked.join(sizes, "_group")
-        .withColumn("_qb", F.pmod(F.xxhash64("query_id"), F.col("_qblocks")).cast("int"))
-        .withColumn("_pb", F.explode(F.sequence(F.lit(0), F.col("_pblocks") - 1)))
-        .drop("_pblocks", "_qblocks")
-    )
-
-    def meet(points: pa.Table, questions: pa.Table) -> pa.Table:
-        if points.num_rows == 0 or questions.num_rows == 0:
-            return _no_rows()
-        kept = _Leaders(
-            list(
-                zip(
-                    questions.column("query_id").to_pylist(),
-                    questions.column("_qvec").to_pylist(),
-                    questions.column("_k").to_pylist(),
-                )
-            )
-        )
-        for batch in points.to_batches():
-            kept.offer(batch)
-        return kept.rows()
-
-    keys = ("_group", "_pb", "_qb")
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, TOPK_SCHEMA)
+    return stored.mapInArrow(scan, TOPK_SCHEMA), sent
 
 
 def _split(batch: pa.RecordBatch, column: str) -> Iterator[tuple[str, pa.RecordBatch]]:
@@ -173,12 +163,12 @@ def _unit_rows(matrix: np.ndarray) -> np.ndarray:
 class _Leaders:
     """The best k (score, id) of each question among the rows offered so far."""
 
-    def __init__(self, questions: list[tuple[str, list[float], int]]):
-        self.query_ids = [q[0] for q in questions]
-        self.unit = _unit_rows(np.array([q[1] for q in questions], dtype=np.float64))
-        self.k = [int(q[2]) for q in questions]
-        self.best: list[list[tuple[float, str, str]]] = [[] for _ in questions]
-        self.floor = np.full(len(questions), -np.inf)
+    def __init__(self, query_ids: list[str], vectors: np.ndarray, k: list[int]):
+        self.query_ids = query_ids
+        self.unit = _unit_rows(vectors.astype(np.float64))
+        self.k = [int(x) for x in k]
+        self.best: list[list[tuple[float, str, str]]] = [[] for _ in query_ids]
+        self.floor = np.full(len(query_ids), -np.inf)
 
     def offer(self, rows: pa.RecordBatch) -> None:
         # In id order, the first of several equal scores is the one to keep.
@@ -221,8 +211,3 @@ class _Leaders:
                 "score": pa.array([float(s) for s in score], pa.float64()),
             }
         )
-
-
-def dense_similarity(a: Column, b: Column) -> Column:
-    """Similarity of two vector columns of one row."""
-    return cosine(a, b)
