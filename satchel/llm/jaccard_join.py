@@ -344,9 +344,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             pivots = live.groupBy("sig").agg(F.min(F.struct("component", "doc_id", "n", "m")).alias("p"), F.max("component").alias("_top"))
             met = live.join(pivots.where("p.component < _top"), "sig").where("component <> p.component").where(_possible("n", "m", "p.n", "p.m"))
             met = met.groupBy(F.col("doc_id").alias("b"), F.col("p.doc_id").alias("a")).agg(F.count("*").alias("_n"))
+            # A document's pivots are one row, as many as it has lists at most.
+            best = met.groupBy("b").agg(F.collect_list(F.struct("_n", F.negative("a").alias("_a"))).alias("_all"))
             if tried is not None:
-                met = met.join(tried, ["a", "b"], "left_anti")
-            pairs = met.groupBy("b").agg(F.max_by("a", F.struct("_n", F.negative("a"))).alias("a")).select("a", "b")
+                seen = tried.groupBy("b").agg(F.collect_set(F.negative("a")).alias("_seen"))
+                best = best.join(seen, "b", "left").withColumn("_all", F.filter("_all", lambda x: ~F.coalesce(F.array_contains("_seen", x["_a"]), F.lit(False))))
+            pairs = best.where(F.size("_all") > 0).select(F.negative(F.array_max("_all")["_a"]).alias("a"), "b")
         else:
             # What is left in different components is compared pair by pair.
             words = range(BITS // 64)
