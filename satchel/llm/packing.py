@@ -7,10 +7,12 @@ are kept in order of their residuals and carry their sources and clusters as
 bitmaps; the search goes on from one residual to the next larger one until a
 compatible bin is found, or opens a new bin.
 
-Documents are dealt into shards by a hash of their id, about ``shard_docs``
-in each, and a shard is packed in one task: whatever the corpus holds, a shard
-is a bounded, evenly mixed part of it, so a source with a third of all rows
-is a third of every shard.
+Documents are dealt into shards by a hash of id, cluster and size, about
+``shard_docs`` in each, and a shard is packed in one task; a shard that rows
+equal in all three have made four times as large is cut into parts by the
+places of its rows. Whatever the corpus holds, a shard is a bounded, evenly
+mixed part of it, so a source with a third of all rows is a third of every
+shard.
 
 Defined results: a null or empty text has no words and is packed nowhere
 (bin and position null, one row); a full piece is a bin of its own; a null
@@ -30,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from satchel.llm.words import Words, blocks, text_bytes
+from satchel.session import staged
 
 CAPACITY = 2_048
 SHARD_DOCS = 8_192
@@ -103,15 +106,16 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 
 def pack(items: DataFrame, capacity: int = CAPACITY, shard_docs: int = SHARD_DOCS) -> DataFrame:
     """(id, piece, first_word, n_words, bin, bin_offset) of every piece of
-    ``items`` (id, source, cluster, n_words); bins are named shard-number."""
-    shards = items.select("id").agg(F.count(F.lit(1)).alias("n")).first()["n"] // shard_docs + 1
+    ``items`` (id, source, cluster, n_words); bins are named shard-part-number."""
+    items = staged(items, "measured")
+    shards = items.count() // shard_docs + 1
     id_type = items.schema["id"].dataType.simpleString()
 
     def pack_shard(rows: pd.DataFrame) -> pd.DataFrame:
         pieces = np.maximum(1, -(-rows.n_words.to_numpy() // capacity))
         at = np.repeat(np.arange(len(rows)), pieces)
         piece = np.arange(len(at)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        out = rows.iloc[at][["id", "source", "cluster", "n_words", "shard"]].reset_index(drop=True)
+        out = rows.iloc[at][["id", "source", "cluster", "n_words", "shard", "part"]].reset_index(drop=True)
         out["piece"], out["first_word"] = piece, piece * capacity
         out["n_words"] = np.minimum(capacity, out.n_words - out.first_word)
         out = out.sort_values(["n_words", "id", "piece"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
@@ -119,10 +123,18 @@ def pack(items: DataFrame, capacity: int = CAPACITY, shard_docs: int = SHARD_DOC
         whole = [[None if pd.isna(v) else v for v in out[c][used]] for c in ("source", "cluster")]
         bins, offsets = best_fit(out.n_words[used].tolist(), *whole, capacity)
         out["bin"], out["bin_offset"] = None, pd.Series([None] * len(out), dtype="Int64")
-        out.loc[used, "bin"] = [f"{out.shard[0]}-{b}" for b in bins]
+        out.loc[used, "bin"] = [f"{out.shard[0]}-{out.part[0]}-{b}" for b in bins]
         out.loc[used, "bin_offset"] = offsets
         return out[["id", "piece", "first_word", "n_words", "bin", "bin_offset"]]
 
-    dealt = items.select(F.col("id").cast("string").alias("id"), "source", "cluster", "n_words", F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard"))
-    packed = dealt.groupBy("shard").applyInPandas(pack_shard, "id string, piece int, first_word long, n_words long, bin string, bin_offset long")
+    shard = F.pmod(F.xxhash64("id", "cluster", "n_words"), F.lit(shards))
+    dealt = items.select(F.col("id").cast("string").alias("id"), "source", "cluster", "n_words", shard.alias("shard"))
+    large = dealt.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > 4 * shard_docs)
+    large = staged(large.select("shard", F.ceil(F.col("n") / shard_docs).alias("parts")), "large-shards")
+    if large.isEmpty():
+        dealt = dealt.withColumn("part", F.lit(0).cast("long"))
+    else:
+        dealt = dealt.withColumn("row", F.monotonically_increasing_id()).join(large, "shard", "left")
+        dealt = dealt.withColumn("part", F.coalesce(F.pmod(F.xxhash64("row"), F.col("parts")), F.lit(0).cast("long"))).drop("row", "parts")
+    packed = dealt.groupBy("shard", "part").applyInPandas(pack_shard, "id string, piece int, first_word long, n_words long, bin string, bin_offset long")
     return packed.withColumn("id", F.col("id").cast(id_type))

@@ -310,3 +310,15 @@ def test_archives_of_pages_without_id_and_of_repeated_rows(spark, tmp_path):
     con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
     found = con.execute(f"SELECT {', '.join(sorted(df.columns))} FROM ({queries.OP4_SQL})").fetchall()
     assert got == sorted(found, key=repr) and len(got) == len(rows)
+
+
+def test_shards_of_rows_that_share_an_id(spark):
+    from satchel.llm import packing
+
+    rows = [(None, "s", 5, 10)] * 900 + [(7, f"t{i}", None, 10) for i in range(300)] + [(i, f"s{i % 9}", i, 1 + i % 40) for i in range(400)]
+    items = spark.createDataFrame(rows, "id long, source string, cluster long, n_words int").repartition(3)
+    done = packing.pack(items, capacity=100, shard_docs=50).toPandas()
+    assert len(done) == len(rows) and done.n_words.sum() == sum(r[3] for r in rows)
+    shard = done.bin.str.rsplit("-", n=1).str[0]
+    assert shard.value_counts().max() <= 4 * 50
+    assert done.groupby("bin").n_words.sum().max() <= 100
