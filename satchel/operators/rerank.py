@@ -53,32 +53,47 @@ def reorder_by(candidates: DataFrame, score: Column, k: str = "k", flag: str = "
     )
 
 
-def rerank_with(candidates: DataFrame, scorer: Scorer, k: str = "k") -> DataFrame:
-    """Hits from a user function, called once per question.
+CALL_SCHEMA = "query_id string, hits array<struct<hit:int,idx:int,relevance_score:double>>, tokens long, error string"
+
+
+def rerank_calls(candidates: DataFrame, scorer: Scorer, k: str = "k", counts_tokens: bool = False) -> DataFrame:
+    """One row for each question: the hits of a user function, the tokens it
+    has spent (if it returns hits and tokens), and what went wrong, if it did.
 
     A question has at most ``recall`` candidates, which bounds each group. A
-    call that fails or returns nothing yields no hits, and the question keeps
-    its retrieval order.
+    call that fails gives no hits and an ``error``.
     """
 
     def score_group(group: pa.Table) -> pa.Table:
         group = group.sort_by("rank")
         query_id, question, wanted = (group.column(c)[0].as_py() for c in ("query_id", "query", "k"))
+        error, spent = None, 0
         try:
-            hits = list(scorer(question, group.column("content").to_pylist(), wanted))
-        except Exception:
-            hits = []
+            hits = scorer(question, group.column("content").to_pylist(), wanted)
+            hits, spent = hits if counts_tokens else (hits, 0)
+            hits = [{"hit": n, "idx": int(i), "relevance_score": float(s)} for n, (i, s) in enumerate(hits)]
+        except Exception as failure:  # whatever the function raises: the question keeps its order
+            hits, error = [], f"{type(failure).__name__}: {failure}"
+        hit = pa.struct([("hit", pa.int32()), ("idx", pa.int32()), ("relevance_score", pa.float64())])
         return pa.table(
             {
-                "query_id": pa.array([query_id] * len(hits), pa.string()),
-                "hit": pa.array(range(len(hits)), pa.int32()),
-                "idx": pa.array([int(i) for i, _ in hits], pa.int32()),
-                "relevance_score": pa.array([float(s) for _, s in hits], pa.float64()),
+                "query_id": pa.array([query_id], pa.string()), "hits": pa.array([hits], pa.list_(hit)),
+                "tokens": pa.array([int(spent)], pa.int64()), "error": pa.array([error], pa.string()),
             }
         )
 
     slim = candidates.select("query_id", "query", "rank", "content", F.col(k).alias("k"))
-    return slim.groupBy("query_id").applyInArrow(score_group, HIT_SCHEMA)
+    return slim.groupBy("query_id").applyInArrow(score_group, CALL_SCHEMA)
+
+
+def hits_of(calls: DataFrame) -> DataFrame:
+    return calls.select("query_id", F.inline("hits"))
+
+
+def rerank_with(candidates: DataFrame, scorer: Scorer, k: str = "k") -> DataFrame:
+    """Hits from a user function, called once per question. A call that fails
+    or returns nothing yields no hits, and the question keeps its order."""
+    return hits_of(rerank_calls(candidates, scorer, k))
 
 
 def apply_hits(candidates: DataFrame, hits: DataFrame, k: str = "k") -> DataFrame:

@@ -16,7 +16,8 @@ from satchel.operators.dense import dense_topk
 from satchel.operators.embedding import hash_embedding
 from satchel.operators.fusion import best_fused, fuse
 from satchel.operators.lexical import lexical_matches, lexical_topk
-from satchel.operators.rerank import Scorer, apply_hits, reorder_by, rerank_with
+from satchel.operators.rerank import Scorer, apply_hits, hits_of, reorder_by, rerank_calls
+from satchel.operators.usage import record_usage
 from satchel.session import SMALL_BYTES, SMALL_ROWS, broadcast_if_small, few_rows, is_small, local, planned_bytes, staged
 from satchel.sources.indexes import CellIndex, WordIndex
 from satchel.sources.store import place
@@ -119,6 +120,7 @@ class Answer:
     queries: DataFrame
     candidates: DataFrame
     results: DataFrame
+    calls: DataFrame | None = None  # of a scoring function: hits, tokens and error of each question
 
     def composition(self) -> DataFrame:
         """What each question's answer was made of; questions without any
@@ -132,14 +134,17 @@ class Answer:
             F.count("*").alias("results"), F.max("reranked").alias("reranked"), F.max("rerank_moved").alias("rerank_moved")
         )
         counts = ("candidates", "results", "dense_count", "lexical_count", "rerank_moved")
+        rows = self.queries.select("query_id", "hybrid").join(found, "query_id", "left").join(kept, "query_id", "left")
+        reranked = F.coalesce("reranked", F.lit(False))
+        if self.calls is not None:
+            # Hits that all point nowhere make an empty, reranked answer.
+            rows = rows.join(self.calls.where(F.size("hits") > 0).select("query_id", F.lit(True).alias("_called")), "query_id", "left")
+            reranked = reranked | F.coalesce("_called", F.lit(False))
         return (
-            self.queries.select("query_id", "hybrid")
-            .join(found, "query_id", "left")
-            .join(kept, "query_id", "left")
-            .select(
+            rows.select(
                 "query_id",
                 "hybrid",
-                F.coalesce("reranked", F.lit(False)).alias("reranked"),
+                reranked.alias("reranked"),
                 *[F.coalesce(c, F.lit(0)).cast("int").alias(c) for c in counts],
             )
         )
@@ -156,13 +161,17 @@ def search(
     cells: CellIndex | None = None,
     probes: int = DEFAULT_PROBES,
     weigh: Weighing = occurrences,
+    counts_tokens: bool = False,
+    usage: str | None = None,
 ) -> Answer:
     """Run every question (QUERY rows with ``qvec``) against its project.
 
     With the ``words`` index of the store lexical matches come from the folders
     of the asked words; ``weigh`` says what a word is worth. With its ``cells``
     index the dense part looks at the ``probes`` nearest cells of a question
-    only, so it may miss rows that an exact search finds.
+    only, so it may miss rows that an exact search finds. A scoring function
+    that returns hits and tokens (``counts_tokens``) has its tokens added to the
+    ``usage`` log; calls that failed are told in ``Answer.calls``.
 
     ``scorer`` is a function over a question's candidates, or an expression
     over ``query`` and ``content``; without one nothing is reranked.
@@ -185,6 +194,7 @@ def search(
     needed = first_k if scorer is None else F.col("rerank") | first_k
     options = broadcast_if_small(options) if held is None else F.broadcast(options)
     full = hydrate(found.join(options, "query_id").where(needed), points, stored, buckets, small)
+    calls = None
     if scorer is None:
         ranked = full.withColumn("reranked", F.lit(False)).withColumn("moved", F.lit(False))
     elif isinstance(scorer, Column):
@@ -192,9 +202,13 @@ def search(
     else:
         # The texts go to the scorer once and are then read again in its order.
         full = staged(full, "candidate-texts")
-        ranked = apply_hits(full, rerank_with(full.where("rerank"), scorer))
+        calls = staged(rerank_calls(full.where("rerank"), scorer, counts_tokens=counts_tokens), "rerank-calls")
+        if usage is not None:
+            spent = calls.agg(F.sum("tokens").alias("tokens")).first()["tokens"] or 0
+            record_usage(calls.sparkSession, usage, "rerank", spent)
+        ranked = apply_hits(full, hits_of(calls))
     moved = F.sum(F.col("moved").cast("int")).over(Window.partitionBy("query_id")).cast("int")
     ranked = ranked.withColumn("rerank_moved", moved)
     if pc.any(held.column("compress")).as_py() if held is not None else not asked.where("compress").isEmpty():
         ranked = compress(ranked, flag="compress")
-    return Answer(asked, found, ranked.drop("query", "k", "rerank", "compress", "moved"))
+    return Answer(asked, found, ranked.drop("query", "k", "rerank", "compress", "moved"), calls)

@@ -13,10 +13,14 @@ from satchel.operators.chunking import DEFAULT_CHUNK_CHARS, chunk_files
 from satchel.operators.embedding import hash_embed
 from satchel.operators.keyed import KEY
 from satchel.operators.points import to_points
+from satchel.operators.usage import Metered
+from satchel.schema import FILE
 from satchel.session import staged
 from satchel.sources.files import current_files
 from satchel.sources.store import PointStore
+from satchel.streaming.events import events_from, publish
 
+NAMED_PROJECTS = 1_000  # projects that are named to the store one by one
 # Adds ``embedding`` to rows that have ``content``.
 EmbedStage = Callable[[DataFrame], DataFrame]
 
@@ -92,6 +96,21 @@ def stale_points(existing: DataFrame, files: DataFrame, chunks: DataFrame | None
     return gone.select(*KEY)
 
 
+def one_version(files: DataFrame) -> DataFrame:
+    """Files read once and written down, one row per path: of several texts of
+    one path the larger one stays whole (a row without a text gives way). Texts
+    move only for paths that come more than once."""
+    place = ["project_id", "source_dir", "rel_path"]
+    files = staged(files.select(*FILE.fieldNames()), "sync-files")
+    twice = staged(files.groupBy(*place).agg(F.count("*").alias("n")).where("n > 1").select(*place), "repeated-paths")
+    if twice.isEmpty():
+        return files
+    same = lambda a, b: [a[c].eqNullSafe(b[c]) for c in place]
+    several = files.join(twice, same(files, twice), "left_semi").groupBy(*place).agg(F.max(F.struct("text", "length")).alias("f"))
+    one = several.select(*place, "f.length", "f.text")
+    return staged(files.join(twice, same(files, twice), "left_anti").unionByName(one), "sync-files")
+
+
 def plan_sync(
     files: DataFrame, existing: DataFrame, max_chars: int = DEFAULT_CHUNK_CHARS, prune_tail: bool = False
 ) -> SyncChange:
@@ -120,13 +139,37 @@ def sync(
     max_chars: int = DEFAULT_CHUNK_CHARS,
     prune_tail: bool = False,
     project_ids: list[str] | None = None,
+    usage: str | None = None,
+    events: str | None = None,
 ) -> DataFrame:
     """Index new and changed chunks, drop stale points, report the counts.
 
     Running it again on the same files changes nothing. Only chunks that are
-    new or changed are embedded. ``project_ids``, where the caller knows them,
-    keeps the comparison to the partitions of those projects.
+    new or changed are embedded. Each file is read once; of several versions of
+    a path one is taken as a whole. The comparison reads the partitions of the
+    projects at hand; ``project_ids`` saves finding them out. ``usage`` names a
+    log to which the tokens spent are added, ``events`` one that is told of the
+    start and the end of the run in each project.
     """
+    files = one_version(files)
+    if events is not None:
+        publish(events_from(files.groupBy("project_id").agg(F.min("source_dir").alias("directory")), "index_started", "directory"), events)
+    try:
+        report = _synced(store, files, embed, model, max_chars, prune_tail, project_ids, usage)
+    except Exception as failure:
+        if events is not None:
+            error = F.lit(f"{type(failure).__name__}: {str(failure)[:500]}").alias("error")
+            publish(events_from(files.select("project_id", error).distinct(), "index_failed", "error"), events)
+        raise
+    if events is not None:
+        publish(events_from(report, "index_completed", "indexed", "skipped", "deleted", "files_scanned"), events)
+    return report
+
+
+def _synced(store: PointStore, files: DataFrame, embed: EmbedStage, model: str | None, max_chars: int, prune_tail: bool, project_ids: list[str] | None, usage: str | None) -> DataFrame:
+    if project_ids is None:
+        found = [r[0] for r in files.select("project_id").distinct().limit(NAMED_PROJECTS + 1).collect()]
+        project_ids = found if len(found) <= NAMED_PROJECTS else None
     existing = store.points(project_ids)
     change = plan_sync(files, existing, max_chars, prune_tail)
     # Feeds the counters and the embedding, after which the store has moved.
@@ -135,12 +178,19 @@ def sync(
     marked = staged(narrow, "sync-chunks")
     change = SyncChange(marked, staged(change.stale, "sync-stale"), change.files)
     fresh = change.to_index()
-    store.commit(upserts=chunk_points(fresh, embed, model), deletes=change.stale, keys=fresh.select(*KEY))
+    metered = Metered(embed, "embed", model, usage)
+    store.commit(upserts=chunk_points(fresh, metered, model), deletes=change.stale, keys=fresh.select(*KEY))
+    metered.record(marked.sparkSession)
     return change.result()
 
 
 def index_documents(
-    store: PointStore, documents: DataFrame, project_id: str, embed: EmbedStage = hash_embed, model: str | None = None
+    store: PointStore,
+    documents: DataFrame,
+    project_id: str,
+    embed: EmbedStage = hash_embed,
+    model: str | None = None,
+    usage: str | None = None,
 ) -> int:
     """Store caller-supplied documents of one project; of repeated ids in a
     call the last one stays. Returns the count of documents handed in."""
@@ -148,8 +198,10 @@ def index_documents(
         "ordinal", F.monotonically_increasing_id()
     )
     taken = staged(numbered, "documents")
-    points = to_points(embed(last_of_call(taken)), model)
+    metered = Metered(embed, "embed", model, usage)
+    points = to_points(metered(last_of_call(taken)), model)
     store.upsert(points, keys=taken.select(*KEY).distinct())
+    metered.record(taken.sparkSession)
     return taken.count()
 
 

@@ -94,5 +94,7 @@ EVENT = _struct(
     data=META,
 )
 
+USAGE = _struct(ts=T.TimestampType(), stage=T.StringType(), model=T.StringType(), tokens=T.LongType())
+
 # Metadata keys held as columns of POINT.
 COLUMN_KEYS = ("source_file", "source_dir", "chunk_index", "content_hash", "chunk_version", "doc_id")

@@ -172,6 +172,7 @@ class PointStore:
             twice = keys.groupBy(*KEY).count().where("count > 1").select(*KEY)
             if not twice.isEmpty():
                 twice = staged(twice, "twice")
+                rows = staged(rows, "upserts")  # used twice from here on
                 order = F.struct(*[F.coalesce(c, F.lit("")) for c in ("content_hash", "content")])
                 meta = F.map_entries("meta").alias("meta")  # maps can't be compared or picked by an aggregate
                 several = rows.join(twice, list(KEY), "left_semi").select(*[meta if c == "meta" else c for c in POINT.fieldNames()], order.alias("ordinal"))

@@ -51,6 +51,39 @@ def events_from(rows: DataFrame, kind: str, *columns: str) -> DataFrame:
     )
 
 
+def told(spark: SparkSession, path: str | None, kind: str, project_id: str, **data: object) -> None:
+    """Append one event as it happens; without a log nothing is told."""
+    if path is None:
+        return
+    if kind not in EVENT_TYPES:
+        raise ValueError(f"unknown event type: {kind}")
+    held = F.create_map(*[F.lit(x) for k, v in data.items() for x in (k, str(v))]) if data else F.create_map()
+    row = spark.range(1).select(
+        F.lit(None).cast("long").alias("event_id"), F.lit(kind).alias("type"), F.current_timestamp().alias("ts"), F.lit(project_id).alias("project_id"),
+        held.cast("map<string,string>").alias("data"),
+    )
+    named = row.withColumn("event_id", F.xxhash64("type", "ts", "project_id", F.to_json("data")))
+    publish(named, path)
+
+
+def finished_rounds(spark: SparkSession, path: str | None, run_id: str) -> set[int]:
+    """Rounds of a migration that its events tell of; as many as its commits."""
+    if path is None:
+        return set()
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(folder):
+        return set()
+    data = F.col("data")
+    rows = spark.read.schema(EVENT).parquet(path).where((F.col("type") == "migration_progress") & (data["run_id"] == run_id) & data["round"].isNotNull())
+    return {r[0] for r in rows.select(data["round"].cast("int")).distinct().collect()}
+
+
+def query_events(answer: Answer) -> DataFrame:
+    """One event for each question that was answered."""
+    asked = answer.queries.select("query_id", "project_id", "query")
+    return events_from(answer.composition().join(asked, "query_id"), "query_executed", "query", "candidates", "results")
+
+
 def query_log_rows(answer: Answer, latency_ms: float) -> DataFrame:
     """QUERY_LOG rows of an answered batch, which is named by the batch's
     time. The latency of a question is its share of the batch, since its

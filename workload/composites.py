@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from satchel.operators import reports
+from satchel.operators.embedding import hash_embed
 from satchel.operators.keyed import with_known_projects
 from satchel.operators.points import list_points, listing_order
 from satchel.operators.ranking import page
+from satchel.operators.rerank import rerank_calls
+from satchel.operators.usage import read_usage, record_usage
 from satchel.plans.migrate import migrate
 from satchel.plans.sync import index_documents, sync
 from satchel.session import scratch_path
@@ -63,6 +66,74 @@ def repeated_paths(t: Tables) -> DataFrame:
     return store.points().groupBy("project_id", "id").agg(F.count("*").alias("n"))
 
 
+@query(
+    "x01_two_texts_of_a_path",
+    with_("grown AS (SELECT * FROM (SELECT source AS project_id, lang AS source_dir, 'doc_' || doc_id || '.txt' AS source_file, text || chr(10) || repeat('older text ', 300) AS text FROM documents))", chunks_sql("grown"))
+    + "SELECT project_id, id, content_hash FROM chunks",
+)
+def two_texts(t: Tables) -> DataFrame:
+    """Every path comes with two texts; one of them, the larger, is stored whole."""
+    store = trial_store(t)
+    grown = t.documents.withColumn("text", F.concat("text", F.lit("\n"), F.repeat(F.lit("older text "), 300)))
+    sync(store, t.files.unionByName(t.files_of(grown)), model=MODEL)
+    return store.points().select("project_id", "id", "content_hash")
+
+
+@query(
+    "x01_events",
+    with_(FILES_SQL, chunks_sql())
+    + """SELECT project_id, 'index_started' AS type, NULL AS indexed, NULL AS files_scanned FROM files GROUP BY 1 UNION ALL
+         SELECT f.project_id, 'index_completed', n::VARCHAR, m::VARCHAR FROM (SELECT project_id, count(*) AS m FROM files GROUP BY 1) f
+         JOIN (SELECT project_id, count(*) AS n FROM chunks GROUP BY 1) c ON f.project_id = c.project_id""",
+)
+def sync_events(t: Tables) -> DataFrame:
+    log = scratch_path(t.spark, "events")
+    sync(trial_store(t), t.files, model=MODEL, events=log)
+    return t.spark.read.parquet(log).select("project_id", "type", F.col("data")["indexed"].alias("indexed"), F.col("data")["files_scanned"].alias("files_scanned"))
+
+
+@query(
+    "a09_usage_of_runs",
+    with_(FILES_SQL, chunks_sql()) + f"SELECT sum({TOKEN_COUNT.replace('text', 'content')})::BIGINT AS tokens_embed, (SELECT sum(length(text))::BIGINT FROM conversations) AS tokens_rerank FROM chunks",
+)
+def usage_of_runs(t: Tables) -> DataFrame:
+    """Tokens as the stages themselves have written them down."""
+    log, spark = scratch_path(t.spark, "usage"), t.spark
+    sync(trial_store(t), t.files, model=MODEL, usage=log)
+    turns = t.read("conversations").select(F.col("conv_id").cast("string").alias("query_id"), F.lit("?").alias("query"), F.col("text").alias("content"), (F.col("turn") + 1).cast("int").alias("rank"), F.lit(3).alias("k"))
+    spent = rerank_calls(turns, lambda question, texts, k: ([(0, 1.0)], sum(map(len, texts))), counts_tokens=True).agg(F.sum("tokens")).first()[0]
+    record_usage(spark, log, "rerank", spent)
+    return reports.token_usage(read_usage(spark, log)).select("tokens_embed", "tokens_rerank")
+
+
+@query(
+    "x05_events",
+    """WITH n AS (SELECT count(*) AS n FROM documents) SELECT type, percent FROM (
+         SELECT 'migration_started' AS type, NULL::BIGINT AS percent UNION ALL SELECT 'migration_completed', NULL UNION ALL
+         SELECT DISTINCT 'migration_progress', least(b * 64, n) * 100 // n FROM (SELECT n, unnest(range(0, (n + 63) // 64 + 1)) AS b FROM n))""",
+)
+def migration_events(t: Tables) -> DataFrame:
+    """A run of three rounds that fails in the second and is taken up again."""
+    log, store = scratch_path(t.spark, "events"), trial_store(t)
+    pages = import_documents(scroll(t), "pages")
+    calls = []
+
+    def flaky(rows: DataFrame) -> DataFrame:
+        calls.append(1)
+        if len(calls) == 2:
+            raise RuntimeError("model not available")
+        return hash_embed(rows)
+
+    run = scratch_path(t.spark, "run").rsplit("-", 1)[1]
+    try:
+        migrate(store, "imported", documents=pages, embed=flaky, model=MODEL, rounds=3, run_id=run, events=log)
+    except RuntimeError:
+        migrate(store, "imported", documents=pages, embed=flaky, model=MODEL, rounds=3, run_id=run, events=log)
+    told = t.spark.read.parquet(log)
+    shown = told.where((F.col("type") != "migration_failed") & F.col("data")["round"].isNull())
+    return shown.select("type", F.col("data")["percent"].cast("long").alias("percent"))
+
+
 @query(
     "x01_sync_prune_tail",
     BOTH_SQL + """SELECT project_id, id, content_hash FROM chunks""",

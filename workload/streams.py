@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from satchel.operators import reports
 from satchel.session import scratch_path
-from satchel.streaming import events, metrics
+from satchel.streaming import events, metrics, state
 from satchel.streaming.sync import continuous_sync
 from workload.base import EDITED_SQL, FILES_SQL, LOG_SQL, MODEL, Tables, chunks_sql, even, query, trial_store, with_
 
@@ -122,6 +122,57 @@ def throttle(t: Tables) -> DataFrame:
     return t.spark.read.schema(emitted.schema).parquet(out).select("project_id", F.col("percent").cast("long").alias("percent"))
 
 
+@query(
+    "t03_changed_groups",
+    with_(LOG_SQL)
+    + """SELECT project_id, count(*) AS query_count, round(avg(latency_ms) + 1e-9, 6) AS avg_ms, arg_max(candidates, ts) AS last_candidates
+         FROM query_log GROUP BY 1""",
+)
+def changed(t: Tables) -> DataFrame:
+    """Each batch writes the projects it has changed."""
+    out = scratch_path(t.spark, "changes")
+    totals = metrics.running_metrics(streamed(t, t.recorded_log.repartition(3, "event_id"), "query-log", files_per_batch=1))
+    state.changed_groups(totals, out, checkpoint(t), ["project_id"], once=True).awaitTermination()
+    return state.read_changes(t.spark, out, totals.schema, ["project_id"]).select(
+        "project_id", "query_count", even(F.col("avg_ms")).alias("avg_ms"), F.col("last_query.candidates").alias("last_candidates")
+    )
+
+
+@query(
+    "t04_keyed_state",
+    "SELECT user_id::VARCHAR AS project_id, event_id, value AS latency_ms FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 512",
+)
+def keyed_state(t: Tables) -> DataFrame:
+    """List state of the last 512 latencies of each project, read from the checkpoint after a restart."""
+    ck = checkpoint(t)
+    rows = t.recorded_log.select("event_id", "ts", "project_id", "latency_ms")
+    path = scratch_path(t.spark, "query-log")
+    for part in ("event_id % 3 = 0", "event_id % 3 <> 0"):
+        rows.where(part).write.mode("append").parquet(path)
+        state.keep_recent_keyed(events.follow(t.spark, path, rows.schema), ck, 512, ["project_id"], once=True).awaitTermination()
+    return state.recent_rows(t.spark, ck, 512, ["project_id"]).select("project_id", "event_id", "latency_ms")
+
+
+@query(
+    "t05_progress_runs",
+    """SELECT project_id, migration_id, b AS seq, done, n AS total, pct AS percent FROM (
+         SELECT *, lag(pct) OVER (PARTITION BY project_id, migration_id ORDER BY b) AS before FROM (
+           SELECT project_id, migration_id, n, b, least(b * 64, n) AS done, CASE WHEN n > 0 THEN least(b * 64, n) * 100 // n ELSE 0 END AS pct FROM (
+             SELECT user_id::VARCHAR AS project_id, 'm' || (event_id % 2) AS migration_id, sum((props->>'$.k')::INTEGER)::BIGINT AS n FROM events GROUP BY ALL),
+             LATERAL (SELECT unnest(range(0, (n + 63) // 64 + 1)) AS b))) WHERE pct IS DISTINCT FROM before""",
+)
+def progress_runs(t: Tables) -> DataFrame:
+    """Two runs of each project; even steps arrive after odd ones."""
+    run = ["project_id", F.concat(F.lit("m"), (F.col("event_id") % 2).cast("string")).alias("migration_id")]
+    totals = t.query_log.groupBy(*run).agg(F.sum("candidates").alias("total"))
+    steps = reports.batch_progress(totals)
+    path, out, ck = scratch_path(t.spark, "progress"), scratch_path(t.spark, "percents"), checkpoint(t)
+    for part in ("seq % 2 = 1", "seq % 2 = 0"):
+        steps.where(part).write.mode("append").parquet(path)
+        state.follow_percents(events.follow(t.spark, path, steps.schema), out, ck, once=True).awaitTermination()
+    return t.spark.read.parquet(out).select("project_id", "migration_id", "seq", "done", "total", "percent")
+
+
 @query(
     "t06_activity_feed",
     """SELECT event_id, event_type AS type, (props->>'$.k') || ' candidates' AS description FROM events ORDER BY ts DESC, event_id DESC LIMIT 50""",
