@@ -17,23 +17,24 @@ from satchel.operators.rerank import apply_hits, rerank_by, reorder_by, rerank_w
 from satchel.plans.context import contexts
 from satchel.plans.search import search, with_defaults
 
-VECTORS = {"d1": [1, 0, 0], "d2": [0.9, 0.1, 0], "d3": [0.89, 0.11, 0], "k": [0.1, 0.1, 0.1], "s": [0.8, 0.8, 0.8], "u": [0.1, 0.2, 0.3]}
+ASKED = [2, 1, 0, 1]
+VECTORS = {"reed": [0, 1, 1, 0], "dune": [1, 0, 0, -1], "fen": [0.5, 2, 1, 0.25], "lake": [4, 2, 0, 2], "moor": [1, 0.5, 0, 0.5], "weir": [-1, 3, 2, 0]}
 TEXTS = {
-    "d1": "function computeHash content", "d2": "database connection pool", "d3": "computeHash utility function hash",
-    "k": "HandleError function error handling", "s": "manage exceptions and issues gracefully", "u": "specialkeyword unique content",
+    "reed": "reeds grow in slowWater", "dune": "sand shifts with the wind", "fen": "a fen lives on slowWater and rain",
+    "lake": "still surface, far shore", "moor": "open ground under heather", "weir": "boards raise the stream",
 }
 
 
 @pytest.fixture(scope="module")
 def points(spark):
     rows = [("p", i, TEXTS[i], {"source_file": f"{i}.go"}, [float(x) for x in VECTORS[i]]) for i in TEXTS]
-    rows.append(("q", "d1", TEXTS["d1"], {"source_file": "other.go"}, [0.9, 0.9, 0.9]))
+    rows.append(("q", "reed", TEXTS["reed"], {"source_file": "other.go"}, [float(x) for x in ASKED]))
     df = spark.createDataFrame(rows, "project_id string, id string, content string, meta map<string,string>, embedding array<float>")
     return to_points(df, "m").persist()
 
 
 def asked(spark, *queries, **options):
-    rows = [(f"q{i}", "p", q, [0.9, 0.9, 0.9]) for i, q in enumerate(queries)]
+    rows = [(f"q{i}", "p", q, [float(x) for x in ASKED]) for i, q in enumerate(queries)]
     df = spark.createDataFrame(rows, "query_id string, project_id string, query string, qvec array<float>")
     for name, value in options.items():
         df = df.withColumn(name, F.lit(value))
@@ -48,29 +49,29 @@ def test_defaults(spark):
 def test_project_isolation_and_ties(spark, points):
     got = dense_topk(points, asked(spark, "x", recall=40)).orderBy("rank").collect()
     assert {r["project_id"] for r in got} == {"p"} and len(got) == 6
-    # k and s point the same way as the question: they tie and come in id order.
-    assert [r["id"] for r in got[:2]] == ["k", "s"] and got[0]["score"] == got[1]["score"] == 1.0
+    # Two point the same way as the question: they tie and come in id order.
+    assert [r["id"] for r in got[:2]] == ["lake", "moor"] and got[0]["score"] == got[1]["score"] == 1.0
 
 
 def test_hybrid_prefers_keyword_hits(spark, points):
-    got = search(asked(spark, "computeHash", "HandleError", "specialkeyword"), points).results.collect()
+    got = search(asked(spark, "slowWater", "heather", "shifts"), points).results.collect()
     by = {}
     for r in got:
         by.setdefault(r["query_id"], {})[r["id"]] = r
-    assert by["q0"]["d1"]["in_lexical"] and by["q0"]["d3"]["in_lexical"]
-    assert by["q1"]["k"]["rank"] == 1
-    assert by["q2"]["u"]["in_lexical"]
+    assert by["q0"]["reed"]["in_lexical"] and by["q0"]["fen"]["in_lexical"]
+    assert by["q1"]["moor"]["rank"] == 1
+    assert by["q2"]["dune"]["in_lexical"]
 
 
 def test_dense_only_has_no_origin(spark, points):
-    run = search(asked(spark, "computeHash", hybrid=False), points)
+    run = search(asked(spark, "slowWater", hybrid=False), points)
     comp = run.composition().first()
     assert (comp["candidates"], comp["dense_count"], comp["lexical_count"], comp["results"]) == (6, 0, 0, 5)
     assert not comp["hybrid"] and not comp["reranked"]
 
 
 def test_question_without_candidates(spark, points):
-    lost = asked(spark, "computeHash").withColumn("project_id", F.lit("nowhere"))
+    lost = asked(spark, "slowWater").withColumn("project_id", F.lit("nowhere"))
     run = search(lost, points)
     assert run.results.count() == 0
     comp = run.composition().first()
@@ -126,7 +127,7 @@ def test_dense_bound_per_question(spark, points):
 
 
 def test_nearest_agrees_with_batch(spark, points):
-    one = [r["id"] for r in nearest(points.where("project_id = 'p'"), [0.9, 0.9, 0.9], 4).collect()]
+    one = [r["id"] for r in nearest(points.where("project_id = 'p'"), [float(x) for x in ASKED], 4).collect()]
     many = [r["id"] for r in dense_topk(points, asked(spark, "x", recall=4)).orderBy("rank").collect()]
     assert one == many
 
@@ -211,9 +212,9 @@ def ten(spark, k=5):
 @pytest.mark.parametrize(
     "hits, k, expect",
     [
-        ([(2, 0.99), (0, 0.85), (1, 0.70)], 5, ["result-2", "result-0", "result-1"]),
-        ([(4, 0.9), (3, 0.8), (2, 0.7), (1, 0.6), (0, 0.5)], 3, ["result-4", "result-3", "result-2"]),
-        ([(99, 1.0), (-1, 0.9), (7, 0.8)], 5, ["result-7"]),
+        ([(3, 7.5), (8, 7.0), (0, 6.5)], 5, ["result-3", "result-8", "result-0"]),
+        ([(6, 0.31), (1, 0.3), (9, 0.2), (2, 0.1)], 3, ["result-6", "result-1", "result-9"]),
+        ([(41, 3.0), (-2, 2.0), (5, 1.0)], 5, ["result-5"]),
         ([], 5, [f"result-{i}" for i in range(5)]),
         (None, 5, [f"result-{i}" for i in range(5)]),
     ],
@@ -228,8 +229,8 @@ def test_rerank_hits(spark, hits, k, expect):
     got = apply_hits(rows, rerank_with(rows, scorer)).orderBy("rank").collect()
     assert [r["id"] for r in got] == expect
     assert all(r["reranked"] == bool(hits) for r in got)
-    if hits and hits[0][0] == 2:
-        assert got[0]["score"] == 0.99 and [r["moved"] for r in got] == [True, True, True]
+    if hits and hits[0][0] == 3:
+        assert got[0]["score"] == 7.5 and [r["moved"] for r in got] == [True, True, True]
 
 
 def test_expression_and_hits_agree(spark):
@@ -288,11 +289,12 @@ def test_search_without_broadcast(spark, points, monkeypatch):
     from satchel import session
     from satchel.operators import lexical
 
-    queries = asked(spark, "computeHash", "HandleError function", "absent word", compress=True)
+    queries = asked(spark, "slowWater", "heather ground", "absent word", compress=True)
     columns = ["query_id", "id", "rank", "score", "in_dense", "in_lexical"]
     scorer = term_overlap(F.col("query"), F.col("content"))
     first = sorted(map(tuple, search(queries, points, scorer=scorer).results.select(*columns).collect()))
     monkeypatch.setattr(session.is_small, "__defaults__", (0, 0))
+    monkeypatch.setattr(session.few_rows, "__defaults__", (0, 0))
     monkeypatch.setattr(session.broadcast_if_small, "__defaults__", (0,))
     monkeypatch.setattr(lexical, "SMALL_ROWS", 0)
     monkeypatch.setattr(dense, "PACKED_QUERIES", 1)
