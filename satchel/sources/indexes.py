@@ -300,7 +300,7 @@ class CellIndex(_Index):
         nearest to it; the scores are exact. Probing all cells is an exact
         search. A question may get fewer rows than a search of all would give."""
         rows = self._segments("cells", _VECTOR, "cell")
-        asked = queries.select("query_id", "project_id", "qvec", k)
+        asked = queries.select("query_id", "project_id", "qvec", k).where(F.col("qvec").isNotNull())
         few = few_rows(asked)
         if few is not None and few.num_rows:
             # Few questions are aimed on the driver.

@@ -203,12 +203,12 @@ def option_defaults(t: Tables) -> DataFrame:
 
 @query(
     "p19_quantised_vectors",
-    """SELECT vec_id, pos - 1 AS pos, round(x::DOUBLE, 6) AS x FROM (
+    """SELECT vec_id, pos - 1 AS pos, round(x::DOUBLE, 6)::FLOAT::DOUBLE AS x FROM (
          SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings)""",
 )
 def quantised(t: Tables) -> DataFrame:
     parts = t.embeddings.select("vec_id", F.posexplode(vectors.quantise(F.col("embedding"))).alias("pos", "x"))
-    return parts.select("vec_id", F.col("pos").cast("long").alias("pos"), F.round(F.col("x").cast("double"), 6).alias("x"))
+    return parts.select("vec_id", F.col("pos").cast("long").alias("pos"), F.col("x").cast("double").alias("x"))
 
 
 @query(

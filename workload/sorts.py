@@ -185,10 +185,10 @@ def nth_row(t: Tables) -> DataFrame:
     return percentiles(t.query_log, "latency_ms", [("value", 0.95)]).select("value")
 
 
-@query("l07_files_by_count", CHUNKS_SQL + "SELECT project_id, source_file AS file, count(*) AS chunk_count FROM chunks GROUP BY ALL")
+@query("l07_files_by_count", CHUNKS_SQL + "SELECT *, row_number() OVER (ORDER BY chunk_count DESC, project_id, file) - 1 AS position FROM (SELECT project_id, source_file AS file, count(*) AS chunk_count FROM chunks GROUP BY ALL)")
 def files_by_count(t: Tables) -> DataFrame:
     counted = reports.file_counts(t.chunks)
-    return page(counted, [F.col("chunk_count").desc(), F.col("project_id").asc(), F.col("file").asc()])
+    return with_position(counted, [F.col("chunk_count").desc(), F.col("project_id").asc(), F.col("file").asc()])
 
 
 @query("l08_keyset_scroll", CHUNKS_SQL + "SELECT id FROM chunks WHERE id > 'en/doc_2' ORDER BY id LIMIT 256")

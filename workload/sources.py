@@ -229,8 +229,8 @@ def scroll_import(t: Tables) -> DataFrame:
 
 @query(
     "s11_import_dispatch",
-    """SELECT 'pages' AS layout, count(*) AS n FROM documents
-       UNION ALL SELECT 'nested', count(*) FROM documents WHERE length(text) > 0""",
+    """SELECT 'pages' AS layout, CASE WHEN lang = 'en' THEN 'orig-' || doc_id ELSE doc_id::VARCHAR END AS id, md5(text) AS content_md5 FROM documents
+       UNION ALL SELECT 'nested', '', md5(text) FROM documents WHERE length(text) > 0""",
 )
 def import_dispatch(t: Tables) -> DataFrame:
     one = F.struct(F.struct("id").alias("_additional"), F.col("text").alias("body"))
@@ -238,10 +238,12 @@ def import_dispatch(t: Tables) -> DataFrame:
         F.to_json(F.struct(F.struct(F.struct("Doc").alias("Get")).alias("data"))).alias("page")
     )
     by_layout = [
-        import_documents(scroll(t), "pages").select(F.lit("pages").alias("layout")),
-        import_documents(named_field, "nested", "body").where(F.col("content") != "").select(F.lit("nested").alias("layout")),
+        import_documents(scroll(t), "pages").select(F.lit("pages").alias("layout"), "id", F.md5("content").alias("content_md5")),
+        import_documents(named_field, "nested", "body").where(F.col("content") != "").select(
+            F.lit("nested").alias("layout"), F.lit("").alias("id"), F.md5("content").alias("content_md5")
+        ),
     ]
-    return by_layout[0].unionByName(by_layout[1]).groupBy("layout").agg(F.count("*").alias("n"))
+    return by_layout[0].unionByName(by_layout[1])
 
 
 @query("s12_query_log_scan", with_(LOG_SQL) + "SELECT project_id, latency_ms, hybrid, reranked, candidates FROM query_log")
