@@ -8,6 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from satchel.functions import hashing, meta, paths, text, vectors
+from workload.base import Tables
+from workload.projections import collection_names
 
 
 def chunked(value: str, limit: int) -> list[str]:
@@ -140,3 +142,15 @@ def test_three_decimals_round_the_binary_value(spark):
     df = spark.createDataFrame([(v,) for v in values], "x double")
     for row in df.select("x", text.three_decimals(F.col("x")).alias("s")).collect():
         assert row["s"] == "%.3f" % row["x"], row["x"]
+
+
+def test_names_of_dealt_out_pages(spark, tmp_path):
+    """The long odd names of neighbouring pages are not left to one task."""
+    rows = [(n, f"http://h/{n}?\u00e9_-\u0660") for n in range(50)]
+    spark.createDataFrame(rows, "page_id long, url string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    made = collection_names(Tables(spark, str(tmp_path)))
+    assert made.rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
+    got = {r["page_id"]: r["name"] for r in made.collect()}
+    for n, _ in rows:
+        assert got[n] == f"project_httph{n}_-"
+        assert got[-1 - n] == "project_" + hashlib.sha256(("!" + "?" * (n + 1)).encode()).hexdigest()[:16]
