@@ -25,10 +25,10 @@ FILE_SCHEMA = "path string, rel_path string, length long, text string"
 
 
 class _Subtree(InputPartition):
-    """A directory to walk, or only its direct files."""
+    """Directories to walk, or only their direct files."""
 
-    def __init__(self, path: str, deep: bool):
-        self.path = path
+    def __init__(self, paths: list[str], deep: bool):
+        self.paths = paths
         self.deep = deep
 
 
@@ -59,12 +59,15 @@ class _TreeReader(DataSourceReader):
         # children as further candidates; the count of opened ones is bounded.
         while frontier and len(frontier) + len(opened) < self.subtrees and len(opened) < self.subtrees:
             here = frontier.pop(0)
-            opened.append(_Subtree(here, deep=False))
+            opened.append(_Subtree([here], deep=False))
             frontier.extend(path for path, is_dir in _entries(here) if is_dir)
-        return opened + [_Subtree(path, deep=True) for path in frontier]
+        # The last directory opened may have any number of children: they are
+        # dealt into a bounded number of shares.
+        shares = min(len(frontier), self.subtrees)
+        return opened + [_Subtree(frontier[n::shares], deep=True) for n in range(shares)]
 
     def read(self, partition: _Subtree) -> Iterator[tuple]:
-        todo = [partition.path]
+        todo = list(partition.paths)
         while todo:
             here = todo.pop()
             for path, is_dir in _entries(here):
