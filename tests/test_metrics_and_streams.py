@@ -10,6 +10,8 @@ from satchel.operators import percentile, reports
 from satchel.operators.percentile import percentiles
 from satchel.operators.ranking import batches_of, best_per_group, latest, page, page_after, with_position
 from satchel.streaming import events, metrics
+from workload.base import Tables
+from workload.streams import streamed
 
 START = datetime(2024, 1, 1)
 
@@ -189,3 +191,14 @@ def test_streaming_throttle_and_restart(spark, tmp_path):
     emit()
     got = spark.read.parquet(out).select("project_id", "percent")
     assert got.count() == got.distinct().count() == reports.percent_changes(steps).count()
+
+
+def test_batches_do_not_gather_the_rows_in_a_file_each(spark, tmp_path):
+    tables = Tables(spark, str(tmp_path))
+    stream = streamed(tables, spark.range(0, 1000, 1, 10), "many-files", batches=2)
+    seen = []
+    stream.writeStream.foreachBatch(lambda rows, n: seen.append((rows.count(), rows.select(F.input_file_name()).distinct().count()))).option(
+        "checkpointLocation", str(tmp_path / "ck")
+    ).trigger(availableNow=True).start().awaitTermination()
+    assert len(seen) == 2 and sum(n for n, _ in seen) == 1000
+    assert all(files == 5 for _, files in seen)

@@ -12,10 +12,13 @@ from satchel.streaming.sync import continuous_sync
 from workload.base import EDITED_SQL, FILES_SQL, LOG_SQL, MODEL, Tables, chunks_sql, even, query, trial_store, with_
 
 
-def streamed(t: Tables, rows: DataFrame, label: str, files_per_batch: int | None = None) -> DataFrame:
-    """Land rows as files and follow them as a stream."""
+def streamed(t: Tables, rows: DataFrame, label: str, files_per_batch: int | None = None, batches: int | None = None) -> DataFrame:
+    """Land rows as files and follow them as a stream, ``files_per_batch`` at a
+    time or in so many ``batches``."""
     path = scratch_path(t.spark, label)
     rows.write.parquet(path)
+    if batches:
+        files_per_batch = max(1, -(-len(t.spark.read.schema(rows.schema).parquet(path).inputFiles()) // batches))
     reader = t.spark.readStream.schema(rows.schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
@@ -39,7 +42,7 @@ def continuous(t: Tables) -> DataFrame:
     removed = t.files.join(after.select(*place), place, "left_anti").withColumn("deleted", F.lit(True))
     stages = [t.files.withColumn("deleted", F.lit(False)), after.withColumn("deleted", F.lit(False)).unionByName(removed)]
     for rows in stages:
-        source = streamed(t, rows.select(*place, "length", "text", "deleted").coalesce(2), "changes", files_per_batch=1)
+        source = streamed(t, rows.select(*place, "length", "text", "deleted"), "changes", batches=2)
         continuous_sync(source, store, checkpoint(t), model=MODEL, once=True).awaitTermination()
     return store.points().select("project_id", "id", "content_hash")
 
