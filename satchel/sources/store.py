@@ -16,7 +16,7 @@ from __future__ import annotations
 import hashlib
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,6 +28,7 @@ from satchel.sources.indexes import kept_up
 
 _LIVE = "project_id string, project_key string, bucket int, version int, buckets int, with_postings boolean"
 DEFAULT_BUCKETS = 8
+SLICE_ROWS = 50_000  # rows of a partition that may go to one task
 _PLACE = (("project_key", T.StringType()), ("bucket", T.IntegerType()))
 
 
@@ -96,7 +97,8 @@ class PointStore:
             f"{base}/v={r['version']}/project_key={r['project_key']}/bucket={r['bucket']}" for r in live if r["bucket"] >= 0
         }
         if not paths:
-            return self.spark.createDataFrame([], placed)
+            # A limit of 0 tells the planner that there is nothing to join with.
+            return self.spark.createDataFrame([], placed).limit(0)
         versioned = T.StructType(list(placed.fields) + [T.StructField("v", T.IntegerType())])
         return self.spark.read.schema(versioned).option("basePath", base).parquet(*sorted(paths)).drop("v")
 
@@ -188,10 +190,14 @@ class PointStore:
         if not cells:
             return current
         old = before.collect()
-        kept = self._read("points", POINT, [r for r in old if (r["project_key"], r["bucket"]) in cells])
-        kept = kept.join(changed.select(*KEY), list(KEY), "left_anti")
+        touched = [r for r in old if (r["project_key"], r["bucket"]) in cells and r["bucket"] >= 0]
         version = current + 1
-        self._write("points", kept if fresh is None else kept.unionByName(fresh), version)
+        if touched:
+            gone = None if deletes is None else place(deletes.select(*KEY), self.buckets)
+            rows = self._replaced(self._read("points", POINT, touched), fresh, gone)
+            self._write("points", rows, version, dealt=True)
+        else:
+            self._write("points", fresh if fresh is not None else self._read("points", POINT, []), version)
         written = self.spark.read.schema(_with_place(POINT)).parquet(f"{self.root}/points/v={version}")
         if self.with_postings:
             self._write("postings", place(build_postings(written), self.buckets), version)
@@ -204,8 +210,24 @@ class PointStore:
         rows |= {(r[0], r[1], -1, 0) for r in filled}
         return self._publish(sorted(rows), version)
 
-    def _write(self, table: str, df: DataFrame, version: int) -> None:
-        if table == "points":
+    def _replaced(self, old: DataFrame, fresh: DataFrame | None, gone: DataFrame | None) -> DataFrame:
+        """The rows of rewritten partitions: ``old`` ones whose key is neither
+        in ``fresh`` nor in ``gone``, and ``fresh``. Whole rows are shuffled
+        once, to where they are written; there the rows of a key meet. Large
+        partitions are dealt in slices, so that no task gets a whole one."""
+        largest = old.groupBy("project_key", "bucket").count().agg(F.max("count")).first()[0] or 0
+        slices = 1 + int(largest) // SLICE_ROWS
+        parts = [df.withColumn("_new", F.lit(new)) for df, new in ((old, 0), (gone, 1), (fresh, 2)) if df is not None]
+        rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+        rows = rows.withColumn("_slice", F.pmod(F.xxhash64("id"), F.lit(slices))).repartition("project_key", "bucket", "_slice")
+        # In the order in which rows are written, so they are sorted once.
+        same = Window.partitionBy("project_key", "bucket", "id", "project_id", "_slice")
+        stays = (F.max("_new").over(same) == 0) | F.col("project_id").isNull() | F.col("id").isNull()
+        left = rows.withColumn("_stays", stays).where((F.col("_new") == 2) | ((F.col("_new") == 0) & F.col("_stays")))
+        return left.select(*old.columns)
+
+    def _write(self, table: str, df: DataFrame, version: int, dealt: bool = False) -> None:
+        if table == "points" and not dealt:
             # Rebalancing gathers the rows of a partition into few files and
             # still splits one that is too large for a task. Postings need no
             # shuffle: they are made from files that are already gathered.

@@ -10,7 +10,7 @@ from satchel.operators.keyed import last_wins
 from satchel.operators.points import export_documents, list_points
 from satchel.plans.migrate import migrate
 from satchel.plans.sync import index_documents, sync
-from satchel.sources.files import list_tree, read_files
+from satchel.sources.files import _TreeReader, list_tree, read_files
 from satchel.sources.imports import distances, import_documents, parallel_array_pages
 from satchel.sources.store import PointStore
 from satchel.streaming.sync import apply_changes
@@ -65,6 +65,16 @@ def test_missing_tree_is_empty(spark, tmp_path):
     assert list_tree(spark, str(tmp_path / "nowhere")).count() == 0
 
 
+def test_many_folders_are_dealt_into_few_shares(spark, tmp_path):
+    for n in range(40):
+        (tmp_path / "a" / f"d{n}").mkdir(parents=True)
+        (tmp_path / "a" / f"d{n}" / ".env").write_text("x" * (n + 1))
+    parts = _TreeReader(str(tmp_path), 8).partitions()
+    assert len(parts) <= 2 * 8
+    rows = [r for p in parts for r in _TreeReader(str(tmp_path), 8).read(p)]
+    assert sorted(r[2] for r in rows) == list(range(1, 41))
+
+
 def test_sync_life(spark, tmp_path, store):
     root = str(tmp_path / "src")
     put(root, **{"test.go": "package main\n", "sub/a.go": "same", "b.go": "same", "empty.md": ""})
@@ -255,3 +265,8 @@ def test_change_batches(spark, store):
     assert store.version() == version
     apply_changes(store, change(("p", "s", "a.go", 0, None, True), ("p", "s", "c.go", 1, "c", False)))
     assert ids(store) == ["s/b.go#chunk0", "s/c.go#chunk0"]
+
+
+def test_an_empty_store_is_not_joined_with(spark, store):
+    """Planned as nothing, so a first sync does not shuffle its texts for it."""
+    assert "LocalTableScan" in store.points()._jdf.queryExecution().executedPlan().toString()
