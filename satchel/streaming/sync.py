@@ -20,6 +20,12 @@ def last_changes(changes: DataFrame) -> DataFrame:
     ordinal = F.col("ordinal") if "ordinal" in changes.columns else F.lit(0)
     rest = [c for c in changes.columns if c not in (*place, "ordinal")]
     order = F.struct(ordinal.alias("o"), (~F.col("deleted")).alias("d"), F.col("text").alias("t"))
+    others = [c for c in rest if c not in ("deleted", "text")]
+    if all(changes.schema[c].dataType.typeName() not in ("map", "variant") for c in others):
+        # The text moves once, as a part of the order.
+        best = F.max(F.struct(ordinal.alias("_o"), (~F.col("deleted")).alias("_d"), "text", *others)).alias("_row")
+        picked = changes.groupBy(*place).agg(best).select(*place, "_row.*").withColumn("deleted", ~F.col("_d"))
+        return picked.select(*[c for c in changes.columns if c != "ordinal"])
     picked = changes.groupBy(*place).agg(F.max_by(F.struct(*rest), order).alias("_row"))
     return picked.select(*place, "_row.*").select(*[c for c in changes.columns if c != "ordinal"])
 
