@@ -96,13 +96,24 @@ def stale_points(existing: DataFrame, files: DataFrame, chunks: DataFrame | None
     return gone.select(*KEY)
 
 
+def mostly_repeated(counted: DataFrame) -> bool:
+    """Whether more than a tenth of the counted paths (``n``) come several times."""
+    seen = counted.agg(F.count("*").alias("paths"), F.count_if(F.col("n") > 1).alias("twice")).first()
+    return seen["twice"] * 10 > seen["paths"]
+
+
 def one_version(files: DataFrame) -> DataFrame:
     """Files read once and written down, one row per path: of several texts of
     one path the larger one stays whole (a row without a text gives way). Texts
     move only for paths that come more than once."""
     place = ["project_id", "source_dir", "rel_path"]
     files = staged(files.select(*FILE.fieldNames()), "sync-files")
-    twice = staged(files.groupBy(*place).agg(F.count("*").alias("n")).where("n > 1").select(*place), "repeated-paths")
+    counted = files.groupBy(*place).agg(F.count("*").alias("n"))
+    if mostly_repeated(counted):
+        # Looking the repeated ones up would move every text twice.
+        one = files.groupBy(*place).agg(F.max(F.struct("text", "length")).alias("f"))
+        return staged(one.select(*place, "f.length", "f.text"), "sync-files")
+    twice = staged(counted.where("n > 1").select(*place), "repeated-paths")
     if twice.isEmpty():
         return files
     same = lambda a, b: [a[c].eqNullSafe(b[c]) for c in place]
