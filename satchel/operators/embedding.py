@@ -17,6 +17,7 @@ from satchel.functions.text import tokens
 Embedder = Callable[[Sequence[str]], Sequence[Sequence[float]]]
 
 DEFAULT_BATCH = 128
+TEXTS_AT_ONCE = 512  # texts whose words are counted together
 
 
 def embed(
@@ -78,12 +79,11 @@ def hash_embedding(text: Column, dim: int = 64) -> Column:
     without words gets the zero vector.
     """
 
-    @F.arrow_udf("array<float>")
-    def count_up(words: pa.Array) -> pa.Array:
+    def unit_vectors(words: pa.Array) -> pa.Array:
         rows = len(words)
         encoded = words.flatten().dictionary_encode()
         buckets = np.array([word_bucket(w, dim) for w in encoded.dictionary.to_pylist()], dtype=np.int64)
-        row = np.repeat(np.arange(rows, dtype=np.int64), np.diff(words.offsets.to_numpy()))
+        row = np.repeat(np.arange(rows, dtype=np.int32), np.diff(words.offsets.to_numpy()))
         cell = row * dim + buckets[encoded.indices.to_numpy()]
         counts = np.bincount(cell, minlength=rows * dim).reshape(rows, dim).astype(np.float64)
         size = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
@@ -91,6 +91,13 @@ def hash_embedding(text: Column, dim: int = 64) -> Column:
         offsets = np.arange(0, rows * dim + 1, dim, dtype=np.int32)
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(unit.reshape(-1), pa.float32()))
 
+    @F.arrow_udf("array<float>")
+    def count_up(words: pa.Array) -> pa.Array:
+        # A bounded number of texts at a time: the arrays of a whole batch take
+        # several times the room of its words.
+        parts = [unit_vectors(words.slice(start, TEXTS_AT_ONCE)) for start in range(0, len(words), TEXTS_AT_ONCE)]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.float32()))
+
     return count_up(F.coalesce(tokens(text), F.array().cast("array<string>")))
 
 
