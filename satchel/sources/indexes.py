@@ -107,8 +107,9 @@ class _Index:
         base = f"{self.store.root}/{table}"
         return self.spark.read.schema(full).option("basePath", base).parquet(*[f"{base}/v={v}" for v in versions])
 
-    def _write(self, table: str, rows: DataFrame, folder: str, order: list[str], version: int) -> None:
-        gathered = rows.hint("rebalance", folder).sortWithinPartitions(folder, *order)
+    def _write(self, table: str, rows: DataFrame, folder: str, order: list[str], version: int, gather: bool = True) -> None:
+        """Without ``gather`` each task writes its rows to the folders itself."""
+        gathered = (rows.hint("rebalance", folder) if gather else rows).sortWithinPartitions(folder, *order)
         gathered.write.mode("overwrite").partitionBy(folder).parquet(f"{self.store.root}/{table}/v={version}")
 
 
@@ -142,14 +143,16 @@ class WordIndex(_Index):
     def write(self, points: DataFrame, version: int) -> None:
         rows = points.select("project_key", "bucket", "id", tokens(F.col("content")).alias("words"))
         blocks = rows.mapInArrow(_blocks, _BLOCK).withColumn("wb", self._folder(F.col("term")))
-        self._write("words", blocks, "wb", ["project_key", "term", "span"], version)
+        # Blocks outweigh the texts they are made from and are not shuffled; counts
+        # come from a shuffle by word already.
+        self._write("words", blocks, "wb", ["project_key", "term", "span"], version, gather=False)
         written = self.spark.read.schema(f"{_BLOCK}, wb int").parquet(f"{self.store.root}/words/v={version}")
         total = lambda c: F.sum(F.aggregate(c, F.lit(0).cast("long"), lambda t, x: t + x))
         size = lambda c: F.sum(F.when(F.col(c).isNotNull(), F.size(c))).cast("long")
         counted = written.groupBy("wb", "project_key", "bucket", "term").agg(
             size("docs").alias("df"), total("tfs").alias("tf"), size("ids").alias("docs"), total("lengths").alias("length")
         )
-        self._write("terms", counted, "wb", ["project_key", "term"], version)
+        self._write("terms", counted, "wb", ["project_key", "term"], version, gather=False)
 
     def statistics(self, terms: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
         """(project_key, term, df, tf) and (project_key, n_docs, mean_length),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from satchel.operators.bm25 import bm25
 from satchel.operators.dense import dense_topk
+from satchel.operators.keyed import KEY
 from satchel.sources.indexes import CellIndex, WordIndex
 from satchel.sources.store import PointStore
 from workload.base import MATCHES_SQL, POINTS_SQL, QUESTIONS_SQL, Tables, query, trial_store, with_
@@ -21,9 +22,11 @@ def changed_store(t: Tables) -> PointStore:
     """A store whose word index has lived through an insert of other texts, the
     upsert that replaces them and a deletion."""
     store = trial_store(t)
-    store.upsert(t.indexed.where("chunk_index < '5'").withColumn("content", F.concat(F.upper("content"), F.lit(" stale word stale"))))
+    keys, first = t.indexed.select(*KEY), F.col("chunk_index") < "5"
+    stale = t.indexed.where(first).withColumn("content", F.concat(F.upper("content"), F.lit(" stale word stale")))
+    store.upsert(stale, keys=t.indexed.where(first).select(*KEY))
     WordIndex.create(store, 4)
-    store.upsert(t.indexed)
+    store.upsert(t.indexed, keys=keys)
     store.delete_points(t.indexed.where("chunk_index % 3 = 2"))
     return store
 
@@ -55,8 +58,9 @@ def project_sizes(t: Tables) -> DataFrame:
 def match_by_index(t: Tables) -> DataFrame:
     store = trial_store(t)
     index = WordIndex.create(store, 4)
-    store.upsert(t.indexed.where("source_dir < 'f'"))
-    store.upsert(t.indexed)
+    some = t.indexed.where("source_dir < 'f'")
+    store.upsert(some, keys=some.select(*KEY))
+    store.upsert(t.indexed, keys=t.indexed.select(*KEY))
     return index.matches(t.questions).select("query_id", "id", "lex_score")
 
 
