@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from satchel.operators.keyed import delete, delete_project, insert_only, last_wins, upsert
+from satchel.operators.keyed import KEY, delete, delete_project, insert_only, last_wins, upsert
 from satchel.operators.points import list_points
 from satchel.operators.reports import chunk_counts, counts_of
 from satchel.plans.migrate import migrate
@@ -72,10 +72,11 @@ def store_upsert(t: Tables) -> DataFrame:
 def reopened_store(t: Tables) -> DataFrame:
     """Made with 16 buckets and postings, then opened without saying so."""
     root = scratch_path(t.spark, "store")
-    PointStore(t.spark, root, buckets=16, with_postings=True).upsert(t.points)
-    PointStore(t.spark, root).upsert(t.points.withColumn("content", F.concat("content", F.lit("!"))))
+    keys = t.indexed.select(*KEY)
+    PointStore(t.spark, root, buckets=16, with_postings=True).upsert(t.indexed, keys=keys)
+    PointStore(t.spark, root).upsert(t.indexed.withColumn("content", F.concat("content", F.lit("!"))), keys=keys)
     store = PointStore(t.spark, root)
-    store.delete_points(t.points.where("chunk_index = '0'"))
+    store.delete_points(t.indexed.where("chunk_index = '0'"))
     return store.points().select(
         "project_id", "id", "content", F.lit(store.buckets).alias("buckets"), F.lit(store.with_postings).alias("with_postings")
     )
