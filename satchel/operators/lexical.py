@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from satchel.functions.text import query_terms, tokens
 from satchel.operators.bm25 import Weighing, occurrences
 from satchel.operators.ranking import best_per_group, dense_order
-from satchel.session import SMALL_BYTES, SMALL_ROWS, broadcast_if_small, row_bytes
+from satchel.session import SMALL_BYTES, SMALL_ROWS, broadcast_if_small, row_bytes, staged
 
 # Words of all questions together that may be broadcast.
 SMALL_WORDS = 500_000
@@ -168,6 +168,8 @@ def _from_postings(asked: DataFrame, postings: DataFrame) -> DataFrame:
     relevant = postings.select("project_id", "id", "term", "tf").join(
         broadcast_if_small(vocabulary), ["project_id", "term"], "left_semi"
     )
+    # Read three times; postings made on the fly would be made three times.
+    relevant = staged(relevant, "asked-postings")
     frequency = relevant.groupBy("project_id", "term").agg(F.count("*").alias("df"))
     lead = _rarest(asked, frequency)
     start = relevant.join(broadcast_if_small(lead), ["project_id", "term"]).select(
