@@ -11,7 +11,7 @@ from satchel.operators.points import export_documents
 from satchel.operators.rerank import apply_hits
 from satchel.plans.search import with_defaults
 from satchel.plans.sync import known_hashes
-from satchel.session import broadcast_if_small
+from satchel.session import broadcast_if_small, staged
 from workload.base import FILES_SQL, LOG_SQL, POINTS_SQL, QUESTIONS_RAW_SQL, SEARCH_SQL, VECTORS_SQL, Tables, chunks_sql, query, with_
 
 CHUNKS_SQL = with_(FILES_SQL, chunks_sql())
@@ -267,7 +267,9 @@ def listed(t: Tables) -> DataFrame:
     many as its recall."""
     from satchel.plans.search import candidates
 
-    return candidates(t.questions, t.indexed).select("query_id", "id", "score", "rank", F.lit(5).alias("k"))
+    found = candidates(t.questions, t.indexed).select("query_id", "id", "score", "rank", F.lit(5).alias("k"))
+    # Read several times by what applies hits to them.
+    return staged(found, "listed")
 
 
 def hits(rows: DataFrame) -> DataFrame:
