@@ -56,7 +56,8 @@ def score_from_distance(t: Tables) -> DataFrame:
         GROUP BY ALL""",
 )
 def tokens(t: Tables) -> DataFrame:
-    words = t.documents.select("doc_id", F.posexplode(text.tokens(F.col("text"))).alias("pos", "word"))
+    # Texts are dealt out, not their words: a text is a fraction of its counted words.
+    words = t.documents.select("doc_id", "text").repartition("doc_id").select("doc_id", F.posexplode(text.tokens(F.col("text"))).alias("pos", "word"))
     return words.groupBy("doc_id", "word").agg(F.count("*").alias("tf"), F.min("pos").cast("long").alias("first_at"))
 
 
