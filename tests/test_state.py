@@ -80,3 +80,13 @@ def test_nothing_yet(spark, tmp_path):
     schema = spark.createDataFrame([], LOG).schema
     assert state.read_changes(spark, str(tmp_path / "none"), schema, ["project_id"]).count() == 0
     assert events.read_state(spark, str(tmp_path / "none"), schema).count() == 0
+
+
+def test_waiting_rows_of_a_run_are_packed(spark, tmp_path):
+    totals = spark.createDataFrame([("p", "m1", 1000)], "project_id string, migration_id string, total long")
+    steps = reports.batch_progress(totals, 10)
+    path, out, ck = (str(tmp_path / n) for n in ("in", "out", "ck"))
+    steps.where("seq > 0").write.parquet(path)
+    state.follow_percents(stream(spark, path, steps.schema), out, ck, once=True).awaitTermination()
+    early = spark.read.format("statestore").option("stateVarName", "early").load(ck)
+    assert early.count() == 1 and early.select(F.size("list_element.seq")).first()[0] == 100
