@@ -270,3 +270,18 @@ def test_change_batches(spark, store):
 def test_an_empty_store_is_not_joined_with(spark, store):
     """Planned as nothing, so a first sync does not shuffle its texts for it."""
     assert "LocalTableScan" in store.points()._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rewritten_partitions_move_once(spark, store, monkeypatch):
+    """Replaced, deleted, added and untouched keys, with many slices."""
+    from satchel.sources import store as module
+
+    monkeypatch.setattr(module, "SLICE_ROWS", 2)
+    index_documents(store, spark.createDataFrame([(str(n), f"old {n}", {}) for n in range(30)], "id string, content string, meta map<string,string>"), "p")
+    old = store.points()
+    fresh = old.where("id < '2'").withColumn("content", F.lit("new"))
+    gone = old.where("id >= '5'").select("project_id", "project_key", "bucket", "id")
+    left = store._replaced(old, fresh, gone)
+    assert left._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    want = {str(n): "new" if str(n) < "2" else f"old {n}" for n in range(30) if str(n) < "5"}
+    assert {r["id"]: r["content"] for r in left.collect()} == want and left.count() == len(want)
