@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from satchel.functions import hashing, meta, paths, text, vectors
 from workload.base import Tables
 from workload.projections import collection_names
+from workload.scalars import tokens as tokens_of_documents
 
 
 def chunked(value: str, limit: int) -> list[str]:
@@ -154,3 +155,13 @@ def test_names_of_dealt_out_pages(spark, tmp_path):
     for n, _ in rows:
         assert got[n] == f"project_httph{n}_-"
         assert got[-1 - n] == "project_" + hashlib.sha256(("!" + "?" * (n + 1)).encode()).hexdigest()[:16]
+
+
+def test_texts_not_words_are_dealt_out(spark, tmp_path):
+    rows = [(1, "a b a"), (1, "b c"), (None, "a"), (2, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    counted = tokens_of_documents(Tables(spark, str(tmp_path)))
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    assert not any("Exchange" in line and "word" in line for line in plan.splitlines())
+    got = {(r["doc_id"], r["word"]): (r["tf"], r["first_at"]) for r in counted.collect()}
+    assert got == {(1, "a"): (2, 0), (1, "b"): (2, 0), (1, "c"): (1, 1), (None, "a"): (1, 0)}
