@@ -15,7 +15,8 @@ least ``k`` common ones. Used twice:
    two of the shared ones, so pairs of frequent tokens of one class are
    indexed, and a token that half the corpus holds never makes a list of its own.
 
-Documents with equal sets are one representative. Index lists are linked to a
+Documents with equal sets are one representative, and index lists with equal
+members one list. Lists are linked to a
 pivot each, then to the pivots of components not yet connected, and only what
 still lies in different components is compared pair by pair, if counts and
 parity bitmaps leave it possible; every link that
@@ -49,7 +50,7 @@ BLOCK_TOKENS = 1_000_000
 BLOCK_DOCS = 60_000
 NOBODY = 65_535
 STAR_ROUNDS = 3
-BITS = 512
+BITS = 2048  # of a parity bitmap; with few, large sets that are far apart look alike
 
 
 def _extension(n: int) -> int:
@@ -295,6 +296,16 @@ def _signed(sets: DataFrame, rare: int) -> DataFrame:
     return sets.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(sign, "doc_id long, n int, m int, sigs array<long>, bits array<long>, tokens binary")
 
 
+def _lists(index: DataFrame) -> DataFrame:
+    """(sig, weight): of index lists of several documents one for each set of
+    members, and how many have that set. Near copies share hundreds of lists,
+    most of them by themselves; members are told apart by 128 bits."""
+    lists = index.groupBy("sig").agg(
+        F.count("*").alias("_n"), F.bit_xor(F.xxhash64("doc_id")).alias("_x"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("_y")
+    )
+    return lists.where("_n > 1").groupBy("_n", "_x", "_y").agg(F.min("sig").alias("sig"), F.count("*").alias("weight")).select("sig", "weight")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) whose sets are similar enough."""
     side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("tokens").alias(f"t{x}"))
@@ -330,8 +341,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hopeful = reps.where((F.col("n") >= LEAST) & (F.col("seen") >= least)).select(F.col("rep").alias("doc_id"), "digest")
     sets = staged(_signed(_set_blocks(docs, hopeful), rare), "signed")
     index = sets.select(F.explode("sigs").alias("sig"), "doc_id", "n", "m").distinct()
-    lists = index.groupBy("sig").agg(F.count("*").alias("_n")).where("_n > 1").select("sig")
-    index = staged(index.join(lists, "sig"), "index")
+    index = staged(index.join(_lists(index), "sig"), "index")
 
     links, tried, comp = None, None, None
     for turn in range(STAR_ROUNDS + 1):
@@ -343,7 +353,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             # Each document meets the pivot, out of its lists' smallest component, that it shares most lists with.
             pivots = live.groupBy("sig").agg(F.min(F.struct("component", "doc_id", "n", "m")).alias("p"), F.max("component").alias("_top"))
             met = live.join(pivots.where("p.component < _top"), "sig").where("component <> p.component").where(_possible("n", "m", "p.n", "p.m"))
-            met = met.groupBy(F.col("doc_id").alias("b"), F.col("p.doc_id").alias("a")).agg(F.count("*").alias("_n"))
+            met = met.groupBy(F.col("doc_id").alias("b"), F.col("p.doc_id").alias("a")).agg(F.sum("weight").alias("_n"))
             # A document's pivots are one row, as many as it has lists at most.
             best = met.groupBy("b").agg(F.collect_list(F.struct("_n", F.negative("a").alias("_a"))).alias("_all"))
             if tried is not None:
@@ -363,9 +373,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             pairs = outside.join(side("b"), "sig").where(
                 (F.col("component_a") != F.col("component_b")) & _possible("n_a", "m_a", "n_b", "m_b") & (9 * differ <= F.col("n_a") + F.col("n_b"))
             )
-            pairs = pairs.select(F.least("doc_id_a", "doc_id_b").alias("a"), F.greatest("doc_id_a", "doc_id_b").alias("b")).distinct()
+            pairs = pairs.select(F.least("doc_id_a", "doc_id_b").alias("a"), F.greatest("doc_id_a", "doc_id_b").alias("b"))
             both = tried.union(tried.select("b", "a"))
-            pairs = pairs.join(both, ["a", "b"], "left_anti")
+            # Distinct ones that were not tried, by one aggregate: a pair is found in many lists.
+            found = pairs.withColumn("_new", F.lit(True)).union(both.withColumn("_new", F.lit(False)))
+            pairs = found.groupBy("a", "b").agg(F.bool_and("_new").alias("_new")).where("_new").drop("_new")
         pairs = staged(pairs, "pairs")
         new = staged(_verified(pairs, sets), "links")
         tried = pairs if tried is None else tried.union(pairs)

@@ -133,6 +133,13 @@ def test_jaccard_join_of_many_near_copies(spark):
     assert got == reach
 
 
+def test_jaccard_join_takes_lists_of_equal_members_once(spark):
+    members = {1: (1, 2), 2: (1, 2), 3: (2, 1), 4: (1, 2, 3), 5: (3,), 6: (2, 3), 7: (4, 5), 8: (4, 5)}
+    index = spark.createDataFrame([(sig, d, 9, 9) for sig, docs in members.items() for d in docs], "sig long, doc_id long, n int, m int")
+    lists = {r.sig: r.weight for r in jaccard_join._lists(index).collect()}
+    assert lists == {1: 3, 4: 1, 6: 1, 7: 2}
+
+
 def test_jaccard_join_of_small_sets(spark):
     """Sets of 4 lie inside sets of 5: windows of 8 words and the same with a word before or after."""
     rng = np.random.default_rng(5)

@@ -136,6 +136,14 @@ def test_signatures_of_similar_sets_meet():
         assert differ <= len(x) + len(y) - 2 * both
 
 
+def test_parity_bitmaps_tell_large_sets_apart():
+    rng = np.random.default_rng(1)
+    x = np.unique(rng.integers(0, 2**62, 1200, dtype=np.uint64))
+    y = np.unique(np.concatenate([x[rng.permutation(len(x))[:900]], rng.integers(0, 2**62, 300, dtype=np.uint64)]))
+    differ = sum(int(w).bit_count() for w in (jaccard_join.parity(x) ^ jaccard_join.parity(y)).view(np.uint64))
+    assert 9 * differ > len(x) + len(y)  # three fifths alike: not to be compared
+
+
 def test_best_fit_takes_the_tightest_compatible_bin():
     rng = np.random.default_rng(4)
     for _ in range(30):
