@@ -13,7 +13,7 @@ from satchel.operators.points import export_documents, to_points
 from satchel.operators.reports import batch_progress, percent_changes
 from satchel.operators.usage import Metered
 from satchel.plans.sync import EmbedStage, last_of_call
-from satchel.session import scratch_root
+from satchel.session import is_small, scratch_root, staged
 from satchel.sources.store import PointStore
 from satchel.streaming.events import finished_rounds, told
 
@@ -27,25 +27,44 @@ class Migration:
     run_id: str = ""
 
 
-def reembedded(documents: DataFrame, project_id: str, embed: EmbedStage = hash_embed, model: str | None = None) -> DataFrame:
+def reembedded(
+    documents: DataFrame, project_id: str, embed: EmbedStage = hash_embed, model: str | None = None, repeated: DataFrame | None = None
+) -> DataFrame:
     """POINT rows of the destination; vectors are always made anew. Of repeated
-    ids the one with the highest ``ordinal`` stays, or the last row."""
+    ids the one with the highest ``ordinal`` stays, or the last row. Where the
+    ``repeated`` ids are known, only their rows are moved to be told apart."""
     numbered = documents.withColumn("project_id", F.lit(project_id))
     if "ordinal" not in documents.columns:
         numbered = numbered.withColumn("ordinal", F.monotonically_increasing_id())
-    return to_points(embed(last_of_call(numbered)), model)
+    if repeated is None:
+        return to_points(embed(last_of_call(numbered)), model)
+    again = F.broadcast(repeated.select(F.col("id").alias("_again")))
+    several = F.col("id").eqNullSafe(F.col("_again"))
+    last = last_of_call(numbered.join(again, several, "left_semi"))
+    return to_points(embed(numbered.join(again, several, "left_anti").select(*last.columns).unionByName(last)), model)
+
+
+def _repeated(taken: DataFrame) -> DataFrame | None:
+    """The ids of several documents, if they are few enough to be sent along."""
+    ids = staged(taken.groupBy("id").count().where("count > 1").select("id"), "repeated")
+    return ids if is_small(ids) else None
 
 
 def _taken(documents: DataFrame, run_id: str) -> DataFrame:
     """The run's documents as they were handed in, numbered in that order and
-    written once; a resumed run finds them where it left them."""
+    written once; a resumed run finds them where it left them. Metadata that
+    repeats the text (exported payloads hold it) is written as its key."""
     spark = documents.sparkSession
     path = f"{scratch_root(spark)}/migration-{run_id}"
     rows = documents.select("id", "content", "meta").withColumn("ordinal", F.monotonically_increasing_id())
     done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    is_text = lambda v: v.eqNullSafe(F.col("content"))
+    slim = rows.withColumn("texts", F.map_keys(F.map_filter("meta", lambda k, v: is_text(v)))).withColumn("meta", F.map_filter("meta", lambda k, v: ~is_text(v)))
     if not done.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(done):
-        rows.write.mode("overwrite").parquet(path)
-    return spark.read.schema(rows.schema).parquet(path)
+        slim.write.mode("overwrite").parquet(path)
+    texts = F.coalesce("texts", F.array().cast("array<string>"))
+    whole = F.map_concat("meta", F.map_from_entries(F.transform(texts, lambda k: F.struct(k.alias("key"), F.col("content").alias("value")))))
+    return spark.read.schema(slim.schema).parquet(path).withColumn("meta", whole).drop("texts")
 
 
 def migrate(
@@ -86,7 +105,9 @@ def migrate(
     if not before:
         tell("migration_started", **ends)
     try:
-        taken = _taken(documents, run_id).withColumn("round", F.pmod(F.xxhash64("id"), F.lit(rounds)).cast("int"))
+        taken = _taken(documents, run_id)
+        repeated = _repeated(taken)
+        taken = taken.withColumn("round", F.pmod(F.xxhash64("id"), F.lit(rounds)).cast("int"))
         sizes = {r["round"]: r["n"] for r in taken.groupBy("round").agg(F.count("*").alias("n")).collect()}
         total = sum(sizes.values())
         totals = spark.range(1).select(F.lit(dest_project).alias("project_id"), F.lit(total).cast("long").alias("total"))
@@ -101,7 +122,7 @@ def migrate(
             if sizes.get(number):
                 metered = Metered(embed, "embed", model, usage)
                 keys = rows.select(F.lit(dest_project).alias("project_id"), "id").distinct()
-                destination.upsert(reembedded(rows, dest_project, metered, model), keys=keys)
+                destination.upsert(reembedded(rows, dest_project, metered, model, repeated), keys=keys)
                 metered.record(spark)
             if events is not None:
                 # One row for each whole percent at most.

@@ -1,14 +1,17 @@
 """What runs keep, tell and spend: versions of a path, events, usage, resumed migrations, failing rerankers."""
 
+import uuid
+
 import pytest
 from pyspark.sql import functions as F
 
 from satchel.operators.embedding import hash_embed
 from satchel.operators.rerank import apply_hits, hits_of, rerank_calls
 from satchel.operators.usage import read_usage
-from satchel.plans.migrate import migrate
+from satchel.plans.migrate import _repeated, _taken, migrate, reembedded
 from satchel.plans.search import embed_queries, search
 from satchel.plans.sync import index_documents, sync
+from satchel.session import scratch_root
 from satchel.sources.store import PointStore
 
 FILE = "project_id string, source_dir string, rel_path string, length long, text string"
@@ -104,3 +107,17 @@ def test_hits_of_calls(spark):
     rows = spark.createDataFrame([("q", "a", 1, "x", 0.5, "?", 3), ("q", "b", 2, "y", 0.4, "?", 3)], "query_id string, id string, rank int, content string, score double, query string, k int")
     calls = rerank_calls(rows, lambda question, texts, k: [(1, 9.0), (7, 1.0), (0, 0.5)])
     assert [(r.id, r.rank, r.score) for r in apply_hits(rows, hits_of(calls)).orderBy("rank").collect()] == [("b", 1, 9.0), ("a", 2, 0.5)]
+
+
+def test_migration_moves_only_the_rows_of_repeated_ids(spark, tmp_path):
+    rows = [("a", "one", {"content": "one", "k": "1"}, 1), (None, "no id", None, 2), (None, "no id, last", {}, 3), ("b", "two", {"k": "two"}, 4), ("b", "last", {"k": "last", "j": None}, 5), ("c", None, {"n": None}, 6)]
+    docs = spark.createDataFrame(rows, "id string, content string, meta map<string,string>, ordinal long")
+    run = uuid.uuid4().hex
+    kept = [(r.id, r.content, r.meta) for r in _taken(docs.coalesce(1), run).orderBy("ordinal").collect()]
+    assert kept == [r[:3] for r in rows]
+    # A text that the metadata repeats is written once.
+    assert spark.read.parquet(f"{scratch_root(spark)}/migration-{run}").where("id = 'a'").first().meta == {"k": "1"}
+    shown = lambda df: sorted(((r.id, r.content, r.meta, r.embedding) for r in df.collect()), key=repr)
+    known = _repeated(docs)
+    assert {r.id for r in known.collect()} == {None, "b"}
+    assert shown(reembedded(docs, "p", repeated=known)) == shown(reembedded(docs, "p"))
