@@ -90,3 +90,23 @@ def test_waiting_rows_of_a_run_are_packed(spark, tmp_path):
     state.follow_percents(stream(spark, path, steps.schema), out, ck, once=True).awaitTermination()
     early = spark.read.format("statestore").option("stateVarName", "early").load(ck)
     assert early.count() == 1 and early.select(F.size("list_element.seq")).first()[0] == 100
+
+
+def test_many_groups_share_a_key_of_the_state(spark, tmp_path, monkeypatch):
+    """Also rows that come again, rows without a time, value or project, and a
+    batch that is small beside what is kept."""
+    monkeypatch.setattr(state, "PARTS", 4)
+    path, ck = str(tmp_path / "in"), str(tmp_path / "ck")
+    first = [(i, None if i % 50 == 0 else START + timedelta(seconds=i % 37), None if i % 9 == 0 else f"p{i % 90}", None if i % 7 == 0 else i / 8) for i in range(900)]
+    later = [*first[:20], *[(2000 + i, START + timedelta(minutes=1), f"p{i}", 1.0) for i in range(20)]]
+    last = [(3000 + i, START + timedelta(minutes=i % 3), f"p{i % 200}", float(i)) for i in range(2000)]
+    everything = set()
+    for some, blocks in ((first, 1), (later, 2), (last, 1)):
+        everything |= set(some)
+        spark.createDataFrame(some, LOG).coalesce(1).write.mode("append").parquet(path)
+        state.keep_recent_keyed(stream(spark, path, LOG), ck, 5, ["project_id"], once=True).awaitTermination()
+        held = spark.read.format("statestore").option("stateVarName", "recent").load(ck)
+        assert held.select("key").distinct().count() == 4 and held.groupBy("key").count().agg(F.max("count")).first()[0] == blocks
+        found = state.recent_rows(spark, ck, 5, ["project_id"])
+        want = latest(spark.createDataFrame(sorted(everything, key=repr), LOG), 5, ["project_id"]).select(*found.columns)
+        assert sorted(map(repr, found.collect())) == sorted(map(repr, want.collect()))
