@@ -18,6 +18,7 @@ Embedder = Callable[[Sequence[str]], Sequence[Sequence[float]]]
 
 DEFAULT_BATCH = 128
 TEXTS_AT_ONCE = 512  # texts whose words are counted together
+WORDS_AT_ONCE = 16_384  # distinct words that are hashed together
 
 
 def embed(
@@ -75,16 +76,21 @@ def hash_embedding(text: Column, dim: int = 64) -> Column:
     """Deterministic vector of a text: word counts per bucket, unit length.
 
     Words are cut in the JVM; each distinct word of an Arrow batch is hashed
-    once and the counts of the whole batch are one ``bincount``. A text
-    without words gets the zero vector.
+    once and counts are one ``bincount`` for many texts. A text without words
+    gets the zero vector.
     """
 
-    def unit_vectors(words: pa.Array) -> pa.Array:
-        rows = len(words)
-        encoded = words.flatten().dictionary_encode()
-        buckets = np.array([word_bucket(w, dim) for w in encoded.dictionary.to_pylist()], dtype=np.int64)
-        row = np.repeat(np.arange(rows, dtype=np.int32), np.diff(words.offsets.to_numpy()))
-        cell = row * dim + buckets[encoded.indices.to_numpy()]
+    def hashed(words: pa.Array) -> np.ndarray:
+        # Some words at a time, as Python strings take several times their room.
+        buckets = np.empty(len(words), dtype=np.int32)
+        for start in range(0, len(words), WORDS_AT_ONCE):
+            some = words.slice(start, WORDS_AT_ONCE).to_pylist()
+            buckets[start : start + len(some)] = [word_bucket(w, dim) for w in some]
+        return buckets
+
+    def unit_vectors(buckets: np.ndarray, lengths: np.ndarray) -> pa.Array:
+        rows = len(lengths)
+        cell = np.repeat(np.arange(rows, dtype=np.int32) * dim, lengths) + buckets
         counts = np.bincount(cell, minlength=rows * dim).reshape(rows, dim).astype(np.float64)
         size = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
         unit = np.divide(counts, size, out=np.zeros_like(counts), where=size > 0).astype(np.float32)
@@ -93,9 +99,17 @@ def hash_embedding(text: Column, dim: int = 64) -> Column:
 
     @F.arrow_udf("array<float>")
     def count_up(words: pa.Array) -> pa.Array:
+        encoded = words.flatten().dictionary_encode()
+        buckets = hashed(encoded.dictionary)
+        lengths = np.diff(words.offsets.to_numpy())
+        ends = np.cumsum(lengths)
         # A bounded number of texts at a time: the arrays of a whole batch take
         # several times the room of its words.
-        parts = [unit_vectors(words.slice(start, TEXTS_AT_ONCE)) for start in range(0, len(words), TEXTS_AT_ONCE)]
+        parts = []
+        for start in range(0, len(words), TEXTS_AT_ONCE):
+            many = lengths[start : start + TEXTS_AT_ONCE]
+            first, last = int(ends[start] - lengths[start]), int(ends[start + len(many) - 1])
+            parts.append(unit_vectors(buckets[encoded.indices.slice(first, last - first).to_numpy()], many))
         return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.float32()))
 
     return count_up(F.coalesce(tokens(text), F.array().cast("array<string>")))

@@ -6,14 +6,16 @@ sits in most rows never drives a join.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import reduce
 from operator import or_
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from satchel.functions.text import query_terms, tokens
 from satchel.operators.bm25 import Weighing, occurrences
@@ -24,46 +26,74 @@ from satchel.session import SMALL_BYTES, SMALL_ROWS, broadcast_if_small, row_byt
 SMALL_WORDS = 500_000
 # Distinct words that are tested by equality in the scan of stored postings.
 PUSHED_WORDS = 64
+_POSTED = "term string, tf bigint, positions array<int>"
 
 
-def build_postings(points: DataFrame, content: str = "content") -> DataFrame:
-    """Inverted rows: project_id, id, term, tf, positions.
+def build_postings(points: DataFrame, content: str = "content", carried: Sequence[str] = ()) -> DataFrame:
+    """Inverted rows: project_id, id, term, tf, positions, and the ``carried``
+    columns of the text's row.
 
     A text is one row, so its words are grouped inside the Arrow batch that
-    holds it and nothing is shuffled.
+    holds it and nothing is shuffled. Rows come in word order for each run of
+    equal carried values, so that a sort by those and the word has little to do.
     """
-    words = points.select("project_id", "id", tokens(F.col(content)).alias("words"))
-    return words.mapInArrow(_invert, "project_id string, id string, term string, tf bigint, positions array<int>")
-
-
-def _invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        lists = batch.column("words")
-        lengths = np.diff(lists.offsets.to_numpy())
-        total = int(lengths.sum())
-        if total == 0:
-            continue
-        row = np.repeat(np.arange(len(batch), dtype=np.int64), lengths)
-        position = np.arange(total, dtype=np.int64) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        encoded = lists.flatten().dictionary_encode()
-        word = encoded.indices.to_numpy()
-        key = row * len(encoded.dictionary) + word
-        order = np.argsort(key, kind="stable")
-        first = np.flatnonzero(np.diff(key[order], prepend=-1))
-        ends = np.append(first[1:], total)
-        rows, words = row[order][first], word[order][first]
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column("project_id").take(pa.array(rows)),
-                batch.column("id").take(pa.array(rows)),
-                encoded.dictionary.take(pa.array(words)),
-                pa.array(ends - first),
-                pa.ListArray.from_arrays(
-                    pa.array(np.append(first, total).astype(np.int32)), pa.array(position[order].astype(np.int32))
-                ),
-            ],
-            names=["project_id", "id", "term", "tf", "positions"],
-        )
+    words = points.select("project_id", "id", tokens(F.col(content)).alias("words"), *carried)
+    schema = T.StructType([words.schema[c] for c in ("project_id", "id")] + list(T._parse_datatype_string(_POSTED).fields) + [words.schema[c] for c in carried])
+
+    def invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from _invert(batch, carried)
+
+    return words.mapInArrow(invert, schema)
+
+
+def _runs(batch: pa.RecordBatch, columns: Sequence[str]) -> list[tuple[int, int]]:
+    """Start and end of each run of rows with equal values in ``columns``."""
+    starts = np.zeros(len(batch), dtype=bool)
+    starts[:1] = True
+    for c in columns:
+        codes = batch.column(c).dictionary_encode("encode").indices.to_numpy()
+        starts[1:] |= codes[1:] != codes[:-1]
+    at = np.flatnonzero(starts).tolist()
+    return list(zip(at, [*at[1:], len(batch)]))
+
+
+def _invert(batch: pa.RecordBatch, carried: Sequence[str]) -> Iterator[pa.RecordBatch]:
+    lists = batch.column("words")
+    # A row without a text has no words, whatever its place in the list says.
+    lengths = np.nan_to_num(pc.list_value_length(lists).to_numpy(zero_copy_only=False)).astype(np.int64)
+    total = int(lengths.sum())
+    if total == 0:
+        return
+    row = np.repeat(np.arange(len(batch), dtype=np.int64), lengths)
+    position = np.arange(total, dtype=np.int64) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    encoded = lists.flatten().dictionary_encode()
+    # Words as numbers in their order.
+    by_word = pc.sort_indices(encoded.dictionary).to_numpy()
+    place = np.empty(len(by_word), dtype=np.int64)
+    place[by_word] = np.arange(len(by_word))
+    word, dictionary = place[encoded.indices.to_numpy()], encoded.dictionary.take(pa.array(by_word))
+    ends = np.cumsum(lengths)
+    for start, end in _runs(batch, carried):
+        first, last = int(ends[start] - lengths[start]), int(ends[end - 1])
+        if first < last:
+            yield _posted(batch, row[first:last], word[first:last], position[first:last], dictionary, carried)
+
+
+def _posted(batch: pa.RecordBatch, row: np.ndarray, word: np.ndarray, position: np.ndarray, dictionary: pa.Array, carried: Sequence[str]) -> pa.RecordBatch:
+    key = word * len(batch) + row
+    order = np.argsort(key, kind="stable")
+    first = np.flatnonzero(np.diff(key[order], prepend=-1))
+    ends = np.append(first[1:], len(key))
+    rows, words = pa.array(row[order][first]), pa.array(word[order][first])
+    lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(key)).astype(np.int32)), pa.array(position[order].astype(np.int32)))
+    return pa.RecordBatch.from_arrays(
+        [
+            batch.column("project_id").take(rows), batch.column("id").take(rows), dictionary.take(words), pa.array(ends - first), lists,
+            *[batch.column(c).take(rows) for c in carried],
+        ],
+        names=["project_id", "id", "term", "tf", "positions", *carried],
+    )
 
 
 def parsed(queries: DataFrame) -> DataFrame:

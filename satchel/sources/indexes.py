@@ -29,7 +29,7 @@ from satchel.operators.bm25 import Weighing, occurrences
 from satchel.operators.dense import dense_topk
 from satchel.operators.lexical import parsed
 from satchel.schema import POINT
-from satchel.session import few_rows, local, staged
+from satchel.session import few_rows, local, small_splits, staged
 
 if TYPE_CHECKING:
     from satchel.sources.store import PointStore
@@ -145,7 +145,8 @@ class WordIndex(_Index):
         blocks = rows.mapInArrow(_blocks, _BLOCK).withColumn("wb", self._folder(F.col("term")))
         # Blocks outweigh the texts they are made from and are not shuffled; counts
         # come from a shuffle by word already.
-        self._write("words", blocks, "wb", ["project_key", "term", "span"], version, gather=False)
+        with small_splits(self.spark):
+            self._write("words", blocks, "wb", ["project_key", "term", "span"], version, gather=False)
         written = self.spark.read.schema(f"{_BLOCK}, wb int").parquet(f"{self.store.root}/words/v={version}")
         total = lambda c: F.sum(F.aggregate(c, F.lit(0).cast("long"), lambda t, x: t + x))
         size = lambda c: F.sum(F.when(F.col(c).isNotNull(), F.size(c))).cast("long")

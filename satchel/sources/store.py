@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from satchel.operators.keyed import KEY, last_wins
 from satchel.operators.lexical import build_postings
 from satchel.schema import POINT, POSTING
-from satchel.session import staged
+from satchel.session import small_splits, staged
 from satchel.sources.indexes import kept_up
 
 _LIVE = "project_id string, project_key string, bucket int, version int, buckets int, with_postings boolean"
@@ -200,7 +200,9 @@ class PointStore:
             self._write("points", fresh if fresh is not None else self._read("points", POINT, []), version)
         written = self.spark.read.schema(_with_place(POINT)).parquet(f"{self.root}/points/v={version}")
         if self.with_postings:
-            self._write("postings", place(build_postings(written), self.buckets), version)
+            # A posting lies where its point lies, which the point's row tells.
+            with small_splits(self.spark):
+                self._write("postings", build_postings(written, carried=["project_key", "bucket"]), version)
         for index in kept_up(self):
             index.write(written, version)
         filled = written.select("project_id", "project_key", "bucket").distinct().collect()

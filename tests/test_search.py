@@ -304,3 +304,16 @@ def test_search_without_broadcast(spark, points, monkeypatch):
 def test_context_string(spark):
     rows = ten(spark, 2).where("rank <= 2")
     assert contexts(rows.select("query_id").distinct(), rows).first()["context"] == "[score 1.000] content-0\n\n[score 0.900] content-1"
+
+
+def test_postings_carry_the_place_of_their_point_in_word_order(spark):
+    rows = [("p", f"d{i}", None if i % 7 == 0 else " ".join(f"w{i * k % 13}" for k in range(i % 5 + 1)), i // 6, None if i >= 12 else "k") for i in range(30)]
+    pts = spark.createDataFrame(rows, "project_id string, id string, content string, bucket int, project_key string").coalesce(1)
+    got = build_postings(pts, carried=["project_key", "bucket"]).collect()
+    want = set()
+    for _, i, content, bucket, key in rows:
+        words = (content or "").split()
+        want |= {(i, w, words.count(w), tuple(k for k, x in enumerate(words) if x == w), key, bucket) for w in words}
+    assert {(r["id"], r["term"], r["tf"], tuple(r["positions"]), r["project_key"], r["bucket"]) for r in got} == want and len(got) == len(want)
+    order = [(r["bucket"], r["term"]) for r in got]
+    assert order == sorted(order)

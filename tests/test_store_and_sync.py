@@ -285,3 +285,16 @@ def test_rewritten_partitions_move_once(spark, store, monkeypatch):
     assert left._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
     want = {str(n): "new" if str(n) < "2" else f"old {n}" for n in range(30) if str(n) < "5"}
     assert {r["id"]: r["content"] for r in left.collect()} == want and left.count() == len(want)
+
+
+def test_small_splits_are_set_for_a_while_and_never_raised(spark):
+    from satchel.session import small_splits
+
+    names = ["spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"]
+    before = [spark.conf.get(n) for n in names]
+    with pytest.raises(KeyError), small_splits(spark, 1 << 20):
+        assert [spark.conf.get(n) for n in names] == [str(1 << 20), str(1 << 14)]
+        raise KeyError
+    with small_splits(spark, 1 << 40):
+        assert [spark.conf.get(n) for n in names] == before
+    assert [spark.conf.get(n) for n in names] == before
