@@ -66,12 +66,19 @@ def known_hashes(existing: DataFrame) -> DataFrame:
     )
 
 
+_SAME = ["project_id", "id", "source_dir", "content_hash"]
+
+
+def unchanged_chunks(chunks: DataFrame, existing: DataFrame) -> DataFrame:
+    """What tells apart the chunks that are stored with the same hash; no text moves."""
+    return chunks.select(*_SAME).join(known_hashes(existing).select(*_SAME), _SAME, "left_semi")
+
+
 def mark_unchanged(chunks: DataFrame, existing: DataFrame) -> DataFrame:
     """Flag chunks whose id is stored with the same hash. The join key is a
     chunk's own identity, so no key is hot."""
-    same = ["project_id", "id", "source_dir", "content_hash"]
-    known = known_hashes(existing).select(*same).distinct().withColumn("_known", F.lit(True))
-    return chunks.join(known, same, "left").withColumn("unchanged", F.col("_known").isNotNull()).drop("_known")
+    known = known_hashes(existing).select(*_SAME).distinct().withColumn("_known", F.lit(True))
+    return chunks.join(known, _SAME, "left").withColumn("unchanged", F.col("_known").isNotNull()).drop("_known")
 
 
 def stale_points(existing: DataFrame, files: DataFrame, chunks: DataFrame | None = None) -> DataFrame:

@@ -298,3 +298,34 @@ def test_small_splits_are_set_for_a_while_and_never_raised(spark):
     with small_splits(spark, 1 << 40):
         assert [spark.conf.get(n) for n in names] == before
     assert [spark.conf.get(n) for n in names] == before
+
+
+def test_a_stream_leaves_the_store_and_no_copies(spark, tmp_path):
+    """Of each batch only the store's last version stays; unchanged chunks are not embedded again."""
+    from satchel.operators.embedding import hash_embed
+    from satchel.session import scratch_root
+    from satchel.streaming.sync import continuous_sync
+
+    columns = "project_id string, source_dir string, rel_path string, length long, text string, deleted boolean"
+    old = [("p", "d", f"f{i}.txt", 9, f"text of {i}", False) for i in range(6)]
+    new = [old[0], ("p", "d", "f1.txt", 9, "other text", False), (*old[2][:5], True)]
+    twice = [("p", "d", "f3.txt", 9, "a", False), ("p", "d", "f3.txt", 9, "b", False)]
+    path, seen = str(tmp_path / "in"), spark.sparkContext.accumulator(0)
+
+    def counted(df):
+        one = F.udf(lambda x: (seen.add(1), x)[1], "string").asNondeterministic()
+        return hash_embed(df.withColumn("content", one("content")))
+
+    store = PointStore(spark, str(tmp_path / "store"), buckets=2)
+    root = scratch_root(spark).removeprefix("file:")
+    before = set(os.listdir(root))
+    for some, embedded in ((old, 6), (new, 1), (twice, 1)):
+        spark.createDataFrame(some, columns).coalesce(1).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(columns).option("maxFilesPerTrigger", 1).parquet(path)
+        seen.value = 0
+        continuous_sync(stream, store, str(tmp_path / "ck"), embed=counted, once=True, keep=1).awaitTermination()
+        assert seen.value == embedded
+    got = {(r["source_file"], r["content"].split("\n")[-1]) for r in store.points().collect()}
+    assert got == {("f0.txt", "text of 0"), ("f1.txt", "other text"), ("f3.txt", "b"), ("f4.txt", "text of 4"), ("f5.txt", "text of 5")}
+    left = [f for f in set(os.listdir(root)) - before if f.startswith(("changes", "stream"))]
+    assert left == [] and store.version() == 3 and os.listdir(str(tmp_path / "store" / "live")) == ["v=3"]

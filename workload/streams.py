@@ -43,7 +43,7 @@ def continuous(t: Tables) -> DataFrame:
     stages = [t.files.withColumn("deleted", F.lit(False)), after.withColumn("deleted", F.lit(False)).unionByName(removed)]
     for rows in stages:
         source = streamed(t, rows.select(*place, "length", "text", "deleted"), "changes", batches=2)
-        continuous_sync(source, store, checkpoint(t), model=MODEL, once=True).awaitTermination()
+        continuous_sync(source, store, checkpoint(t), model=MODEL, once=True, keep=1).awaitTermination()
     return store.points().select("project_id", "id", "content_hash")
 
 
