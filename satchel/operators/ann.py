@@ -49,11 +49,21 @@ class Cells:
         return assign(vector)
 
 
+def _length(vector: Column) -> Column:
+    return F.sqrt(F.aggregate(vector, F.lit(0.0), lambda t, x: t + x.cast("double") * x))
+
+
+def unit_vector(vector: Column) -> Column:
+    """A vector at unit length. The length is a value of its own: inside the
+    division it would be made anew for each component."""
+    sized = F.array(F.struct(vector.alias("v"), _length(vector).alias("size")))
+    return F.get(F.transform(sized, lambda s: F.transform(s["v"], lambda x: x / s["size"])), F.lit(0))
+
+
 def train_cells(points: DataFrame, cells: int, seed: int = 7, iterations: int = 10) -> Cells:
     """Cluster unit vectors with distributed k-means."""
-    size = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda t, x: t + x.cast("double") * x))
-    unit = F.transform("embedding", lambda x: x / size)
-    features = points.where(size > 0).select(array_to_vector(unit.cast("array<double>")).alias("features"))
+    unit = unit_vector(F.col("embedding")).cast("array<double>")
+    features = points.where(_length(F.col("embedding")) > 0).select(array_to_vector(unit).alias("features"))
     model = KMeans(k=cells, seed=seed, maxIter=iterations, initMode="k-means||").fit(features)
     centres = np.array(model.clusterCenters())
     return Cells(centres / np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12))

@@ -162,3 +162,12 @@ def test_chunks_follow_a_changed_file(spark, tmp_path, asked):
     store.upsert(chunk_points(old))
     store.upsert(chunk_points(old.withColumn("content", F.lit("stone"))))
     assert set(found(words.matches(asked))) == {("b", "p", "s/f#chunk0")}
+
+
+def test_the_length_of_a_vector_is_made_once(spark):
+    from satchel.operators.ann import unit_vector
+
+    df = spark.createDataFrame([([3.0, 4.0],), ([0.0, 2.0],)], "v array<float>").select(unit_vector(F.col("v")).alias("u"))
+    assert [r["u"] for r in df.collect()] == [[0.6, 0.8], [0.0, 1.0]]
+    made = df._jdf.queryExecution().analyzed().toString()
+    assert "aggregate" in made and "aggregate" not in made[made.rindex(" / "):]
