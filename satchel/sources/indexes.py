@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -323,7 +323,8 @@ class CellIndex(_Index):
         return topk_in_cells(self._alive(rows), asked, k)
 
     def probes_for(self, recall: float, k: int = 10, sample: int = 256, asked: DataFrame | None = None) -> int:
-        """The fewest probes that find this share of the ``k`` nearest rows.
+        """The fewest probes that find this share of the ``k`` nearest rows, and
+        ``k`` rows, or all there are, for each question that is measured.
 
         Measured on at most ``sample`` questions, chosen by a hash of their ids,
         against an exact search of the whole index: of those ``asked``
@@ -332,6 +333,7 @@ class CellIndex(_Index):
         """
         rows = self._alive(self._segments("cells", _VECTOR, "cell"))
         own = F.concat_ws("/", "project_id", "id")
+        asked_for = asked is not None  # a stored vector finds itself as well
         if asked is None:
             asked = rows.select(own.alias("query_id"), "project_id", F.col("embedding").alias("qvec"))
             itself = own == F.col("query_id")
@@ -341,14 +343,21 @@ class CellIndex(_Index):
         some = staged(some, "sample")
         nearest = dense_topk(rows, some).where(~itself)
         homes = nearest.join(rows.select("project_id", "id", "cell"), ["project_id", "id"])
-        order = some.select("query_id", self.cells.nearest(F.col("qvec"), len(self.cells.centres)).alias("order"))
-        place = homes.join(order, "query_id").groupBy(F.array_position("order", F.col("cell")).alias("probe")).agg(F.count("*").alias("n"))
+        order = staged(some.select("query_id", "project_id", self.cells.nearest(F.col("qvec"), len(self.cells.centres)).alias("order")), "order")
+        # At most ``sample`` questions with a row for each centre.
+        steps = order.select("query_id", "project_id", F.posexplode("order").alias("step", "cell"))
+        filled = steps.join(rows.groupBy("project_id", "cell").agg(F.count("*").alias("n")), ["project_id", "cell"], "left")
+        of_question, held = Window.partitionBy("query_id", "project_id"), F.sum(F.coalesce("n", F.lit(0)))
+        enough = held.over(of_question.orderBy("step")) >= F.least(held.over(of_question), F.lit(k if asked_for else k + 1))
+        first = filled.withColumn("enough", enough).where("enough").groupBy("query_id", "project_id").agg(F.min("step").alias("step"))
+        least = (first.agg(F.max("step")).first()[0] or 0) + 1
+        place = homes.join(order.select("query_id", "order"), "query_id").groupBy(F.array_position("order", F.col("cell")).alias("probe")).agg(F.count("*").alias("n"))
         # One row for each centre at most.
         places = {r["probe"]: r["n"] for r in place.collect()}
         wanted, found = recall * sum(places.values()), 0
         for probes in range(1, len(self.cells.centres) + 1):
             found += places.get(probes, 0)
-            if found >= wanted:
+            if found >= wanted and probes >= least:
                 return probes
         return len(self.cells.centres)
 

@@ -171,3 +171,27 @@ def test_the_length_of_a_vector_is_made_once(spark):
     assert [r["u"] for r in df.collect()] == [[0.6, 0.8], [0.0, 1.0]]
     made = df._jdf.queryExecution().analyzed().toString()
     assert "aggregate" in made and "aggregate" not in made[made.rindex(" / "):]
+
+
+def test_rows_of_a_question_that_wants_very_many_are_not_held(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from satchel.operators import dense
+
+    monkeypatch.setattr(dense, "HELD", 5)
+    vectors, rng = np.array([[1.0, 0.0], [0.6, 0.8]], dtype=np.float32), np.random.default_rng(3)
+    leaders = dense._Leaders(["few", "many"], vectors, [3, 1000])
+    given, told = [], []
+    for part in range(4):
+        rows = rng.integers(-2, 3, (50, 2)).astype(np.float32)
+        ids = [f"{(part * 50 + i) * 7 % 200:03d}" for i in range(50)]
+        given += list(zip(ids, rows))
+        batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(["p"] * 50), pa.array(rows.tolist(), pa.list_(pa.float32()))], names=["id", "project_id", "embedding"])
+        told += [r for b in leaders.offer(batch) for r in b.to_pylist()]
+    assert len(told) == 200 and {r["query_id"] for r in told} == {"many"} and len(leaders.best[1][0]) == 0
+    unit = [(i, v.astype(np.float64) / (np.linalg.norm(v.astype(np.float64)) or 1)) for i, v in given]
+    asked = vectors.astype(np.float64) / np.linalg.norm(vectors.astype(np.float64), axis=1, keepdims=True)
+    exact = lambda q: sorted((-round(float(u @ asked[q]), 6), i) for i, u in unit)
+    assert sorted((-round(r["score"], 6), r["id"]) for r in told) == exact(1)
+    assert [(-round(r["score"], 6), r["id"]) for b in leaders.rows() for r in b.to_pylist()] == exact(0)[:3]
